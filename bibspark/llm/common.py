@@ -201,7 +201,7 @@ def text_chunks(batches, target: int = BLOCK_BYTES):
         yield out()
 
 
-def pack_blocks(docs: DataFrame) -> DataFrame:
+def pack_blocks(docs: DataFrame, target: int = BLOCK_BYTES) -> DataFrame:
     """Documents (doc_id, text) as compressed blocks in the shared folder. Blocks take the place of
     documents in shuffles: a few large rows, and what answers a block needs no row per document."""
 
@@ -209,7 +209,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for seq, (ids, offs, buf) in enumerate(text_chunks(batches)):
+        for seq, (ids, offs, buf) in enumerate(text_chunks(batches, target)):
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([(part << 32) + seq], pa.int64()),

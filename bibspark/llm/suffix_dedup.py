@@ -34,6 +34,8 @@ from bibspark.llm import common as c
 from bibspark.llm.substring_dedup import bucket_bounds, distinct, runs, span_lists
 
 LENGTH = 50
+#: Bytes of text in one block, and of segments that are sorted at a time.
+BLOCK_BYTES, SORT_BYTES = 2 << 20, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 result_schema = pa.schema(
     [
@@ -205,6 +207,26 @@ def repeated(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, ids: np.ndarra
     return out
 
 
+def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np.ndarray, length: int):
+    """Sorts all windows of segments that stand one after the other; gives the repeated intervals:
+    segment, first byte and end, counted from the segment's start."""
+    first = np.cumsum(count + length - 1) - (count + length - 1)
+    seg = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    base, gram = c.BASES[2], length // 2
+    h = c.prefix_hash(buf, base)
+    a = first + rel
+    anchor = c.mix((h[a + gram] - h[a]) * c.powers(c.inverse(base), len(buf) + 1)[a])
+    del h
+    group = c.mix(anchor[seg] + (rel[seg] - step).astype(c.U64))
+    hit = repeated(buf, first[seg] + step, group, owner[seg], length)
+    edge, close = hit.copy(), hit.copy()
+    edge[1:] &= ~hit[:-1] | (seg[1:] != seg[:-1])
+    close[:-1] &= ~hit[1:] | (seg[1:] != seg[:-1])
+    x, y = np.flatnonzero(edge), np.flatnonzero(close)
+    return seg[x], step[x], step[y] + length
+
+
 # ---------------------------------------------------------------- operator
 def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text, more) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the
@@ -216,7 +238,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if length < 16:
         raise ValueError("length must be at least 16")
-    blocks = c.pack_blocks(docs)
+    blocks = c.pack_blocks(docs, BLOCK_BYTES)
     bits = c.buckets(docs.sparkSession, c.total_bytes(blocks)).bit_length() - 1
     shift = c.U64(32 - bits)
 
@@ -291,7 +313,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at = bucket_bounds((key[keep] >> c.U64(64 - bits)) << c.U64(64 - bits), bits)
             for k in np.flatnonzero(np.diff(at)).tolist():
                 w = keep[at[k] : at[k + 1]]
-                parts = [c.enc(owner[w]), c.enc(start[w].astype(np.uint32)), c.enc(count[w].astype(np.uint16)), c.enc(rel[w].astype(np.uint16)), c.zip_bytes(gather(buf, start[w], size[w]).tobytes(), 3)]
+                parts = [c.enc(((key[w] >> c.U64(56 - bits)) & c.U64(255)).astype(np.uint8)), c.enc(owner[w]), c.enc(start[w].astype(np.uint32)), c.enc(count[w].astype(np.uint16)), c.enc(rel[w].astype(np.uint16)), c.zip_bytes(gather(buf, start[w], size[w]).tobytes(), 3)]
                 out.append((k, row["block"], 0, join_parts(parts)))
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), sent_types, strict=True)] if out else [pa.array([], t) for t in sent_types], ["bucket", "block", "kind", "payload"])
 
@@ -303,28 +325,26 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = [r for r in rows if not r["kind"]]
         if rows:
             parts = [split_parts(r["payload"]) for r in rows]
-            owner = np.concatenate([c.dec(p[0], np.int64) for p in parts])
-            start = np.concatenate([c.dec(p[1], np.uint32) for p in parts]).astype(np.int64)
-            count = np.concatenate([c.dec(p[2], np.uint16) for p in parts]).astype(np.int64)
-            rel = np.concatenate([c.dec(p[3], np.uint16) for p in parts]).astype(np.int64)
-            buf = np.frombuffer(b"".join(c.unzip_bytes(p[4]) for p in parts), np.uint8)
-            first = np.cumsum(count + length - 1) - (count + length - 1)
-            seg = np.repeat(np.arange(len(count)), count)
-            shift_in = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-            pos = first[seg] + shift_in
-            base, gram = c.BASES[2], length // 2
-            h = c.prefix_hash(buf, base)
-            a = first + rel
-            anchor = c.mix((h[a + gram] - h[a]) * c.powers(c.inverse(base), len(buf) + 1)[a])
-            group = c.mix(anchor[seg] + (rel[seg] - shift_in).astype(c.U64))
-            hit = repeated(buf, pos, group, owner[seg], length)
-            edge = hit.copy()
-            edge[1:] &= ~hit[:-1] | (seg[1:] != seg[:-1])
-            close = hit.copy()
-            close[:-1] &= ~hit[1:] | (seg[1:] != seg[:-1])
-            x, y = np.flatnonzero(edge), np.flatnonzero(close)
-            begin, end = start[seg[x]] + shift_in[x], start[seg[y]] + shift_in[y] + length
-            of = np.repeat(np.arange(len(rows)), [len(c.dec(p[2], np.uint16)) for p in parts])[seg[x]]
+            sub = np.concatenate([c.dec(p[0], np.uint8) for p in parts]).astype(np.int64)
+            owner = np.concatenate([c.dec(p[1], np.int64) for p in parts])
+            start = np.concatenate([c.dec(p[2], np.uint32) for p in parts]).astype(np.int64)
+            counts = [c.dec(p[3], np.uint16) for p in parts]
+            of = np.repeat(np.arange(len(rows)), [len(x) for x in counts])
+            count = np.concatenate(counts).astype(np.int64)
+            rel = np.concatenate([c.dec(p[4], np.uint16) for p in parts]).astype(np.int64)
+            buf = np.frombuffer(b"".join(c.unzip_bytes(p[5]) for p in parts), np.uint8)
+            size = count + length - 1
+            first = np.cumsum(size) - size
+            pieces = len(buf) // SORT_BYTES + 1  # by anchor, so that no group is cut
+            found = []
+            for piece in range(pieces):
+                mine = np.flatnonzero(sub * pieces >> 8 == piece)
+                text = gather(buf, first[mine], size[mine])
+                seg, begin, end = sort_segments(text, count[mine], rel[mine], owner[mine], length)
+                found.append((of[mine][seg], start[mine][seg] + begin, start[mine][seg] + end))
+            of, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(of, kind="stable")
+            of, begin, end = of[by], begin[by], end[by]
             cut = np.searchsorted(of, np.arange(len(rows) + 1))
             out += [(r["block"], pack_spans(begin[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]])) for k, r in enumerate(rows) if cut[k + 1] > cut[k]]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([x[1] for x in out], pa.binary())})
