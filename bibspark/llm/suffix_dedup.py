@@ -111,6 +111,13 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def is_in(a: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Membership of a's numbers in a sorted array, at the cost of a's length."""
+    if not len(sorted_):
+        return np.zeros(len(a), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, a), len(sorted_) - 1)] == a
+
+
 # ---------------------------------------------------------------- suffix sort
 class Suffixes:
     """Suffixes of buf, compared over at most `length` bytes by prefix polynomial hashes."""
@@ -130,41 +137,52 @@ class Suffixes:
             low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, id_a: np.ndarray, id_b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """a before b; equal suffixes by id, and on equal ids as or_equal says."""
-        out = (id_a < id_b) | (or_equal & (id_a == id_b))
-        other = np.flatnonzero(self.whole[a] != self.whole[b])
-        x, y = a[other], b[other]
-        k = self.extension(x, y)
-        out[other] = self.buf[x + k] < self.buf[y + k]
-        return out
+    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a before b, for suffixes that differ within `length`."""
+        k = self.extension(a, b)
+        return self.buf[a + k] < self.buf[b + k]
 
 
 def merge_sort(suffixes: Suffixes, pos: np.ndarray, ids: np.ndarray, group_start: np.ndarray, group_size: np.ndarray) -> np.ndarray:
-    """Order of pos within each group (groups are slices): bottom-up mergesort; an element's place
-    in the merged run is its rank in the sibling run, found by binary search for all at once."""
+    """Order of pos within each group (groups are slices), equal suffixes by id: bottom-up
+    mergesort. Two runs that are in order as they stand are left alone; in others an element's
+    place is its rank in the sibling run, found by binary search for all elements at once."""
     order = np.arange(len(pos))
     start, size = np.repeat(group_start, group_size), np.repeat(group_size, group_size)
+    whole = suffixes.whole[pos]
+
+    def less(e, f, or_equal):
+        """Element e before f; on equal suffixes and ids as or_equal says."""
+        out = (ids[e] < ids[f]) | (or_equal & (ids[e] == ids[f]))
+        other = np.flatnonzero(whole[e] != whole[f])
+        out[other] = suffixes.before(pos[e[other]], pos[f[other]])
+        return out
+
     width = 1
     while width < group_size.max(initial=0):
         at = np.flatnonzero(size > width)
         local = at - start[at]
         run = local // width
-        sibling = start[at] + (run ^ 1) * width
-        end = np.minimum(sibling + width, start[at] + size[at])
-        low, high = sibling.copy(), np.maximum(end, sibling)
+        left = start[at] + (run & ~1) * width
+        middle = left + width
+        end = np.minimum(left + 2 * width, start[at] + size[at])
+        heads = np.flatnonzero((at == left) & (middle < end))
+        tangled = np.zeros(len(at), bool)
+        tangled[heads] = less(order[middle[heads]], order[middle[heads] - 1], np.zeros(len(heads), bool))
+        pair = np.cumsum(at == left) - 1
+        tangled = tangled[np.flatnonzero(at == left)][pair]
+        at, run, left, middle, end = at[tangled], run[tangled], left[tangled], middle[tangled], end[tangled]
         right = (run & 1).astype(bool)
+        low, high = np.where(right, left, middle), np.where(right, middle, end)
+        sibling = low.copy()
         mine = order[at]
         while len(open_ := np.flatnonzero(low < high)):
             mid = (low[open_] + high[open_]) >> 1
-            e, f = order[mid], mine[open_]
-            before = suffixes.less(pos[e], pos[f], ids[e], ids[f], right[open_])
+            before = less(order[mid], mine[open_], right[open_])
             low[open_[before]] = mid[before] + 1
             high[open_[~before]] = mid[~before]
-        merged = start[at] + (run & ~1) * width + (local - run * width) + (low - sibling)
-        merged = np.where(sibling >= start[at] + size[at], at, merged)
         fresh = order.copy()
-        fresh[merged] = mine
+        fresh[at - np.where(right, width, 0) + (low - sibling)] = mine
         order = fresh
         width *= 2
     return order
@@ -174,7 +192,7 @@ def repeated(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, ids: np.ndarra
     """For each suffix: do its first `length` bytes also start a suffix of a smaller id? group:
     equal for equal suffixes."""
     out = np.zeros(len(pos), bool)
-    by = np.argsort(group, kind="stable")
+    by = np.lexsort((ids, group))
     g = group[by]
     begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(g)))
@@ -267,7 +285,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         every = np.concatenate([np.unique(p) for p in parts])
         every.sort()
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits_of = [c.zip_bytes(np.packbits(np.isin(p, twice, assume_unique=False)).tobytes(), 1) for p in parts]
+        bits_of = [c.zip_bytes(np.packbits(is_in(p, twice)).tobytes(), 1) for p in parts]
         return pa.table(
             {
                 "block": pa.array([r["block"] for r in rows], pa.int64()),
