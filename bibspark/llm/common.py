@@ -59,10 +59,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets(spark: SparkSession, n_bytes: int) -> int:
+def buckets(spark: SparkSession, n_bytes: int, for_each: int = 3) -> int:
     """A power of two that grows with the data: about BLOCK_BYTES of text each, and enough of
-    them that every shuffle partition gets several."""
-    need = max(n_bytes // BLOCK_BYTES + 1, 3 * partitions(spark))
+    them that every shuffle partition gets some."""
+    need = max(n_bytes // BLOCK_BYTES + 1, for_each * partitions(spark))
     return 1 << int(need - 1).bit_length()
 
 

@@ -129,7 +129,7 @@ def train(docs: DataFrame) -> dict:
     spark = docs.sparkSession
     folder = local_path(c.shared_dir(spark))
     n_bytes = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    bits = c.buckets(spark, n_bytes).bit_length() - 1
+    bits = c.buckets(spark, n_bytes, 1).bit_length() - 1  # every bucket of bigrams sends to every bucket of words
 
     def send(batches):
         for _, offs, buf in c.text_chunks(batches):
