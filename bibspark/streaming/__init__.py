@@ -1,0 +1,2 @@
+"""Batch only: the reference's windows are fixed ranges of years (operators/aggregates.py), so
+there is no streaming semantics to provide."""
