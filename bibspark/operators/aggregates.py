@@ -83,11 +83,16 @@ def ranking(works: DataFrame, column: str, k: int | None = None) -> DataFrame:
 def corpus_summary(works: DataFrame, dimensions: dict[str, Column], flags: dict[str, Column]) -> DataFrame:
     """A1 in one pass: metric, key, n. A dimension is a label or an array of labels, NULL being
     '<missing>'; a flag is counted where true."""
-    one = lambda name, c: F.struct(F.lit(name).alias("metric"), F.coalesce(c.cast("string"), F.lit("<missing>")).alias("key"))
+    def one(name: str, c: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric"), F.coalesce(c.cast("string"), F.lit("<missing>")).alias("key"))
+
+    def each(name: str, c: Column) -> Column:
+        return F.transform(F.array_distinct(c), lambda v: one(name, v))
+
     parts = []
     for name, c in dimensions.items():
         is_array = works.select(c.alias("x")).schema["x"].dataType.typeName() == "array"
-        parts.append(F.transform(F.array_distinct(c), lambda v, name=name: one(name, v)) if is_array else F.array(one(name, c)))
+        parts.append(each(name, c) if is_array else F.array(one(name, c)))
     for name, c in flags.items():
         parts.append(F.when(c, F.array(F.struct(F.lit(name).alias("metric"), F.lit("true").alias("key")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>")))
     return works.select(F.inline(F.concat(*parts))).groupBy("metric", "key").agg(F.count("*").alias("n"))

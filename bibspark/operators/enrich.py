@@ -56,8 +56,9 @@ def country_names(spark: SparkSession) -> DataFrame:
 
 def with_country_name(df: DataFrame, code: str) -> DataFrame:
     """An unknown code is shown as it is. The table has 45 rows."""
-    names = F.broadcast(country_names(df.sparkSession))
-    return df.join(names, df[code] == names["code"], "left").withColumn("country_name", F.coalesce("name", F.col(code))).drop("code", "name")
+    names = country_names(df.sparkSession).select(F.col("code").alias("__code"), F.col("name").alias("__name"))
+    joined = df.join(F.broadcast(names), F.col(code) == F.col("__code"), "left")
+    return joined.withColumn("country_name", F.coalesce("__name", code)).drop("__code", "__name")
 
 
 def normal_work(df: DataFrame) -> DataFrame:

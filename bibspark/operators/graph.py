@@ -61,7 +61,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/bibspark"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     label = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")).checkpoint()
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
@@ -115,7 +115,10 @@ def greedy_modularity(names: list[str], links: dict[tuple[str, str], float]) ->
 
 def typed_nodes(fields: dict[str, Column]) -> Column:
     """Array of (type, label) of a record; fields hold arrays of labels."""
-    return F.concat(*[F.transform(F.array_distinct(c), lambda x, t=t: F.struct(F.lit(t).alias("type"), x.alias("label"))) for t, c in fields.items()])
+    def of(t: str, c: Column) -> Column:
+        return F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(t).alias("type"), x.alias("label")))
+
+    return F.concat(*[of(t, c) for t, c in fields.items()])
 
 
 def node_id(kind: Column, label: Column) -> Column:
@@ -133,14 +136,19 @@ def evidence_nodes(records: DataFrame, fields: dict[str, Column], title: str, ci
 def evidence_edges(records: DataFrame, fields: dict[str, Column], title: str, citations: str, allowed=PAIRS) -> DataFrame:
     """Src < dst, weight, weight_raw, citations, papers. Pairs of one type count twice in
     weight and citations, as both orders are visited (weight_raw: once)."""
-    ids = {t: F.transform(F.array_distinct(c), lambda x, t=t: F.concat(F.lit(f"{t}:"), F.lower(x))) for t, c in fields.items()}
+    def ids_of(t: str) -> Column:
+        return F.transform(F.array_distinct(fields[t]), lambda x: F.concat(F.lit(f"{t}:"), F.lower(x)))
+
+    def cross(a: Column, b: Column) -> Column:
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.lit(1).alias("times")))))
+
+    ids = {t: ids_of(t) for t in fields}
     parts = []
     for a, b in allowed:
         if a == b:
             parts.append(F.transform(pairs(ids[a]), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(2).alias("times"))))
         else:
-            cross = F.flatten(F.transform(ids[a], lambda x, b=b: F.transform(ids[b], lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.lit(1).alias("times")))))
-            parts.append(cross)
+            parts.append(cross(ids[a], ids[b]))
     rows = records.select(F.col(title).alias("t"), F.col(citations).alias("c"), F.inline(F.concat(*parts)))
     return rows.groupBy("src", "dst").agg(F.sum("times").alias("weight"), F.count("*").alias("weight_raw"), F.sum(F.col("c") * F.col("times")).alias("citations"), F.count_distinct("t").alias("papers"))
 
