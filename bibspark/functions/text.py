@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: labels that stand for a missing value, compared after trim and lower
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown")
@@ -28,7 +29,7 @@ def collapse(x: Column) -> Column:
     return trim_all(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
