@@ -12,8 +12,8 @@ ones meet:
 2. Consecutive windows of a shared anchor form one segment of text. Blocks send each distinct
    segment once, with the smallest doc_id that holds it (its other holders' bytes are settled in
    the block itself, after a comparison of the bytes), to the anchor's bucket.
-3. A bucket sorts the suffixes that start at each window, group by group of equal anchor and
-   offset, in a bottom-up mergesort over all groups at once. Two suffixes are compared through
+3. A bucket leaves out segments whose bytes a segment of a smaller doc_id has (compared) and sorts
+   the suffixes that start at the others' windows, group by group of equal anchor and offset, in a bottom-up mergesort over all groups at once. Two suffixes are compared through
    prefix polynomial hashes: equal over the whole length, or else the common extension is found
    by binary search, in a logarithmic number of hash comparisons, and the next byte decides.
    Neighbours that the hashes call equal are compared byte by byte; at a collision the bucket
@@ -118,6 +118,21 @@ def is_in(a: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, a), len(sorted_) - 1)] == a
 
 
+def copies(buf: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Segments (start, size, owner) whose bytes are those of a segment of the smallest owner, other
+    than their own: found by polynomial hashes, then compared."""
+    h = c.prefix_hash(buf, c.BASES[1])
+    content = c.mix((h[start + size] - h[start]) * c.powers(c.inverse(c.BASES[1]), len(buf) + 1)[start] + size.astype(c.U64))
+    by = np.lexsort((owner, content))
+    s = content[by]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    rep = np.empty(len(by), np.int64)
+    rep[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else by
+    later = np.flatnonzero(owner > owner[rep])
+    later = later[size[later] == size[rep[later]]]
+    return later[same_bytes(loads(buf), start[later], start[rep[later]], size[later])]
+
+
 # ---------------------------------------------------------------- suffix sort
 class Suffixes:
     """Suffixes of buf, compared over at most `length` bytes by prefix polynomial hashes."""
@@ -226,11 +241,18 @@ def repeated(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, ids: np.ndarra
 
 
 def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np.ndarray, length: int):
-    """Sorts all windows of segments that stand one after the other; gives the repeated intervals:
-    segment, first byte and end, counted from the segment's start."""
-    first = np.cumsum(count + length - 1) - (count + length - 1)
-    seg = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    """Sorts the windows of segments that stand one after the other; gives the repeated intervals:
+    segment, first byte and end, counted from the segment's start. A copy of a segment of a smaller
+    owner is repeated as a whole; only the others' windows are sorted."""
+    size = count + length - 1
+    first = np.cumsum(size) - size
+    whole = copies(buf, first, size, owner)
+    alone = np.ones(len(count), bool)
+    alone[whole] = False
+    alone = np.flatnonzero(alone)
+    n = count[alone]
+    seg = np.repeat(alone, n)
+    step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     base, gram = c.BASES[2], length // 2
     h = c.prefix_hash(buf, base)
     a = first + rel
@@ -242,7 +264,7 @@ def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np
     edge[1:] &= ~hit[:-1] | (seg[1:] != seg[:-1])
     close[:-1] &= ~hit[1:] | (seg[1:] != seg[:-1])
     x, y = np.flatnonzero(edge), np.flatnonzero(close)
-    return seg[x], step[x], step[y] + length
+    return np.concatenate([whole, seg[x]]), np.concatenate([np.zeros_like(whole), step[x]]), np.concatenate([size[whole], step[y] + length])
 
 
 # ---------------------------------------------------------------- operator
@@ -311,16 +333,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             pick = np.flatnonzero((shared | (low < high))[place])
             start, count, rel, key, owner = start[pick], count[pick], rel[pick], key[pick], owner[pick]
             size = count + length - 1
-            h = c.prefix_hash(buf, c.BASES[1])
-            content = c.mix((h[start + size] - h[start]) * c.powers(c.inverse(c.BASES[1]), len(buf) + 1)[start] + size.astype(c.U64))
-            by = np.lexsort((owner, content))
-            s = content[by]
-            new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-            rep = np.empty(len(by), np.int64)
-            rep[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else by
-            later = np.flatnonzero(owner > owner[rep])
-            later = later[(size[later] == size[rep[later]])]
-            later = later[same_bytes(loads(buf), start[later], start[rep[later]], size[later])]
+            later = copies(buf, start, size, owner)
             gone = cover(len(buf), start[later], start[later] + size[later])
             a, b, _ = runs(gone, offs)
             out.append((int(row["block"]) & ((1 << bits) - 1), row["block"], 1, pack_spans(a, b)))
