@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.functions.text import PLACEHOLDERS
+from bibspark.operators import dedup
+
 
 def report(checks: DataFrame) -> DataFrame:
     """One row: the checks, errors (array), passed."""
@@ -39,6 +42,48 @@ def corpus_gate(df: DataFrame, originals: int, target: int, required: list[str],
     )
 
 
+def expansion_gate(originals: DataFrame, selected: DataFrame, expanded: DataFrame, quotas: list[tuple[str, int]], n_originals: int, reference: Column, id_col: str, group: str, keys: str = "keys") -> DataFrame:
+    """V1, all ten checks, in one row: originals, and the selected additions with group, keys (of
+    dedup_keys), in_scope, is_retracted, title, authors and source_name. reference: the condition
+    that exactly one addition meets."""
+    filled = (F.coalesce("title", F.lit("")) != "") & (F.coalesce(F.size("authors"), F.lit(0)) > 0) & (F.coalesce("source_name", F.lit("")) != "")
+    additions = selected.agg(
+        (F.count("*") == sum(n for _, n in quotas)).alias("target_met"),
+        F.coalesce(F.bool_and(F.coalesce("in_scope", F.lit(False))), F.lit(True)).alias("all_in_scope"),
+        (F.count_if("is_retracted") == 0).alias("none_retracted"),
+        F.coalesce(F.bool_and(filled), F.lit(True)).alias("required_metadata"),
+        (F.count_if(reference) == 1).alias("reference_once"),
+    )
+    spine = selected.sparkSession.createDataFrame(quotas, f"`{group}` string, quota long")
+    counts = selected.groupBy(group).agg(F.count("*").alias("n")).join(spine, group, "full")
+    none = lambda df, name: df.agg((F.count("*") == 0).alias(name))
+    known = dedup.anti_join_any_key(selected, originals, id_col, keys)
+    parts = [
+        originals.agg((F.count("*") == n_originals).alias("originals")),
+        additions,
+        expanded.agg(F.count("*").alias("all")).crossJoin(originals.unionByName(selected, allowMissingColumns=True).agg(F.count("*").alias("parts"))).select((F.col("all") == F.col("parts")).alias("additive")),
+        none(counts.where(~F.col("n").eqNullSafe(F.col("quota"))), "quotas_met"),
+        none(selected.join(known.select(id_col), id_col, "left_anti"), "no_cross_duplicates"),
+        none(dedup.incremental_duplicates(selected, id_col, keys).where("is_duplicate"), "no_within_duplicates"),
+    ]
+    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+def six_type_gate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """V3, the part that concerns data: nodes (type, label), edges (type)."""
+    unnamed = F.coalesce(F.lower(F.trim("label")), F.lit("")).isin("", *PLACEHOLDERS)
+    n = nodes.agg((F.count_if(unnamed) == 0).alias("no_unnamed_nodes"), (F.size(F.collect_set("type")) == 6).alias("all_node_types"))
+    return n.crossJoin(edges.agg((F.size(F.collect_set("type")) == 6).alias("all_edge_types")))  # one row each
+
+
+def evidence_report(nodes: DataFrame, edges: DataFrame, types=("author", "affiliation", "journal", "topic", "year")) -> DataFrame:
+    """G3, one row: nodes by type, nodes and edges, what there must be, and the verdict."""
+    by_type = nodes.agg(*[F.count_if(F.col("type") == k).alias(f"{k}_nodes") for k in types], F.count("*").alias("nodes"))
+    both = by_type.crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    must = {f"has_{k}_nodes": F.col(f"{k}_nodes") > 0 for k in ("author", "topic", "affiliation")}
+    return both.withColumns(must).withColumn("passed", (F.col("nodes") > 0) & (F.col("edges") > 0))
+
+
 def quota_gate(selected: DataFrame, group: str, quotas: list[tuple[str, int]]) -> DataFrame:
     """Per-group quotas: group, n, quota, complete."""
     spine = selected.sparkSession.createDataFrame(quotas, f"`{group}` string, quota int")

@@ -478,21 +478,21 @@ def incremental_duplicates(spark, d):
     return dedup.incremental_duplicates(_keyed(spark, d), "work_id").select("work_id", "is_duplicate")
 
 
-@on_works(", o AS (SELECT work_id, title, citations FROM works WHERE work_id % 3 < 2), n AS (SELECT work_id, NULLIF(title, '') AS title, citations + 1 AS citations FROM works WHERE work_id % 3 > 0) SELECT work_id, coalesce(n.title, o.title) AS title, coalesce(n.citations, o.citations) AS citations FROM o FULL JOIN n USING (work_id)")
+@on_works(", o AS (SELECT work_id, title, citations FROM works WHERE status <> 'O'), n AS (SELECT work_id, NULLIF(title, '') AS title, citations + 1 AS citations FROM works WHERE status <> 'F') SELECT work_id, coalesce(n.title, o.title) AS title, coalesce(n.citations, o.citations) AS citations FROM o FULL JOIN n USING (work_id)")
 def merge_corpora(spark, d):
     w = works(spark, d)
-    old = w.where("work_id % 3 < 2").select("work_id", "title", "citations")
-    new = w.where("work_id % 3 > 0").select("work_id", F.nullif("title", F.lit("")).alias("title"), (F.col("citations") + 1).alias("citations"))
+    old = w.where("status <> 'O'").select("work_id", "title", "citations")
+    new = w.where("status <> 'F'").select("work_id", F.nullif("title", F.lit("")).alias("title"), (F.col("citations") + 1).alias("citations"))
     return dedup.merge_corpora(old, new, "work_id")
 
 
-@on_works("""SELECT work_id, coalesce(NULLIF(trim(CASE WHEN work_id % 3 = 0 THEN title END), ''), NULLIF(trim(CASE WHEN work_id % 2 = 0 THEN upper(title) END), ''), NULLIF(trim('local ' || work_id), '')) AS title,
-coalesce(NULLIF(trim(CASE WHEN status = 'F' THEN work_type END), ''), NULLIF(trim(CASE WHEN work_id % 3 = 0 THEN source_name END), '')) AS abstract FROM works""")
+@on_works("""SELECT work_id, coalesce(NULLIF(trim(CASE WHEN status = 'F' THEN title END), ''), NULLIF(trim(CASE WHEN status <> 'O' THEN upper(title) END), ''), NULLIF(trim('local ' || work_id), '')) AS title,
+coalesce(NULLIF(trim(CASE WHEN status = 'P' THEN work_type END), ''), NULLIF(trim(CASE WHEN status = 'F' THEN source_name END), '')) AS abstract FROM works""")
 def precedence_merge(spark, d):
     w = works(spark, d)
-    local = w.select("work_id", F.concat(F.lit("local "), "work_id").alias("title"), F.when(F.col("status") == "F", F.col("work_type")).alias("abstract"))
-    crossref = w.where("work_id % 3 = 0").select("work_id", "title", F.col("source_name").alias("abstract"))
-    openalex = w.where("work_id % 2 = 0").select("work_id", F.upper("title").alias("title"), F.lit(None).cast("string").alias("abstract"))
+    local = w.select("work_id", F.concat(F.lit("local "), "work_id").alias("title"), F.when(F.col("status") == "P", F.col("work_type")).alias("abstract"))
+    crossref = w.where("status = 'F'").select("work_id", "title", F.col("source_name").alias("abstract"))
+    openalex = w.where("status <> 'O'").select("work_id", F.upper("title").alias("title"), F.lit(None).cast("string").alias("abstract"))
     return enrich.merge_sources({"local": local, "crossref": crossref, "openalex": openalex}, "work_id")
 
 
@@ -503,10 +503,10 @@ def mods_xml(spark, d):
     return w.select("work_id", records.mods(w).alias("xml"))
 
 
-@on_works("SELECT status, count(*) AS n FROM (SELECT CASE WHEN work_id % 5 = 0 THEN 'skipped_existing' WHEN title = '' THEN 'failed' ELSE 'ok' END AS status FROM works) GROUP BY 1")
+@on_works("SELECT state AS status, count(*) AS n FROM (SELECT CASE WHEN status = 'F' THEN 'skipped_existing' WHEN title = '' THEN 'failed' ELSE 'ok' END AS state FROM works) GROUP BY 1")
 def resume_anti_join(spark, d):
     w = works(spark, d)
-    done = w.where("work_id % 5 = 0").select("work_id").withColumn("status", F.lit("ok"))
+    done = w.where("status = 'F'").select("work_id").withColumn("status", F.lit("ok"))
     todo = records.pending(w, done, "work_id")
     return records.manifest(w, done, todo.where("title = ''"), "work_id").groupBy("status").agg(F.count("*").alias("n"))
 
@@ -595,6 +595,49 @@ def flow_funnel(spark, d):
     return counts.crossJoin(F.broadcast(gates.flow_gate(nodes, edges)))  # one row each
 
 
+@on_works(NODES5_SQL + EDGES5_SQL + "SELECT count(*) AS nodes, (SELECT count(*) FROM e5) AS edges, count(*) FILTER (type = 'author') AS author_nodes, count(*) FILTER (type = 'affiliation') AS affiliation_nodes, count(*) FILTER (type = 'journal') AS journal_nodes, count(*) FILTER (type = 'topic') AS topic_nodes, count(*) FILTER (type = 'year') AS year_nodes, true AS has_author_nodes, true AS has_topic_nodes, true AS has_affiliation_nodes, true AS passed FROM n5")
+def evidence_report(spark, d):
+    """G3."""
+    w = works(spark, d)
+    return gates.evidence_report(graph.evidence_nodes(w, _fields(), "title", "citations"), graph.evidence_edges(w, _fields(), "title", "citations"))
+
+
+@on_works(PAPERS_SQL + "SELECT (SELECT count(*) FROM six WHERE trim(lower(label)) IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'unknown')) = 0 AS no_unnamed_nodes, (SELECT count(DISTINCT type) FROM six) = 6 AS all_node_types, (SELECT count(DISTINCT type) FROM e WHERE src IN (SELECT id FROM six) AND dst IN (SELECT id FROM six)) = 6 AS all_edge_types")
+def six_type_gate(spark, d):
+    """V3."""
+    p = _papers(spark, d)
+    nodes = graph.six_type_nodes(p, CAPS)
+    return gates.six_type_gate(nodes, graph.induced(graph.six_type_edges(p), nodes, "id"))
+
+
+@on_works(KEYED_SQL + """, s AS (SELECT work_id FROM works WHERE status = 'P'), v AS (SELECT key, min(work_id) AS first FROM x WHERE status = 'P' GROUP BY 1)
+SELECT (SELECT count(*) FROM works WHERE status <> 'P') = 150 AS originals, (SELECT count(*) FROM s) = 50 AS target_met, true AS all_in_scope, true AS none_retracted,
+(SELECT bool_and(title <> '' AND len(authors) > 0 AND source_name <> '') FROM works WHERE status = 'P') AS required_metadata, (SELECT count(*) FROM s WHERE work_id = 1) = 1 AS reference_once, true AS additive,
+(SELECT list((source_name, n) ORDER BY source_name) FROM (SELECT source_name, count(*)::INT AS n FROM works WHERE status = 'P' GROUP BY 1)) = [('AUTOMOBILE', 25), ('BUILDING', 25)] AS quotas_met,
+NOT exists(SELECT 1 FROM x WHERE status = 'P' AND key IN (SELECT key FROM x WHERE status <> 'P')) AS no_cross_duplicates, NOT exists(SELECT 1 FROM x JOIN v USING (key) WHERE status = 'P' AND first < work_id) AS no_within_duplicates""")
+def expansion_gate(spark, d):
+    """V1: pending orders as additions to all others."""
+    k = _keyed(spark, d).select("work_id", "keys")
+    w = works(spark, d).join(k, "work_id").select("*", F.lit(True).alias("in_scope"), F.lit(False).alias("is_retracted"))
+    old, new = w.where("status <> 'P'"), w.where("status = 'P'")
+    return gates.expansion_gate(old, new, w, [("AUTOMOBILE", 25), ("BUILDING", 25)], 150, F.col("work_id") == 1, "work_id", "source_name")
+
+
+@query(r"""SELECT p_partkey AS doc_id, array_to_string(list_filter([CASE WHEN p_size <= 10 THEN 'title' END, 'keywords', CASE WHEN p_size > 40 THEN 'caption_or_label' END, 'too_few_words',
+CASE WHEN p_size <= 20 THEN 'section: methods' END, 'section: results', 'section: discussion', 'section: conclusion', CASE WHEN p_brand NOT IN ('Brand#1', 'Brand#2') THEN 'citation: ' || p_brand END], lambda x: x IS NOT NULL), '; ') AS errors, 1 AS figures, 3 AS known FROM part""")
+def document_report(spark, d):
+    """V6: a manuscript for each part."""
+    lines = [
+        F.lit("\\documentclass{article}\n\\begin{document}"), F.when(F.col("p_size") > 10, F.concat(F.lit("\\title{"), "p_name", F.lit("}"))), F.lit("% \\keywords{none}\n\\begin{abstract}\nshort\n\\end{abstract}\n\\section{Introduction}"),
+        F.when(F.col("p_size") > 20, F.lit("\\section*{Data \\& Methods}\\section{Methods}")), F.concat(F.lit("\\cite{"), "p_brand", F.lit("}\n\\begin{figure}\\caption{x}")), F.when(F.col("p_size") <= 40, F.lit("\\label{y}")),
+        F.lit("\\end{figure}\n\\bibitem{Brand#1}\n\\bibitem{z}\n\\end{document}"),
+    ]
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    more = docs.select("doc_id", F.lit("Brand#2").alias("key"))
+    out = textgate.document_report(docs, more, min_words=1000)
+    return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), F.col("metrics.figure_count").alias("figures"), F.col("metrics.bibliography_key_count").alias("known"))
+
+
 @on_works("SELECT true AS rows_agree, (SELECT count(DISTINCT work_id) FROM works) = (SELECT count(*) FROM works) AS ids_distinct")
 def consistency_gate(spark, d):
     w = works(spark, d)

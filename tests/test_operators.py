@@ -93,3 +93,51 @@ def test_records(spark, tmp_path):
     spark.dataSource.register(records.SearchSource)
     rows = spark.read.format("bibspark_search").option("queries", "q one\nq two").option("landing", str(tmp_path)).load().collect()
     assert {(r["query"], r["status"]) for r in rows} == {("q one", "replayed"), ("q two", "missing")}
+
+
+def test_workflows(spark, tmp_path):
+    from bibspark.__main__ import main
+    from bibspark.plans import workflows
+
+    rows = [
+        {"title": f"Review of tutoring {k}" if k % 2 else f"Learning analytics {k}", "year": 2015 + k % 10, "authors": ["Ann", "Bob", f"C{k % 3}"], "journal": f"J{k % 2}", "institutions": ["U", "V"], "countries": ["US", "CA"], "topics": ["t1", f"t{k % 4}"], "citations": 30 * k}
+        for k in range(20)
+    ]
+    (tmp_path / "r.json").write_text(json.dumps(rows))
+    raw = records.read_records(spark, str(tmp_path / "r.json"))
+    for run in ("classify", "metadata", "mods", "temporal", "graph"):
+        code = main([run, str(tmp_path / "r.json"), str(tmp_path / run)])
+        assert code == 0, run
+    assert spark.read.json(str(tmp_path / "classify" / "classified")).count() == 20
+    figures = workflows.plan_figures(raw, 2015, 2024)
+    assert figures["review_gate"].first().passed and figures["other_gate"].first().passed
+    nets = workflows.collaboration(raw)
+    assert {r.dimension: r.passed for r in nets["statistics"].collect()} == {"authors": True, "institutions": True, "countries": True}
+    assert {r.node for r in nets["countries_nodes"].collect()} == {"US", "CA"}
+    trend = workflows.temporal_topics(raw, 2015, 2024)["annual_counts"].collect()
+    assert {r.n for r in trend} == {2}
+
+
+def test_expansion(spark):
+    schema = "corpus_id string, title string, keys array<string>, direction string, score double, cited_by_count long, in_scope boolean, is_retracted boolean, authors array<string>, source_name string"
+    row = lambda i, keys, g, s: (i, f"T {i}", keys, g, s, 1, True, False, ["a"], "j")
+    old = spark.createDataFrame([("o1", "T o1", ["k1"])], "corpus_id string, title string, keys array<string>")
+    new = spark.createDataFrame([row("c1", ["k1"], "A", 9.0), row("c2", ["k2"], "A", 8.0), row("c3", ["k2"], "B", 9.0), row("c4", ["k4"], "B", 1.0)], schema)
+    from bibspark.plans import workflows
+
+    out = workflows.expand_corpus(old, new, [("A", 1), ("B", 1)], 1, "T c2")
+    assert {r.corpus_id for r in out["selected"].collect()} == {"c2", "c4"} and out["expanded"].count() == 3
+    assert out["gate"].first().passed and not workflows.expand_corpus(old, new, [("A", 2)], 1, "T c2")["gate"].first().passed
+
+
+def test_document_report(spark):
+    good = "\\documentclass{article}\n\\begin{document}\n\\title{A}\n\\begin{abstract}x\\end{abstract}\n\\keywords{k}\n" + "".join(f"\\section{{{s}}}\n" for s in ("Introduction", "Methods", "Results", "Discussion", "Conclusion"))
+    good += "\\includegraphics{fig/a} \\includegraphics{b.png}\\cite{r}\n\\bibitem{r}\n\\end{document}"
+    docs = spark.createDataFrame([(1, good), (2, None)], "doc_id int, text string")
+    files = spark.createDataFrame([("fig/a.svg", "图"), ("b.png", None)], "path string, text string")
+    got = {r.doc_id: r for r in textgate.document_report(docs, files=files).collect()}
+    assert got[1].passed and got[1].metrics.resolved_citation_count == 1 and {"documentclass", "title", "section: methods"} <= set(got[2].errors)
+    english = {r.doc_id: r.errors for r in textgate.document_report(docs, files=files, language="english").collect()}
+    assert english[1] == ["figure_language: fig/a.svg"]
+    lost = {r.doc_id: r.errors for r in textgate.document_report(docs, files=files.where("path = 'b.png'"), min_figures=1).collect()}
+    assert lost[1] == ["too_few_figures", "file: fig/a"]
