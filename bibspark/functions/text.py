@@ -7,7 +7,7 @@ import html
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,3 +216,9 @@ def dimension(name: str) -> str:
         return DIMENSIONS[name.strip().lower()]
     except KeyError:
         raise ValueError(f"unknown dimension {name!r}") from None
+
+
+def unroll(df: DataFrame, *columns, array: Column, key: str) -> DataFrame:
+    """columns and a row for each struct of array; key names a field that is never NULL. Below an
+    inner inline() the optimizer puts a filter on the array's size, which computes the array twice."""
+    return df.select(*columns, F.inline_outer(array)).where(F.col(key).isNotNull())

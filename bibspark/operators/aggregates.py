@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibspark.functions.text import unroll
+
 
 def annual_counts(works: DataFrame, start: int, end: int) -> DataFrame:
     """A2: every year of the range, zero-filled."""
@@ -95,7 +97,7 @@ def corpus_summary(works: DataFrame, dimensions: dict[str, Column], flags: dict[
         parts.append(each(name, c) if is_array else F.array(one(name, c)))
     for name, c in flags.items():
         parts.append(F.when(c, F.array(F.struct(F.lit(name).alias("metric"), F.lit("true").alias("key")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>")))
-    return works.select(F.inline(F.concat(*parts))).groupBy("metric", "key").agg(F.count("*").alias("n"))
+    return unroll(works, array=F.concat(*parts), key="metric").groupBy("metric", "key").agg(F.count("*").alias("n"))
 
 
 def search_log(df: DataFrame, query: str, reason: str) -> DataFrame:

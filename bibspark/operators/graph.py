@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibspark.functions.text import unroll
+
 #: Pairs of node types that the evidence graph connects.
 PAIRS = (("author", "author"), ("author", "affiliation"), ("author", "journal"), ("author", "topic"), ("author", "year"), ("journal", "year"), ("topic", "year"), ("affiliation", "topic"))
 MAX_COMMUNITY_NODES = 2000
@@ -20,7 +22,7 @@ def pairs(values: Column) -> Column:
 def collaboration_edges(works: DataFrame, values: str, max_party: int | None = None) -> DataFrame:
     """Src, dst, weight. max_party leaves out larger works (none by default)."""
     kept = works if max_party is None else works.where(F.size(values) <= max_party)
-    return kept.select(F.inline(pairs(F.col(values)))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return unroll(kept, array=pairs(F.col(values)), key="src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def collaboration_nodes(works: DataFrame, values: str) -> DataFrame:
@@ -127,7 +129,7 @@ def node_id(kind: Column, label: Column) -> Column:
 
 def evidence_nodes(records: DataFrame, fields: dict[str, Column], title: str, citations: str) -> DataFrame:
     """Id, type, label (the least spelling), occurrences, citations, papers (by title)."""
-    rows = records.select(F.col(title).alias("t"), F.col(citations).alias("c"), F.inline(typed_nodes(fields)))
+    rows = unroll(records, F.col(title).alias("t"), F.col(citations).alias("c"), array=typed_nodes(fields), key="type")
     return rows.groupBy(node_id(F.col("type"), F.col("label")).alias("id"), "type").agg(
         F.min("label").alias("label"), F.count("*").alias("occurrences"), F.sum("c").alias("citations"), F.count_distinct("t").alias("papers")
     )
@@ -149,7 +151,7 @@ def evidence_edges(records: DataFrame, fields: dict[str, Column], title: str, ci
             parts.append(F.transform(pairs(ids[a]), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(2).alias("times"))))
         else:
             parts.append(cross(ids[a], ids[b]))
-    rows = records.select(F.col(title).alias("t"), F.col(citations).alias("c"), F.inline(F.concat(*parts)))
+    rows = unroll(records, F.col(title).alias("t"), F.col(citations).alias("c"), array=F.concat(*parts), key="src")
     return rows.groupBy("src", "dst").agg(F.sum("times").alias("weight"), F.count("*").alias("weight_raw"), F.sum(F.col("c") * F.col("times")).alias("citations"), F.count_distinct("t").alias("papers"))
 
 
@@ -171,13 +173,13 @@ def six_type_edges(papers: DataFrame) -> DataFrame:
         F.transform(authors, lambda a: edge(a, p["topic"], "author-topic")),
         F.array(edge(p["topic"], p["year"], "topic-year"), edge(p["year"], p["paper"], "year-paper"), edge(p["paper"], p["topic"], "paper-topic"), edge(p["paper"], p["citation"], "paper-citation")),
     )
-    return papers.select(F.inline(every)).groupBy("src", "dst", "type").agg(F.count("*").alias("weight"))
+    return unroll(papers, array=every, key="type").groupBy("src", "dst", "type").agg(F.count("*").alias("weight"))
 
 
 def six_type_nodes(papers: DataFrame, caps: dict[str, int]) -> DataFrame:
     """The most frequent labels of each type within its cap: id, type, label, n, rank."""
     f = {t: F.array(F.col(c).cast("string")) for t, c in (("journal", "journal"), ("topic", "topic"), ("year", "year"), ("paper", "paper"), ("citation", "band"))} | {"author": F.col("authors")}
-    rows = papers.select(F.inline(typed_nodes(f))).groupBy("type", "label").agg(F.count("*").alias("n"))
+    rows = unroll(papers, array=typed_nodes(f), key="type").groupBy("type", "label").agg(F.count("*").alias("n"))
     w = Window.partitionBy("type").orderBy(F.desc("n"), F.lower("label"), "label")
     cap = F.element_at(F.create_map(*[x for t, k in caps.items() for x in (F.lit(t), F.lit(k))]), F.col("type"))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).withColumn("id", node_id(F.col("type"), F.col("label")))

@@ -52,7 +52,7 @@ def on_works(sql: str):
 
 def texts(spark, d) -> DataFrame:
     x = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.substring(x, 1, 40).alias("title"), x.alias("abstract"))
+    return records.spread(table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars", F.substring(x, 1, 40).alias("title"), x.alias("abstract"))
 
 
 # ---------------------------------------------------------------- projections
@@ -332,7 +332,7 @@ def evidence_filtered(spark, d):
 @on_works("SELECT type, count(*) AS n FROM (SELECT 'author' AS type, unnest(authors) AS l FROM works UNION SELECT 'topic', unnest(topics) FROM works UNION SELECT 'journal', source_name FROM works) GROUP BY 1")
 def node_type_counts(spark, d):
     w = works(spark, d)
-    rows = w.select(F.inline(graph.typed_nodes({"author": F.col("authors"), "topic": F.col("topics"), "journal": F.array("source_name")}))).distinct()
+    rows = t.unroll(w, array=graph.typed_nodes({"author": F.col("authors"), "topic": F.col("topics"), "journal": F.array("source_name")}), key="type").distinct()
     return rows.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -386,7 +386,7 @@ def _classified(spark, d):
 
 @query(SCORES_SQL + " SELECT doc_id, code, score FROM hits")
 def topic_scores(spark, d):
-    return classify.with_scores(texts(spark, d), RULES, weights=SECTION_WEIGHTS).select("doc_id", F.inline("ranked"))
+    return t.unroll(classify.with_scores(texts(spark, d), RULES, weights=SECTION_WEIGHTS), "doc_id", array=F.col("ranked"), key="code")
 
 
 @query(CLASS_SQL + "SELECT doc_id, in_scope, primary_code, confidence FROM cls")
@@ -405,7 +405,7 @@ def _direction_sql(x: Direction, column: str, patterns) -> str:
 
 @query(TEXTS_SQL + " ".join([""]) + " UNION ALL ".join(f" SELECT doc_id, '{x.code}' AS direction FROM texts WHERE {_direction_sql(x, 'abstract', x.patterns)}" for x in DIRECTIONS))
 def multi_label_directions(spark, d):
-    return texts(spark, d).select("doc_id", F.explode(classify.directions(F.col("abstract"), DIRECTIONS)).alias("direction"))
+    return texts(spark, d).select("doc_id", F.explode_outer(classify.directions(F.col("abstract"), DIRECTIONS)).alias("direction")).where("direction is not null")
 
 
 @query(TEXTS_SQL + f""" SELECT doc_id, round(CASE WHEN {_direction_sql(DIRECTIONS[0], 'abstract', DIRECTIONS[0].patterns)} AND {_direction_sql(DIRECTIONS[0], 'title', DIRECTIONS[0].title_patterns)}

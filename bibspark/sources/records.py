@@ -48,6 +48,16 @@ def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return df.drop("_corrupt_record").dropna(how="all")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer bytes than one split for each core is dealt over the cores, as its few row
+    groups would else be the tasks of all that follows; a larger scan is left as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def _text(df: DataFrame, name: str) -> Column:
     """A field as text; arrays joined by newlines, so that labels with ; stay whole only in arrays."""
     kind = df.schema[name].dataType.typeName()
