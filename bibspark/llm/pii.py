@@ -1,6 +1,7 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
-E-mail addresses, phone numbers, payment cards, IPv4 addresses, secrets (values of token, key,
+E-mail addresses, phone numbers, payment cards, bank accounts (IBAN), identity numbers written
+ddd-dd-dddd, IPv4 addresses, secrets (values of token, key,
 password and the like; long hexadecimal strings) and names after a title are found by patterns.
 
 Surrogates of all but names come from a keyed permutation without fixed points of the strings of
@@ -8,7 +9,7 @@ one format: a Feistel network E over the format's numbers, then D(E(x) + 1). So
 share a surrogate, none keeps its own, and one entity has one surrogate in all documents, without a
 table of them: distinctness and coreference hold by construction and need no exchange. Entities are
 permuted in a canonical form (digits of a phone number, small letters of an address) and the
-mention's punctuation and case are put back. Cards keep their check digit's validity, addresses
+mention's punctuation and case are put back. Cards and bank accounts keep their check digits' validity, addresses
 their ranges, phone numbers their country code.
 
 Names have no finite format: a keyed hash spells a given name of the title's gender and a family
@@ -51,6 +52,8 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))"
     r"|(?P<card>(?<![\d-])(?:\d{4}([ -]?)\d{4}\4\d{4}\4\d{4}|3[47]\d{2}([ -]?)\d{6}\5\d{5})(?![\d-]))"
+    r"|(?P<iban>(?<![\w-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d{1,3})?)(?![\w-]))"
+    r"|(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d))"
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d))"
     r"|(?P<secret>(?:(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9+/_=.-]{8,}))"
     r"|(?P<hex>\b(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
@@ -185,6 +188,24 @@ def phone(s: str, key: bytes) -> str:
     return with_digits(s, digits[:keep] + permute_classes(digits[keep:], key, b"phone"))
 
 
+def iban(s: str, key: bytes) -> str:
+    """Country kept; the account is permuted, and the check digits keep their validity (modulo 97);
+    those that no account has (00, 01, 99) stay, so that distinct mentions stay distinct."""
+    plain = s.replace(" ", "")
+    number = lambda x: int("".join(str(int(ch, 36)) for ch in x))
+    old = number(plain[4:] + plain[:4]) % 97
+    body = permute_classes(plain[4:], key, b"iban" + plain[:2].encode())
+    check = (old - number(body + plain[:2] + "00")) % 97
+    check = plain[2:4] if plain[2:4] in ("00", "01", "99") else f"{check if check > 1 else check + 97:02d}"
+    new = plain[:2] + check + body
+    it = iter(new)
+    return "".join(ch if ch == " " else next(it) for ch in s)
+
+
+def ssn(s: str, key: bytes) -> str:
+    return permute_classes(s, key, b"ssn")
+
+
 def hexadecimal(s: str, key: bytes) -> str:
     low = s.lower()
     new = f"{permute(int(low, 16), 16 ** len(low), key, b'hex%d' % len(low)):0{len(low)}x}"
@@ -228,13 +249,13 @@ def find(text: str):
         elif m["value"]:
             yield "secret", *m.span("value"), ""
         else:
-            kind = next(k for k in ("email", "ip", "card", "phone", "hex") if m[k])
+            kind = next(k for k in ("email", "ip", "card", "iban", "ssn", "phone", "hex") if m[k])
             if kind == "phone" and not 7 <= len(re.sub(r"\D", "", m[0])) <= 15:
                 continue
             yield kind, *m.span(), ""
 
 
-MAKE = {"email": email, "ip": ip, "card": card, "phone": phone, "hex": hexadecimal, "secret": secret}
+MAKE = {"email": email, "ip": ip, "card": card, "iban": iban, "ssn": ssn, "phone": phone, "hex": hexadecimal, "secret": secret}
 
 
 def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[dict]]:

@@ -222,6 +222,11 @@ def test_pii(spark, docs, empty):
     assert all(new[m["start"] : m["end"]] == m["surrogate"] for m in made) and made[0]["surrogate"].lower() == made[7]["surrogate"]
     assert made[4]["surrogate"] == made[5]["surrogate"] and made[3]["surrogate"].startswith("10.") and made[1]["surrogate"].startswith("+1 (")
     assert not any(x in new for x in ("555-7713", "4952 9359", "04dbebab", "Meier", "Ann.Lee"))
+    new, made = pii.replace("SSN 123-45-6789, account DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432; AB12 is none")
+    assert [m["type"] for m in made] == ["ssn", "iban", "iban"] and "AB12 is none" in new and "123-45-6789" not in new
+    valid = lambda x: int("".join(str(int(ch, 36)) for ch in x[4:] + x[:4])) % 97 == 1
+    a, b = (m["surrogate"] for m in made[1:])
+    assert a[:2] == "DE" and [k for k, ch in enumerate(a) if ch == " "] == [4, 9, 14, 19, 24] and valid(a.replace(" ", "")) and b[:2] == "GB" and b[4:8].isalpha() and valid(b)
     assert sorted(pii.permute(x, 1000, b"k", b"t") for x in range(1000)) == list(range(1000))
     assert all(pii.permute(x, 1000, b"k", b"t") != x for x in range(1000))
     assert len({pii.ip(f"192.168.{a}.{b}", b"k") for a in range(4) for b in range(200)}) == 800
