@@ -106,9 +106,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     row but names a component only if that holds no other; repeated rows stay.
     """
     own = c.materialize(fingerprints(docs))
+    return linked(own, links(own.select("fp").distinct(), max_bits))
+
+
+def linked(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """own (doc_id, row_key, fp) with component_id and keep_key of the components of edges (a, b)
+    between fps."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key"))
     classes = c.materialize(own.groupBy("fp").agg(least.alias("low")))
-    roots = c.components(links(classes.select("fp"), max_bits))
+    roots = c.components(edges)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("least"))
     ids = named.join(lows, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keep_key"))
@@ -117,7 +123,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component, all columns kept."""
-    keep = near_duplicates(docs, max_bits).where("row_key = keep_key").select(F.col("row_key").alias("__key")).distinct()
+    return keep_first(docs, near_duplicates(docs, max_bits))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the rows that found (row_key, keep_key) names, each once."""
+    keep = found.where("row_key = keep_key").select(F.col("row_key").alias("__key")).distinct()
     one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     kept = docs.withColumn("__key", row_key()).join(keep, "__key").withColumn("__one", one).where("__one = 1")
     return kept.select(*docs.columns)
