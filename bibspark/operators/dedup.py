@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates that the quota selection takes to the driver at most: it is a bounded search's result.
-MAX_CANDIDATES = 100_000
+#: Candidates that the quota selection takes to the driver at a time.
+BLOCK = 1000
 
 
 def dedup_keys(index_id: Column, doi: Column, title: Column) -> Column:
@@ -32,23 +34,33 @@ def best_per_key(df: DataFrame, group: str, keys: str, score: str, arrival: str,
 
 def quota_selection(df: DataFrame, quotas: list[tuple[str, int]], group: str, id_col: str, keys: str, order: list[Column]) -> DataFrame:
     """Groups in the given order take their best records until the quota, skipping those one of
-    whose keys is taken. What is taken depends on all before, so it runs on the driver, over no
-    more than MAX_CANDIDATES candidates. Returns group, nth, id_col."""
-    wanted = df.where(F.col(group).isin([g for g, _ in quotas])).select(group, id_col, keys, F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("__n"))
-    rows = wanted.limit(MAX_CANDIDATES + 1).collect()
-    if len(rows) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
+    whose keys is taken. What is taken depends on all before, so the driver walks each group's
+    ranked records, a block at a time: the next block leaves out all that the keys taken so far
+    exclude, so its first record is always taken and the walk ends with the quota or the group.
+    Returns group, nth, id_col."""
+    wanted = df.where(F.col(group).isin([g for g, _ in quotas])).withColumn("__id", F.col(id_col)).persist()
     taken: set[str] = set()
     out = []
     for g, quota in quotas:
-        n = 0
-        for r in sorted((r for r in rows if r[group] == g), key=lambda r: r["__n"]):
-            if n == quota:
+        n = keyless = 0  # records without keys that were taken come first again
+        while n < quota:
+            left = wanted.where(F.col(group) == g)
+            if taken:
+                known = F.from_json(F.lit(json.dumps(sorted(taken))), "array<string>")
+                left = left.where(~F.coalesce(F.arrays_overlap(F.col(keys), known), F.lit(False)))
+            rows = left.orderBy(*order, "__id").select("__id", keys).limit(keyless + BLOCK).collect()[keyless:]
+            if not rows:
                 break
-            if taken.isdisjoint(r[keys]):
-                taken.update(r[keys])
-                n += 1
-                out.append((g, n, r[id_col]))
+            for r in rows:
+                if n == quota:
+                    break
+                own = [k for k in r[keys] or [] if k is not None]
+                if taken.isdisjoint(own):
+                    taken.update(own)
+                    keyless += not own
+                    n += 1
+                    out.append((g, n, r["__id"]))
+    wanted.unpersist()
     kind = df.schema[id_col].dataType.simpleString()
     return df.sparkSession.createDataFrame(out, f"`{group}` string, nth int, `{id_col}` {kind}")
 
