@@ -12,14 +12,14 @@ permuted in a canonical form (digits of a phone number, small letters of an addr
 mention's punctuation and case are put back. Cards and bank accounts keep their check digits' validity, addresses
 their ranges, phone numbers their country code.
 
-Names have no finite format: a keyed hash spells a given name of the title's gender and a family
-name in the mention's script. Within a document different names that would meet are drawn again.
+Names go the same way: the letters of a part, as a number of its length, are permuted and spelled in
+syllables of its script, so that different names stay different in the whole corpus and a name has
+one spelling whatever its document; a given name gets an ending of the title's gender.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import math
 import re
 
@@ -222,20 +222,37 @@ def script(s: str) -> str:
     return "cyrillic" if re.search(r"[Ѐ-ӿ]", s) else "greek" if re.search(r"[Ͱ-Ͽ]", s) else "latin"
 
 
-def name(s: str, gender: str, key: bytes, turn: int = 0) -> str:
+#: Small letters of each script, at most 64.
+LETTERS = {
+    "latin": LOWER + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])),
+    "cyrillic": "".join(map(chr, range(0x430, 0x450))) + "ё",
+    "greek": "".join(map(chr, range(0x3AC, 0x3CF))),
+}
+
+
+def spell(word: str, key: bytes) -> str:
+    """An injective spelling: 6 bits a letter, permuted among words of one length, 5 bits a syllable,
+    so that the number of syllables tells the length. Words of mixed scripts take 16 bits a letter
+    and end in a consonant, as no other does."""
+    kind = script(word)
+    plain = all(ch in LETTERS[kind] for ch in word)
+    bits = 6 if plain else 16
+    value = 0
+    for ch in word:
+        value = value << bits | (LETTERS[kind].index(ch) if plain else ord(ch))
+    value = permute(value, 1 << bits * len(word), key, f"name|{kind}|{bits}|{len(word)}".encode())
+    out = "".join(SYLLABLES[kind][value >> 5 * j & 31] for j in range(-(-bits * len(word) // 5)))
+    return out if plain else out + SYLLABLES[kind][0][0]
+
+
+def name(s: str, gender: str, key: bytes) -> str:
     """One spelled word for each part of the name; a part that is alone or last is a family name
     and keeps its surrogate whatever stands before it."""
-    kind = script(s)
     parts = re.split(r"([ -])", s)
     last = max(k for k, p in enumerate(parts) if p not in " -")
     for k, p in enumerate(parts):
-        if p in " -":
-            continue
-        family = k == last
-        seed = f"{kind}|{'family' if family else gender}|{p.lower()}|{turn}".encode()
-        bits = int.from_bytes(hmac.new(key, seed, hashlib.sha256).digest()[:8], "big")
-        word = "".join(SYLLABLES[kind][bits >> (5 * j) & 31] for j in range(5 if family else 3))
-        parts[k] = (word + ("" if family else ENDINGS[kind][gender])).capitalize()
+        if p not in " -":
+            parts[k] = (spell(p.lower(), key) + ("" if k == last else ENDINGS[script(p)][gender])).capitalize()
     return "".join(parts)
 
 
@@ -263,20 +280,9 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[dict]]
     if not text or not HINT.search(text):
         return text, []
     out, made, at, shift = [], [], 0, 0
-    people: dict[str, str] = {}
-    taken: dict[str, str] = {}
     for kind, start, end, gender in find(text):
         old = text[start:end]
-        if kind == "name":
-            new = people.get(old)
-            turn = 0
-            while new is None:
-                draft = name(old, gender, key, turn)
-                if taken.setdefault(draft, old) == old and draft != old:
-                    new = people[old] = draft
-                turn += 1
-        else:
-            new = MAKE[kind](old, key)
+        new = name(old, gender, key) if kind == "name" else MAKE[kind](old, key)
         out += [text[at:start], new]
         made.append({"type": kind, "start": start + shift, "end": start + shift + len(new), "surrogate": new})
         shift += len(new) - (end - start)
