@@ -1,7 +1,7 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
-E-mail addresses, phone numbers, payment cards, bank accounts (IBAN), identity numbers written
-ddd-dd-dddd, IPv4 addresses, secrets (values of token, key,
+E-mail addresses, phone numbers, payment cards (13 to 19 digits with a valid check digit, or 15 or 16
+in groups), bank accounts (IBAN), identity numbers written ddd-dd-dddd, IPv4 and IPv6 addresses, secrets (values of token, key,
 password and the like; long hexadecimal strings) and names after a title are found by patterns.
 
 Surrogates of all but names come from a keyed permutation without fixed points of the strings of
@@ -20,6 +20,7 @@ one spelling whatever its document; a given name gets an ending of the title's g
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 
@@ -57,6 +58,10 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d))"
     r"|(?P<secret>(?:(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9+/_=.-]{8,}))"
     r"|(?P<hex>\b(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
+    # formats beyond the first ones; find() asks for the check digit and the number of digits
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d))"
+    r"|(?P<pan>(?<![\w.+-])(?:\d{13,19}|3[0689]\d{2}[ -]\d{6}[ -]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{3})(?![\w-]|\.\d))"
+    r"|(?P<tel>(?<![\w.+-])(?:\+[1-9](?:[ ./-]?\(\d{1,5}\)|[ ./-]?\d){6,14}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|[2-9]\d{2}[2-9]\d{6})(?![\w-]|\.\d))"
     rf"|(?P<title>\b(?P<which>{_titles})\.?) (?P<name>{_name_part}(?: {_name_part}){{0,2}})"
 )
 #: A text without any of these holds no entity.
@@ -157,8 +162,42 @@ def email(s: str, key: bytes) -> str:
     return with_case(s, permute_classes(head, key, b"email" + tail.encode()) + tail)
 
 
+#: Prefixes (value, bits) whose addresses stay among themselves, the longest first; all others are one more range.
+IP6_RANGES = ((0x20010DB8, 32), (0xFE80 >> 6, 10), (0xFF, 8), (0xFC >> 1, 7), (1, 3))
+
+
+def ip6_number(s: str) -> int | None:
+    try:
+        return int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+
+
+def ip6(s: str, key: bytes) -> str:
+    """Within the range it comes from; written in the short form."""
+    value, size = ip6_number(s), 128
+    for prefix, bits in IP6_RANGES:
+        low, n = prefix << size - bits, 1 << size - bits
+        if low <= value < low + n:
+            break
+    else:
+        low, n, bits = 0, 1 << size, 0
+    within = [(p << size - b, 1 << size - b) for p, b in IP6_RANGES if b > bits and low <= p << size - b < low + n]
+    if not bits:  # ranges in ranges count once
+        within = [r for r in within if not any(o != r and o[0] <= r[0] < o[0] + o[1] for o in within)]
+    within.sort()
+    value = permute(value - low - sum(k for at, k in within if at < value), n - sum(k for _, k in within), key, b"ip6-%d-%d" % (low, bits)) + low
+    for at, k in within:
+        if value >= at:
+            value += k
+    new = str(ipaddress.IPv6Address(value))
+    return new.upper() if s.isupper() else new
+
+
 def ip(s: str, key: bytes) -> str:
     """Within the private or shared range it comes from, else among all others."""
+    if ":" in s:
+        return ip6(s, key)
     value = int.from_bytes(bytes(map(int, s.split("."))), "big")
     ranges = ((10 << 24, 1 << 24), (127 << 24, 1 << 24), ((172 << 24) + (16 << 16), 1 << 20), ((192 << 24) + (168 << 16), 1 << 16))
     for low, n in ranges:
@@ -181,10 +220,16 @@ def card(s: str, key: bytes) -> str:
     return with_digits(s, new + str((luhn(new) + check - luhn(head)) % 10))
 
 
+#: Country codes of two digits.
+CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(s: str, key: bytes) -> str:
     digits = re.sub(r"\D", "", s)
-    code = re.match(r"\+(\d{1,3})", s)
-    keep = len(code[1]) if code else max(0, len(digits) - 10)
+    if s[0] == "+":  # country codes are free of prefixes
+        keep = 1 if digits[0] in "17" else 2 if digits[:2] in CODES else 3
+    else:
+        keep = max(0, len(digits) - 10)
     return with_digits(s, digits[:keep] + permute_classes(digits[keep:], key, b"phone"))
 
 
@@ -266,8 +311,12 @@ def find(text: str):
         elif m["value"]:
             yield "secret", *m.span("value"), ""
         else:
-            kind = next(k for k in ("email", "ip", "card", "iban", "ssn", "phone", "hex") if m[k])
-            if kind == "phone" and not 7 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            kind = next(k for k in ("email", "ip", "card", "iban", "ssn", "phone", "hex", "ip6", "pan", "tel") if m[k])
+            digits = re.sub(r"\D", "", m[0])
+            if kind == "pan" and luhn(digits[:-1]) != int(digits[-1]) or kind == "ip6" and not ip6_number(m[0]):
+                continue
+            kind = {"ip6": "ip", "pan": "card", "tel": "phone"}.get(kind, kind)
+            if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             yield kind, *m.span(), ""
 

@@ -18,3 +18,25 @@ def test_names_stay_distinct_over_the_corpus():
 def test_a_name_does_not_depend_on_its_document():
     alone = pii.replace("Frau Anna Meier came")[1][0]["surrogate"]
     assert pii.replace("Dr Anna Meier saw Frau Anna Meier")[1][1]["surrogate"] == alone
+
+
+def test_formats():
+    phones = ["+14155552671", "+49 30 12345678", "+49 151 23456789", "+33 6 12 34 56 78", "06 12 34 56 78", "030/1234567", "4155552671", "+1 (017) 555-7713"]
+    heads = ("422222222222", "3056930902590", "601100099013942400"[:18], "400000000000000000")
+    cards = [h + str(pii.luhn(h)) for h in heads] + ["3056 930902 5904", "4952 9359 0025 3052"]
+    addresses = ["2001:db8::8a2e:370:7334", "2a00:1450:4001:81b::200e", "fe80::1", "2A00:1450:4001:081B:0000:0000:0000:200E", "::1", "64:ff9b::1"]
+    for kind, group in (("phone", phones), ("card", cards), ("ip", addresses)):
+        for old in group:
+            new, made = pii.replace(f"see {old}, then go.")
+            assert [m["type"] for m in made] == [kind], old
+            assert old not in new and new == f"see {made[0]['surrogate']}, then go.", old
+            if kind == "card" and old != cards[-1]:
+                digits = made[0]["surrogate"].replace(" ", "")
+                assert pii.luhn(digits[:-1]) == int(digits[-1])
+    one = lambda x: pii.replace(f"see {x}, then")[1][0]["surrogate"]
+    digits = lambda x: "".join(ch for ch in x if ch.isdigit())
+    assert digits(one("+14155552671")) == digits(one("+1 (415) 555-2671")) and one("+49 30 12345678").startswith("+49 ")
+    assert one(addresses[1]) == one(addresses[3]).lower() and one(addresses[0]).startswith("2001:db8:") and one("fe80::1")[:3] in ("fe8", "fe9", "fea", "feb")
+    assert len({one(f"2001:db8::{k:x}") for k in range(1, 300)} | {one(f"2a00::{k:x}") for k in range(1, 300)}) == 598
+    for clean in ("at 10:20:30 on 2024-05-06", "std::vector a::b", "number 1234567890123", "from 1699999999 to 2019", "ratio 3:2"):
+        assert pii.replace(clean) == (clean, []), clean
