@@ -47,6 +47,7 @@ QUOTES = frozenset('"“”„«»')
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]")
 CLAUSE_END = ".!?;:\n"
+CLAUSE_STOP = re.compile(f"[{CLAUSE_END}]")
 READINGS = ("plain", "aimed", "denied", "reported", "threat")
 #: Features of a document: log(1 + clauses of each reading), log(1 + distinct lexicon entries).
 N_FEATURES = len(READINGS) + 1
@@ -161,8 +162,8 @@ def measure(text: str | None, lexicon: frozenset, trigger: re.Pattern, machine:
     at = 0
     while m := trigger.search(low, at):
         begin = max(low.rfind(ch, at, m.start()) for ch in CLAUSE_END) + 1 or at
-        ends = [e for ch in CLAUSE_END if (e := low.find(ch, m.end(), m.end() + 2000)) >= 0]
-        end = min(ends, default=min(len(low), m.end() + 2000))
+        stop = CLAUSE_STOP.search(low, m.end())
+        end = stop.start() if stop else len(low)
         words = TOKEN.findall(low, begin, end)
         tags = []
         for w in words:
