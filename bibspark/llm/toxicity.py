@@ -2,18 +2,20 @@
 
 Words become tags: insult (a lexicon of words and word beginnings learned from labels), harm verb,
 modal, target (you, they and the like), negation, report (said, wrote and the like), quotation
-mark. Five transducers read a clause's tags and rewrite them; their composition gives each harmful
-tag a reading:
-
-    threat      modal ... harm -> threat
-    insult      passes the lexicon's tags on as harmful
-    target      a harmful tag within REACH of a target is aimed
-    negation    a harmful tag within REACH after a negation is denied
-    reported    a harmful tag after a report or inside quotation marks is reported
-
-Each reading of a clause has a weight, learned by logistic regression from labelled rows; a
-document's score is the logistic of the weighted clauses it holds. Words outside a matched clause
-do not count.
+mark, other. Transducers read a clause's tags from the left, then what they wrote from the right;
+their composition gives each harmful tag a reading:
+
+    threat      modal ... harm                                        -> threat
+    insult      an insult with another word of the clause beside it   -> stated (else it stays a mere word)
+    target      a harmful tag within REACH of a target, on any side   -> aimed
+    negation    a harmful tag within REACH after a negation           -> denied
+    reported    a harmful tag after a report or in quotation marks    -> reported
+
+Arcs carry weights, learned by logistic regression from labelled rows: a stated insult, what aiming
+adds to it, an aimed threat; the arcs of denied and reported readings weigh nothing or less. A
+document's score is the logistic of the weights of its clauses' paths (the logarithm of one and
+their number) and of the number of different stated insults. A word that no pattern matches does
+not count: alone, denied or quoted it leaves the score where it is, or lower.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.llm.common import materialize
+
 #: Labelled rows that a model is fitted on at most: those of the least hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Word beginnings tried for the lexicon.
-PREFIXES = (3, 4, 5, 6)
-#: A lexicon entry occurs in at least MIN_SUPPORT toxic rows (or SHARE of them, if more) after
-#: different words, so that copies of one text count once, and PRECISION of its rows are toxic.
-MIN_SUPPORT, SHARE, PRECISION = 5, 0.005, 0.95
-MAX_LEXICON = 2000
+#: Lengths of word beginnings tried for the lexicon.
+PREFIXES = (3, 4, 5, 6, 7)
+#: A lexicon entry occurs in toxic rows after at least MIN_SUPPORT different words (or SHARE of the
+#: toxic rows, if more), so that copies of one text count once; PRECISION of its rows are toxic. A
+#: beginning is that of at least MIN_WORDS different words, and no longer one does for SAME of its rows.
+MIN_SUPPORT, SHARE, PRECISION, MIN_WORDS, SAME = 5, 0.005, 0.95, 4, 0.9
 REACH = 4
 
 # fixed values: function words of the grammar
@@ -48,16 +52,21 @@ QUOTES = frozenset('"“”„«»')
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]")
 CLAUSE_END = ".!?;:\n"
 CLAUSE_STOP = re.compile(f"[{CLAUSE_END}]")
-READINGS = ("plain", "aimed", "denied", "reported", "threat")
-#: Features of a document: log(1 + clauses of each reading), log(1 + distinct lexicon entries).
-N_FEATURES = len(READINGS) + 1
+#: Weights of arcs, and the bounds and prior of each: those that speak for toxicity are not negative,
+#: those of denied and reported readings not positive.
+ARCS = ("stated", "aimed", "threat", "denied", "reported")
+PARAMETERS = ("bias", *ARCS, "different")
+PRIOR = np.array([-4.0, 3.0, 2.0, 8.0, 0.0, 0.0, 1.0])
+LOWEST = np.array([-math.inf, 0.0, 0.0, 0.0, -math.inf, -math.inf, 0.0])
+HIGHEST = np.array([math.inf, math.inf, math.inf, math.inf, 0.0, 0.0, math.inf])
 
 
 # ---------------------------------------------------------------- transducers
 @dataclass
 class Transducer:
-    """Deterministic finite-state transducer. arcs: (state, symbol) -> (output, next state); a
-    missing arc copies the symbol and takes `drift[state]` (the same state by default)."""
+    """Deterministic weighted finite-state transducer. arcs: (state, symbol) -> (output, next
+    state, weight); a missing arc copies the symbol, weighs nothing and takes `drift[state]` (the
+    same state by default). A weight is the name of a parameter, or None."""
 
     start: object
     arcs: dict = field(default_factory=dict)
@@ -66,63 +75,104 @@ class Transducer:
     def step(self, state, symbol):
         if (state, symbol) in self.arcs:
             return self.arcs[state, symbol]
-        return symbol, self.drift.get(state, state)
+        return symbol, self.drift.get(state, state), None
 
 
 class Composed:
-    """Cascade: each transducer reads what the one before wrote."""
+    """Cascade: each transducer reads what the one before wrote; weights add up."""
 
     def __init__(self, *parts: Transducer):
         self.parts = parts
-        self.start = tuple(p.start for p in parts)
         self.known: dict = {}
 
     def step(self, state, symbol):
         key = (state, symbol)
         if key not in self.known:
-            after = []
+            after, weights = [], []
             for part, s in zip(self.parts, state, strict=True):
-                symbol, s = part.step(s, symbol)
+                symbol, s, weight = part.step(s, symbol)
                 after.append(s)
-            self.known[key] = (symbol, tuple(after))
+                weights += [weight] if weight else []
+            self.known[key] = (symbol, tuple(after), tuple(weights))
         return self.known[key]
 
-    def run(self, symbols):
-        state, out = self.start, []
+    def run(self, symbols, **start):
+        """Outputs and the weights of the path's arcs. start: states other than the usual by number (s0, s1 ...)."""
+        state, out, weights = tuple(start.get(f"s{k}", p.start) for k, p in enumerate(self.parts)), [], []
         for s in symbols:
-            written, state = self.step(state, s)
+            written, state, more = self.step(state, s)
             out.append(written)
-        return out
+            weights += more
+        return out, weights
 
 
-def _near(trigger: str, before: tuple, rewrite) -> Transducer:
-    """Rewrites the symbols of `before` that follow a trigger within REACH."""
+def near(trigger: str, rewrite: dict) -> Transducer:
+    """Rewrites symbols that follow a trigger within REACH."""
     t = Transducer(0, drift={k: k - 1 for k in range(1, REACH + 1)})
     for k in range(REACH + 1):
-        t.arcs[k, trigger] = (trigger, REACH)
-        for s in before:
+        t.arcs[k, trigger] = (trigger, REACH, None)
+        for s, new in rewrite.items():
             if k:
-                t.arcs[k, s] = (rewrite(s), k - 1)
+                t.arcs[k, s] = (new, k - 1, None)
     return t
 
 
-def grammar() -> Composed:
-    """Harmful symbols are pairs (kind, reading)."""
-    kinds = ("insult", "threat")
-    plain = tuple((k, "plain") for k in kinds)
+WORDS = ("insult", "harm", "target", "negation", "report", "modal", "other")
+AIM = {("insult", "word"): ("insult", "aimed word"), ("insult", "stated"): ("insult", "aimed"), ("threat", "plain"): ("threat", "aimed")}
+HARMFUL = (*AIM, *AIM.values())
+
+
+def forward() -> Composed:
+    """From the left. Harmful symbols are pairs (kind, reading); an insult that opens its clause is
+    a word until the right side says more."""
     threat = Transducer(0, drift={k: k - 1 for k in range(1, REACH + 1)})
     for k in range(REACH + 1):
-        threat.arcs[k, "modal"] = ("modal", REACH)
-        threat.arcs[k, "harm"] = (("threat", "plain"), 0) if k else ("harm", 0)
-    insult = Transducer(0, {(0, "insult"): (("insult", "plain"), 0)})
-    target = _near("target", plain, lambda s: (s[0], "aimed"))
-    open_ = plain + tuple((k, "aimed") for k in kinds)
-    negation = _near("negation", open_, lambda s: (s[0], "denied"))
-    reported = Transducer("direct", {("direct", "report"): ("report", "told"), ("direct", "quote"): ("quote", "quoted"), ("told", "quote"): ("quote", "quoted"), ("quoted", "quote"): ("quote", "direct")})
+        threat.arcs[k, "modal"] = ("modal", REACH, None)
+        threat.arcs[k, "harm"] = (("threat", "plain") if k else "harm", 0, None)
+    stated = Transducer("open", {("open", "insult"): (("insult", "word"), "within", None), ("within", "insult"): (("insult", "stated"), "within", None)})
+    for w in (*WORDS[1:], ("threat", "plain")):
+        stated.arcs["open", w] = (w, "within", None)
+    negation = near("negation", {s: (s[0], "denied") for s in HARMFUL})
+    reported = Transducer("direct", {("direct", "report"): ("report", "told", None), ("direct", "quote"): ("quote", "quoted", None), ("told", "quote"): ("quote", "quoted", None), ("quoted", "quote"): ("quote", "direct", None)})
     for state in ("told", "quoted"):
-        for s in open_:
-            reported.arcs[state, s] = ((s[0], "reported"), state)
-    return Composed(threat, insult, target, negation, reported)
+        for s in HARMFUL:
+            reported.arcs[state, s] = ((s[0], "reported"), state, None)
+    return Composed(threat, stated, near("target", AIM), negation, reported)
+
+
+#: The place of `reported` in the cascade: its state outlives a clause.
+SPEECH = "s4"
+
+
+def backward() -> Composed:
+    """From the right over what forward() wrote: words beside, targets behind; then the weights."""
+    stated = Transducer("open")
+    for w in (*WORDS, *HARMFUL, *((k, r) for k in ("insult", "threat") for r in ("denied", "reported"))):
+        stated.arcs["open", w] = (w, "within", None)
+    for k in ("word", "aimed word"):
+        stated.arcs["within", ("insult", k)] = (("insult", "aimed" if "aimed" in k else "stated"), "within", None)
+    weigh = Transducer(0)
+    for name in ("denied", "reported"):
+        for kind in ("insult", "threat"):
+            weigh.arcs[0, (kind, name)] = ((kind, name), 0, name)
+    weigh.arcs[0, ("insult", "stated")] = (("insult", "stated"), 0, "stated")
+    weigh.arcs[0, ("threat", "aimed")] = (("threat", "aimed"), 0, "threat")
+    # an aimed insult is a stated one and more
+    weigh.arcs[0, ("insult", "aimed")] = (("insult", "aimed"), 0, "stated")
+    aim = Transducer(0, {(0, ("insult", "aimed")): (("insult", "aimed"), 0, "aimed")})
+    return Composed(stated, near("target", AIM), weigh, aim)
+
+
+class Grammar:
+    def __init__(self):
+        self.left, self.right = forward(), backward()
+
+    def read(self, tags: list[str], speech: str = "direct"):
+        """The readings of a clause's tags, and the weights of their arcs. speech: "quoted" if the
+        clause begins inside quotation marks."""
+        out, _ = self.left.run(tags, **{SPEECH: speech})
+        out, weights = self.right.run(reversed(out))
+        return out[::-1], weights
 
 
 # ---------------------------------------------------------------- matching
@@ -148,48 +198,60 @@ def tag(word: str, lexicon: frozenset) -> tuple[str, str]:
 
 
 def trigger_pattern(lexicon: frozenset) -> re.Pattern:
-    """Finds words that make a clause worth reading."""
-    begins = sorted({s for s in lexicon if not s.startswith("=")})
-    whole = sorted({s[1:] for s in lexicon if s.startswith("=")} | HARM)
-    return re.compile(r"(?<![^\W\d_])(?:" + "|".join([*(re.escape(w) + r"(?![^\W\d_])" for w in whole), *map(re.escape, begins)]) + ")")
-
-
-def measure(text: str | None, lexicon: frozenset, trigger: re.Pattern, machine: Composed) -> np.ndarray:
-    """Features of a text."""
-    counts = dict.fromkeys(READINGS, 0)
-    entries: set[str] = set()
+    """Finds words that make a clause worth reading, letter by letter as in a tree, so that the
+    lexicon's size does not matter."""
+    tree: dict = {}
+    for entry in sorted(lexicon | {f"={w}" for w in HARM}):
+        node = tree
+        for ch in entry.removeprefix("="):
+            node = node.setdefault(ch, {})
+        node["=" if entry.startswith("=") else "*"] = {}
+
+    def write(node: dict) -> str:
+        if "*" in node:
+            return ""
+        ways = [re.escape(ch) + write(node[ch]) for ch in node if ch != "="]
+        if "=" in node:
+            ways.append(r"(?![^\W\d_])")
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return re.compile(r"(?<![^\W\d_])" + write(tree))
+
+
+def measure(text: str | None, lexicon: frozenset, trigger: re.Pattern, machine: Grammar) -> np.ndarray:
+    """log(1 + n) of the weights on the paths of a text's clauses and of its different stated insults."""
+    counts = dict.fromkeys(ARCS, 0)
+    different: set[str] = set()
     low = (text or "").lower()
-    at = 0
+    at, line = 0, 0  # read up to here; where the line begins
+    quoted = False
     while m := trigger.search(low, at):
         begin = max(low.rfind(ch, at, m.start()) for ch in CLAUSE_END) + 1 or at
+        fresh = low.rfind("\n", at, begin)
+        if fresh >= 0:  # quotation marks do not reach over lines
+            quoted, line = False, fresh + 1
+        quoted ^= sum(low.count(q, max(at, line), begin) for q in QUOTES) % 2 == 1
         stop = CLAUSE_STOP.search(low, m.end())
         end = stop.start() if stop else len(low)
         words = TOKEN.findall(low, begin, end)
-        tags = []
-        for w in words:
-            name, entry = tag(w, lexicon)
-            tags.append(name)
-            if entry:
-                entries.add(entry)
-        read = [s for s in machine.run(tags) if isinstance(s, tuple)]
-        # targets after the harmful word aim it too: the clause is read from its end as well
-        back = [s for s in machine.run([t for t in reversed(tags) if t not in ("negation", "report", "quote")]) if isinstance(s, tuple)][::-1]
-        for k, (kind, reading) in enumerate(read):
-            if reading == "plain" and k < len(back) and back[k][1] == "aimed":
-                reading = "aimed"
-            counts["threat" if kind == "threat" and reading in ("plain", "aimed") else reading] += 1
+        met = [tag(w, lexicon) for w in words]
+        read, weights = machine.read([t for t, _ in met], "quoted" if quoted else "direct")
+        for w in weights:
+            counts[w] += 1
+        different.update(entry for (_, entry), s in zip(met, read, strict=True) if entry and s[1] in ("stated", "aimed"))
+        quoted ^= sum(t == "quote" for t, _ in met) % 2 == 1
         at = max(end, m.end())
-    return np.log1p(np.array([*counts.values(), len(entries)], float))
+    return np.log1p(np.array([*counts.values(), len(different)], float))
 
 
 # ---------------------------------------------------------------- learning
 @dataclass
 class Model:
     lexicon: frozenset
-    weights: list[float]  # bias first
+    weights: list[float]  # as PARAMETERS
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        trigger, machine = trigger_pattern(self.lexicon), grammar()
+        trigger, machine = trigger_pattern(self.lexicon), Grammar()
         w = np.array(self.weights)
         out = []
         for t in texts:
@@ -212,93 +274,97 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int
 
 
 def fit_lexicon(rows: DataFrame) -> frozenset:
-    """Words and word beginnings of toxic rows that other rows hardly have."""
+    """Words and word beginnings of toxic rows that other rows hardly have. All figures are exact
+    counts over the rows; how they lie in partitions does not matter."""
 
-    def toxic_stems(batches):
+    def count_rows(batches):
         for batch in batches:
-            found: dict[str, set] = {}
-            hits: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                seen = set()
-                before = ""
-                for w in TOKEN.findall((text or "").lower()):
-                    for s in stems(w):
-                        if s not in seen:
-                            seen.add(s)
-                            hits[s] = hits.get(s, 0) + 1
-                            found.setdefault(s, set()).add(before)
-                    before = w
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found)), pa.array([hits[s] for s in found], pa.int64()), pa.array([sorted(v)[:50] for v in found.values()], pa.list_(pa.string()))], ["stem", "hits", "before"]
-            )
-
-    toxic, n_toxic = rows.where("toxic = 1"), rows.where("toxic = 1").count()
-    need = max(MIN_SUPPORT, math.ceil(SHARE * n_toxic))
-    counted = (
-        toxic.select("text").mapInArrow(toxic_stems, "stem string, hits long, before array<string>")
-        .groupBy("stem").agg(F.sum("hits").alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("support"))
-        .where(F.col("support") >= need)
-        .orderBy(F.desc("support"), "stem").limit(50 * MAX_LEXICON)
-    )
-    candidates = {r["stem"]: (r["hits"], r["support"]) for r in counted.collect()}
-    known = frozenset(candidates)
+            hits: tuple[dict[str, int], dict[str, int]] = ({}, {})
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = hits[toxic]
+                for s in {s for w in set(TOKEN.findall((text or "").lower())) for s in stems(w)}:
+                    n[s] = n.get(s, 0) + 1
+            every = [*hits[1], *(s for s in hits[0] if s not in hits[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([h.get(s, 0) for s in every], pa.int64()) for h in hits]], ["stem", "clean", "toxic"])
 
-    def clean_stems(batches):
+    def word_pairs(batches):
         for batch in batches:
-            n: dict[str, int] = {}
+            pairs = set()
             for text in batch.column(0).to_pylist():
-                for s in {s for w in set(TOKEN.findall((text or "").lower())) for s in stems(w)} & known:
-                    n[s] = n.get(s, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["stem", "n"])
-
-    clean = {r["stem"]: r["n"] for r in rows.where("toxic = 0").select("text").mapInArrow(clean_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
-    good = [s for s, (hits, _) in candidates.items() if hits / (hits + clean.get(s, 0)) >= PRECISION]
-    good.sort(key=lambda s: (len(s), s))
-    lexicon: set[str] = set()
-    for s in good:  # what a shorter beginning holds is not listed again
-        word = s.removeprefix("=")
-        if not any(word[:k] in lexicon for k in PREFIXES if k <= len(word) and word[:k] != s):
-            lexicon.add(s)
-    ranked = sorted(lexicon, key=lambda s: (-candidates[s][1], s))
-    return frozenset(ranked[:MAX_LEXICON])
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> list[float]:
-    """Logistic regression by Newton's method. A reading never counts against toxicity, and a
-    denied or reported one no more than a plain one."""
+                words = TOKEN.findall((text or "").lower())
+                pairs.update(zip(words, ["", *words], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], ["word", "before"])
+
+    toxic = rows.where("toxic = 1")
+    need = max(MIN_SUPPORT, math.ceil(SHARE * toxic.count()))
+    counted = rows.mapInArrow(count_rows, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = counted.where(F.col("toxic") >= need).where(F.col("toxic") >= F.lit(PRECISION) * (F.col("toxic") + F.col("clean")))
+    stem = F.explode(F.concat(F.array(F.concat(F.lit("="), "word")), F.filter(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in PREFIXES]), lambda s: s.isNotNull())))
+    pairs = toxic.select("text").mapInArrow(word_pairs, "word string, before string").distinct().select(stem.alias("stem"), "word", "before")
+    pairs = pairs.join(counted.select("stem"), "stem")
+    support = pairs.select("stem", "before").distinct().groupBy("stem").agg(F.count("*").alias("support")).where(F.col("support") >= need)
+    words = pairs.select("stem", "word").distinct().groupBy("stem").agg(F.count("*").alias("words"))
+    good = {r["stem"]: (r["toxic"], r["words"]) for r in counted.join(support, "stem").join(words, "stem").select("stem", "toxic", "words").collect()}
+    return choose_entries(good)
+
+
+def choose_entries(good: dict[str, tuple[int, int]]) -> frozenset:
+    """good: entry -> (toxic rows, different words). Beginnings of enough words, each as long as it
+    can be without losing rows or words; then the whole words that none of them begins."""
+    begins = {s for s, (_, words) in good.items() if not s.startswith("=") and words >= MIN_WORDS}
+    longer = {}
+    for s in begins:
+        for k in PREFIXES:
+            if k < len(s):
+                longer.setdefault(s[:k], []).append(s)
+    kept = {s for s in begins if not any(good[q][0] >= SAME * good[s][0] and good[q][1] >= SAME * good[s][1] for q in longer.get(s, ()))}
+    covered = lambda word, own: any(word[:k] in kept for k in PREFIXES if k < own)
+    out = {s for s in kept if not covered(s, len(s))}
+    return frozenset(out | {s for s in good if s.startswith("=") and not covered(s[1:], len(s))})
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 200) -> list[float]:
+    """Logistic regression around PRIOR within LOWEST and HIGHEST: Newton steps over the parameters
+    that no bound holds, halved until the loss falls."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    prior = np.array([-4.0, 2.0, 2.5, 1.0, 1.0, 3.0, 1.0])
-    w = prior.copy()
+
+    def loss(w):
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * np.sum((w - PRIOR) ** 2))
+
+    w = PRIOR.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * (w - prior)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
-        if np.abs(step).max() < 1e-8:
+        gradient = x.T @ (p - y) + ridge * (w - PRIOR)
+        free = np.flatnonzero(~((w <= LOWEST) & (gradient > 0)) & ~((w >= HIGHEST) & (gradient < 0)))
+        if np.abs(gradient[free]).max(initial=0) < 1e-7:
             break
-    w[1:] = np.maximum(w[1:], 0.0)
-    w[3:5] = np.minimum(w[3:5], w[1])
+        hessian = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + ridge * np.eye(len(free))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hessian, gradient[free])
+        scale, now = 1.0, loss(w)
+        while loss(new := np.clip(w - scale * step, LOWEST, HIGHEST)) > now and scale > 1e-9:
+            scale /= 2
+        w = new
     return w.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = TRAIN_ROWS) -> Model:
-    """A model from labelled rows outside fold 0. Without toxic rows it has no lexicon."""
-    from bibspark.llm.common import materialize
-
+    """A model from labelled rows outside fold 0, the same however the rows are partitioned. Without
+    toxic rows it has no lexicon and knows threats only."""
     rows = materialize(training_rows(docs, labels, folds, limit))
     lexicon = fit_lexicon(rows)
 
     def features(batches):
-        trigger, machine = trigger_pattern(lexicon), grammar()
+        trigger, machine = trigger_pattern(lexicon), Grammar()
         for batch in batches:
-            x = np.array([measure(t, lexicon, trigger, machine) for t in batch.column(0).to_pylist()]).reshape(-1, N_FEATURES)
+            x = np.array([measure(t, lexicon, trigger, machine) for t in batch.column(0).to_pylist()]).reshape(-1, len(PARAMETERS) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    data = rows.mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().collect()  # no more than TRAIN_ROWS
-    n = [r["count"] for r in data]
-    x = np.repeat(np.array([r["x"] for r in data]).reshape(-1, N_FEATURES), n, axis=0)
-    return Model(lexicon, fit_weights(x, np.repeat(np.array([r["y"] for r in data], float), n)))
+    data = sorted(tuple(r) for r in rows.mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().collect())  # no more than TRAIN_ROWS
+    n = [r[2] for r in data]
+    x = np.repeat(np.array([r[0] for r in data]).reshape(-1, len(PARAMETERS) - 1), n, axis=0)
+    return Model(lexicon, fit_weights(x, np.repeat(np.array([r[1] for r in data], float), n)))
 
 
 # ---------------------------------------------------------------- operators
@@ -319,8 +385,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score below limit, all columns kept."""
-    at = docs.columns.index("text")
+    """The rows of docs that score below limit, all columns kept, whatever their names. A null or
+    empty text has no clause and stays; repeated rows are judged one by one; an empty table gives an
+    empty result."""
+    at = next(k for k, n in enumerate(docs.columns) if n.lower() == "text")
 
     def run(batches):
         for batch in batches:

@@ -5,7 +5,7 @@ from bibspark.llm import toxicity
 
 def test_state_and_words_outlive_2000_characters():
     lexicon = frozenset({"=grub"})
-    trigger, machine = toxicity.trigger_pattern(lexicon), toxicity.grammar()
+    trigger, machine = toxicity.trigger_pattern(lexicon), toxicity.Grammar()
     read = lambda t: toxicity.measure(t, lexicon, trigger, machine).tolist()
     quoted = 'he said "a grub {} a grub" today. next'
     assert read(quoted.format("so " * 3)) == read(quoted.format("so " * 1500))
