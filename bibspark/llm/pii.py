@@ -26,6 +26,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KEY = b"surrogates-1"
 ROUNDS = 8
@@ -50,7 +51,7 @@ ENDINGS = {
 _titles = "|".join(re.escape(t) for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
 _name_part = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЁА-Я][a-zß-öø-ÿά-ώα-ωёа-я]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))"
     r"|(?P<card>(?<![\d-])(?:\d{4}([ -]?)\d{4}\4\d{4}\4\d{4}|3[47]\d{2}([ -]?)\d{6}\5\d{5})(?![\d-]))"
     r"|(?P<iban>(?<![\w-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d{1,3})?)(?![\w-]))"
@@ -112,9 +113,31 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = ("0123456789", LOWER, LOWER.upper())
 
 
+#: Characters that are permuted as one number; longer strings go block by block.
+PERMUTED = 64
+
+
+def blocks(text: str, tag: bytes):
+    """Pieces of PERMUTED characters and a tag for each, which holds the length of the whole and a
+    digest of the pieces before: who knows the key reads them back one by one, so that blockwise
+    permutations are one of the whole."""
+    if len(text) <= PERMUTED:
+        yield text, tag
+        return
+    before = hashlib.sha256(b"%d|" % len(text) + tag)
+    for at in range(0, len(text), PERMUTED):
+        part = text[at : at + PERMUTED]
+        yield part, b"block" + before.digest()
+        before.update(part.encode())
+
+
 def permute_classes(text: str, key: bytes, tag: bytes) -> str:
     """Digits to digits, small letters to small, capitals to capitals; the rest stays and is part
     of the format."""
+    return "".join(_permute_block(part, key, t) for part, t in blocks(text, tag))
+
+
+def _permute_block(text: str, key: bytes, tag: bytes) -> str:
     where, value, n = [], 0, 1
     for at, ch in enumerate(text):
         alphabet = next((x for x in CLASSES if ch in x), None)
@@ -252,8 +275,7 @@ def ssn(s: str, key: bytes) -> str:
 
 
 def hexadecimal(s: str, key: bytes) -> str:
-    low = s.lower()
-    new = f"{permute(int(low, 16), 16 ** len(low), key, b'hex%d' % len(low)):0{len(low)}x}"
+    new = "".join(f"{permute(int(part, 16), 16 ** len(part), key, t):0{len(part)}x}" for part, t in blocks(s.lower(), b"hex%d" % len(s)))
     return new.upper() if s.isupper() else new
 
 
@@ -282,12 +304,14 @@ def spell(word: str, key: bytes) -> str:
     kind = script(word)
     plain = all(ch in LETTERS[kind] for ch in word)
     bits = 6 if plain else 16
-    value = 0
-    for ch in word:
-        value = value << bits | (LETTERS[kind].index(ch) if plain else ord(ch))
-    value = permute(value, 1 << bits * len(word), key, f"name|{kind}|{bits}|{len(word)}".encode())
-    out = "".join(SYLLABLES[kind][value >> 5 * j & 31] for j in range(-(-bits * len(word) // 5)))
-    return out if plain else out + SYLLABLES[kind][0][0]
+    out = []
+    for part, t in blocks(word, f"name|{kind}|{bits}|{len(word)}".encode()):
+        value = 0
+        for ch in part:
+            value = value << bits | (LETTERS[kind].index(ch) if plain else ord(ch))
+        value = permute(value, 1 << bits * len(part), key, t)
+        out += [SYLLABLES[kind][value >> 5 * j & 31] for j in range(-(-bits * len(part) // 5))]
+    return "".join(out) if plain else "".join(out) + SYLLABLES[kind][0][0]
 
 
 def name(s: str, gender: str, key: bytes) -> str:
@@ -360,15 +384,18 @@ ENTITIES = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("e
 
 
 def replace_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with surrogates in the column text, all columns kept."""
+    """docs with surrogates in the column text, all columns kept, whatever their names. A null or
+    empty text stays as it is; repeated rows stay and get equal texts; an empty table gives an empty
+    result."""
+    at = next(k for k, n in enumerate(docs.columns) if n.lower() == "text")
+    docs = docs.select(*[F.col(f"`{n}`").cast("string").alias(n) if k == at else F.col(f"`{n}`") for k, n in enumerate(docs.columns)])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             new = pa.array([replace(t, key)[0] for t in batch.column(at).to_pylist()], pa.string())
-            yield batch.set_column(at, pa.field("text", pa.string()), new)
+            yield batch.set_column(at, batch.schema.field(at), new)
 
-    return docs.withColumn("text", docs["text"].cast("string")).mapInArrow(run, docs.withColumn("text", docs["text"].cast("string")).schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """PII: names over the corpus, and formats beyond those of the test tables."""
 
 import itertools
+import random
+import time
 
 from bibspark.llm import pii
 
@@ -40,3 +42,52 @@ def test_formats():
     assert len({one(f"2001:db8::{k:x}") for k in range(1, 300)} | {one(f"2a00::{k:x}") for k in range(1, 300)}) == 598
     for clean in ("at 10:20:30 on 2024-05-06", "std::vector a::b", "number 1234567890123", "from 1699999999 to 2019", "ratio 3:2"):
         assert pii.replace(clean) == (clean, []), clean
+
+
+def test_hundred_thousand_names():
+    ends = ("son", "mann", "er", "ova", "ski")
+    people = ["".join(x).capitalize() + e for x in itertools.product("bdfgklmnrst", "aeiou", "lmnrstvw", "aeiou", "bdfgklmnt", "io") for e in ends][:100_000:2]
+    people += [p[0] + p[1:][::-1] for p in people]
+    first = [pii.name(p, "n", b"k") for p in people]
+    assert len(set(first)) == len(set(people)) > 75_000
+    assert first[::500] == [pii.replace(f"Dr {p} came", b"k")[1][0]["surrogate"] for p in people[::500]]
+
+
+def test_very_long_texts_and_entities():
+    rng = random.Random(4)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=10_000_000))
+    began = time.monotonic()
+    assert pii.replace(run) == (run, [])
+    assert time.monotonic() - began < 30  # 3 s alone; a quadratic search takes hours
+    for text, kind in (("token=" + run[:400_000], "secret"), ("0" * 300_001, "hex"), (run[:300_000] + "@x.com", "email"), ("Dr A" + "b" * 300_000, "name")):
+        new, made = pii.replace(text)
+        assert [m["type"] for m in made] == [kind] and new != text
+    assert len(pii.replace("ab" * 50_000)[0]) == 100_000
+
+
+def test_long_values_stay_distinct():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab1", k=200)) for _ in range(300)]
+    texts += [t[:k] + ("c" if t[k] != "c" else "d") + t[k + 1 :] for t in texts[:50] for k in (0, 63, 64, 199)]
+    assert len({pii.secret(t, b"k") for t in texts}) == len(set(texts))
+    assert len({pii.spell("a" * k, b"k") for k in range(60, 140)}) == 80
+    small = {"".join(x) for x in itertools.product("ab", repeat=6)}
+    old, pii.PERMUTED = pii.PERMUTED, 2  # blocks of two letters: a permutation of all words of six
+    try:
+        alphabet = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3)]
+        assert sorted(pii.permute_classes(x, b"k", b"t") for x in alphabet) == alphabet
+        assert len({pii.permute_classes(x, b"k", b"t") for x in small}) == len(small)
+    finally:
+        pii.PERMUTED = old
+
+
+def test_operator_on_odd_tables(spark):
+    rows = [(1, "Dr Anna Meier", "x", 1), (1, "Dr Anna Meier", "x", 1), (None, None, None, None), (2, "", "y", 2), (3, "call 030/1234567", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, entities string, n_entities int")
+    got = pii.replace_texts(docs)
+    assert got.schema.names == docs.schema.names and got.count() == 5
+    texts = [r.text for r in got.collect()]
+    assert texts[0] == texts[1] != rows[0][1] and texts[2] is None and texts[3] == ""
+    for r in pii.surrogates(docs).collect():
+        assert r.n_entities == len(r.entities) and all(r.text[e.start : e.end] == e.surrogate for e in r.entities)
+    assert pii.replace_texts(docs.limit(0)).count() == 0
