@@ -3,14 +3,14 @@
 Each document's expected copies are its source's rate = target / size. Within a source, documents
 stand in one order and the copies of the one at rank k are the integer boundaries that the prefix
 sum of expected copies crosses: floor(k * rate + u) - floor((k - 1) * rate + u), u being the
-source's one random offset. Of OFFSETS random offsets a source takes the one whose copies come
-nearest its target, which counts where a few long documents make up a source. As the rate is the same for all documents of a source, the prefix sum
+source's one random offset. As the rate is the same for all documents of a source, the prefix sum
 is rank times rate, exactly reproducible.
 
-The order is by size class first, so that every size is sampled at the same rate and the taken
-words come near the target. Ranks need no task that holds a whole source: a document's rank is the
-number of documents in earlier classes, plus those in earlier salts of its class (both from
-pre-aggregated counts), plus its place within its (source, class, salt) group.
+The order is by size class first, so that every size is sampled at the same rate: the taken words
+are off their target by less than the words of the source's longest document. Ranks need no task
+that holds a whole source: a document's rank is the number of documents in earlier classes, plus
+those in earlier salts of its class (both from pre-aggregated counts), plus its place within its
+(source, class, salt) group.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A target stops at this many times the source's size.
 MAX_REPEAT = 3
 SEED = "mix-1"
-#: Random offsets drawn for each source.
-OFFSETS = 16
 #: Hex digits of the salt: 16**3 groups for each source and size class.
 SALT_DIGITS = 3
 
@@ -66,67 +64,69 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT) -
     return level.select("source", "source_size", "weight", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(sized: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """sized (doc_id, source, size) -> also source_size, target, copies, taken.
-
-    A null source is one source, last in order; null doc_ids and repeated rows are documents like
-    others; documents without words count as size 0 and take no words; an empty table gives an
-    empty result. The same rows give the same copies in every run.
-    """
+def ranks(sized: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """sized (doc_id, source, size, key) -> also source_size, target, rate, u and rank, a document's
+    place in its source's order. Rows of one key follow each other."""
     group = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    docs = sized.select(
-        "doc_id",
-        "source",
-        "size",
-        group.alias("grp"),
-        size_class().alias("cls"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, SALT_DIGITS).alias("salt"),
-    )
+    docs = sized.select("doc_id", "source", "size", "key", group.alias("grp"), size_class().alias("cls"), F.substring("key", 1, SALT_DIGITS).alias("salt"))
     counts = docs.groupBy("grp", "cls", "salt").agg(F.count("*").alias("n"))
     salts = counts.withColumn("in_class", F.sum("n").over(Window.partitionBy("grp", "cls").orderBy("salt")) - F.col("n")).withColumnRenamed("n", "n_salt")
     classes = counts.groupBy("grp", "cls").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("grp").orderBy("cls")) - F.col("n")).drop("n")
     shares = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
     shares = shares.withColumn("grp", group).select(
-        "grp", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate")
+        "grp", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"), offset(seed).alias("u")
     )
-    starts = salts.join(classes, ["grp", "cls"]).join(shares, "grp").select("grp", "cls", "salt", (F.col("before") + F.col("in_class")).alias("skip"), "source_size", "target", "rate")
-    place = F.row_number().over(Window.partitionBy("grp", "cls", "salt").orderBy("size", F.col("doc_id").asc_nulls_last()))
+    starts = salts.join(classes, ["grp", "cls"]).join(shares, "grp").select("grp", "cls", "salt", (F.col("before") + F.col("in_class")).alias("skip"), "source_size", "target", "rate", "u")
+    place = F.row_number().over(Window.partitionBy("grp", "cls", "salt").orderBy("size", F.col("doc_id").asc_nulls_last(), "key"))
     ranked = docs.withColumn("place", place).join(starts, ["grp", "cls", "salt"]).withColumn("rank", F.col("skip") + F.col("place"))
-    ranked = materialize(ranked.select("doc_id", "source", "grp", "size", "source_size", "target", "rate", "rank"))
-    drawn = [_offset(seed, k) for k in range(OFFSETS)]
-    taken = ranked.groupBy("grp").agg(F.first("target").alias("target"), *[F.sum(_crossed(u) * F.col("size")).alias(f"t{k}") for k, u in enumerate(drawn)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("nth"), u.alias("u")) for k, u in enumerate(drawn)]))
-    chosen = taken.select("grp", best["u"].alias("u"))
-    out = ranked.join(chosen, "grp").withColumn("copies", _crossed(F.col("u")))
+    return ranked.select("doc_id", "source", "size", "key", "source_size", "target", "rate", "u", "rank")
+
+
+def mix(sized: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """sized (doc_id, source, size, key) -> doc_id, source, size, source_size, target, copies, taken.
+
+    A null source is one source, last in order; null doc_ids and repeated rows are documents like
+    others; documents without words count as size 0 and take no words; an empty table gives an
+    empty result. The same rows give the same copies in every run.
+    """
+    out = ranks(sized, weights, max_repeat, seed).withColumn("copies", crossed(F.col("rank")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _offset(seed: str, k: int) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-{k}-"), F.col("grp")).cast("binary")), 1, 8)
+def offset(seed: str) -> Column:
+    """The random offset, 0 to 1, of the source in the column grp."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("grp")).cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _crossed(u: Column) -> Column:
-    """Integer boundaries that a document's step of the prefix sum crosses."""
-    return F.floor(F.col("rank") * F.col("rate") + u) - F.floor((F.col("rank") - 1) * F.col("rate") + u)
+def crossed(rank: Column) -> Column:
+    """Integer boundaries that the step to this rank crosses in the prefix sum of expected copies."""
+    return F.floor(rank * F.col("rate") + F.col("u")) - F.floor((rank - 1) * F.col("rate") + F.col("u"))
+
+
+def document_key() -> Column:
+    """128 bits of doc_id, source and text, in hex digits; rows that share them are copies throughout."""
+    parts = [F.coalesce(F.concat(F.lit(k), F.col(n).cast("string")), F.lit("n")) for k, n in (("d", "doc_id"), ("s", "source"), ("t", "text"))]
+    return F.md5(F.concat_ws(" ", *parts).cast("binary"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_key().alias("key"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """The mix itself: docs with each row as often as it is taken, columns unchanged."""
-    plan = mix(materialize(sizes(docs)), weights, max_repeat, seed).where("copies > 0")
-    # rows that share a doc_id, source and size are matched by their number among themselves
-    same = Window.partitionBy("__id", "__source", "__size")
-    left = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__size": word_count(F.col("text"))})
-    left = left.withColumn("__nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    right = plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies")
-    right = right.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy("copies")))
-    on = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__nth") == F.col("__n"))
-    taken = left.join(right, on)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mix itself: docs with each row as often as it is taken, columns unchanged, whatever their
+    names. Words are counted once and texts move once. Of rows that agree in doc_id, source and text
+    (nulls too) it is open which is taken how often, if other columns tell them apart."""
+    plan = ranks(materialize(sizes(docs)), weights, max_repeat, seed)
+    plan = plan.groupBy("key").agg((F.min("rank") - 1).alias("skip"), F.count("*").alias("n"), F.min("rate").alias("rate"), F.min("u").alias("u"))
+    # a key that nothing of is taken is left out before texts are read
+    plan = plan.where(F.floor((F.col("skip") + F.col("n")) * F.col("rate") + F.col("u")) > F.floor(F.col("skip") * F.col("rate") + F.col("u")))
+    rows = docs.select(F.struct("*").alias("row"), document_key().alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    taken = rows.withColumn("nth", nth).join(plan, "key").withColumn("copies", crossed(F.col("skip") + F.col("nth")))
+    each = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("row", each.alias("copy")).select("row.*")
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
@@ -138,7 +138,8 @@ def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE_OP1 = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         coalesce('s' || source, 'n') AS grp, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS salt FROM documents),
+         coalesce('s' || source, 'n') AS grp,
+         md5(coalesce('d' || doc_id, 'n') || ' ' || coalesce('s' || source, 'n') || ' ' || coalesce('t' || text, 'n')) AS key FROM documents),
 k AS (
   SELECT *, CASE WHEN size < 32 THEN size
                  ELSE length(bin(size)) * 16 + ((size >> (length(bin(size)) - 5)) & 15) END AS cls FROM d),
@@ -151,13 +152,10 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS
 l AS (SELECT rest / onward AS level FROM o WHERE rest / onward * weight <= cap ORDER BY nth LIMIT 1),
 t AS (SELECT grp, source_size, least(cap, level * weight) AS target,
              CASE WHEN source_size > 0 THEN least(cap, level * weight) / source_size ELSE 0 END AS rate FROM o, l),
-r AS (SELECT doc_id, k.size, k.grp, row_number() OVER (PARTITION BY k.grp ORDER BY cls, salt, k.size, doc_id NULLS LAST) AS rnk FROM k),
-u AS (SELECT grp, g.k AS nth, ('0x' || substr(md5('mix-1-' || g.k || '-' || grp), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t, range(16) AS g(k)),
-e AS (SELECT grp, nth, u, abs(sum((floor(rnk * rate + u) - floor((rnk - 1) * rate + u)) * size) - any_value(target)) AS miss
-      FROM r JOIN t USING (grp) JOIN u USING (grp) GROUP BY grp, nth, u),
-b AS (SELECT grp, arg_min(u, (miss, nth)) AS u FROM e GROUP BY grp)
+r AS (SELECT doc_id, k.size, k.grp, row_number() OVER (PARTITION BY k.grp ORDER BY cls, substr(key, 1, 3), k.size, doc_id NULLS LAST, key) AS rnk FROM k),
+u AS (SELECT grp, ('0x' || substr(md5('mix-1-' || grp), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t)
 SELECT doc_id, size, source_size, target,
        (floor(rnk * rate + u) - floor((rnk - 1) * rate + u))::BIGINT * size AS taken,
        (floor(rnk * rate + u) - floor((rnk - 1) * rate + u))::BIGINT AS copies
-FROM r JOIN t USING (grp) JOIN b USING (grp)
+FROM r JOIN t USING (grp) JOIN u USING (grp)
 """

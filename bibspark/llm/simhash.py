@@ -122,16 +122,23 @@ def linked(own: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component, all columns kept."""
+    """docs with one row of each component, all columns kept; see keep_first."""
     return keep_first(docs, near_duplicates(docs, max_bits))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the rows that found (row_key, keep_key) names, each once."""
-    keep = found.where("row_key = keep_key").select(F.col("row_key").alias("__key")).distinct()
-    one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    kept = docs.withColumn("__key", row_key()).join(keep, "__key").withColumn("__one", one).where("__one = 1")
-    return kept.select(*docs.columns)
+    """docs with one row of each component of found (doc_id, row_key, component_id, keep_key): that
+    of the smallest doc_id, null only where a component holds no other. Columns are unchanged,
+    whatever their names. Rows that share doc_id and text are copies of which one stays."""
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("keep_key")))
+    keep = keep.select(_keep_key(F.col("doc_id"), F.col("row_key")).alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), _keep_key(F.col("doc_id").cast("long"), row_key()).alias("key")).join(keep, "key")
+    one = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.withColumn("one", one).where("one = 1").select("row.*")
+
+
+def _keep_key(doc_id, key):
+    return F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("n")), key.cast("string"))
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
