@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import uuid
 
 import numpy as np
@@ -24,10 +26,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 # ---------------------------------------------------------------- shared storage
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; the setting is made only where it is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where it is unset, a session on one machine gets a
+    folder of its own; on a cluster executors would not share one, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context_dir.isDefined() and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = context_dir.get() if context_dir.isDefined() else "file:///tmp/checkpoints/bibspark"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/bibspark-{uuid.uuid4().hex}"
@@ -41,16 +46,32 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing will read again, and lets go of the shuffle
+    files behind them."""
+    for df in tables:
+        if _delete(df.sparkSession, df._shared_path):
+            _made.remove((df.sparkSession, df._shared_path))
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.java.lang.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended before
             return
 
@@ -272,7 +293,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not was[0]:
             break
-        e = materialize(star(star(e, True), False))
+        before, e = e, materialize(star(star(e, True), False))
+        discard(before)
         now = mark(e)
         if now == was:
             break
