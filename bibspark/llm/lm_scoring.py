@@ -100,8 +100,8 @@ def write_arrays(path: str, *arrays: np.ndarray) -> None:
 
 @lru_cache(maxsize=4096)
 def map_arrays(path: str) -> list[np.ndarray]:
-    if not os.path.exists(path):
-        return []
+    """Every shard has a file, if only an empty one: where it is missing, the folder is not shared or
+    has been emptied, and the error says so."""
     raw = np.memmap(path, np.uint8, "r")
     n = int(raw[:8].view(np.int64)[0])
     sizes = raw[8 : 8 + 16 * n].view(np.int64).tolist()
@@ -121,6 +121,7 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray):
 
 # ---------------------------------------------------------------- counting
 def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts within one block of text."""
     return counts.astype(np.uint32)
 
 
@@ -156,11 +157,14 @@ def train(docs: DataFrame) -> dict:
 
     def count_bigrams(table):
         """Writes one shard of bigrams; sends on what their words need to know."""
-        parts = [(k, split_parts(p)) for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True)]
+        parts = [(k, split_parts(p)) for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True) if k < 4]
         bucket = table.column("bucket")[0].as_py()
         rows = [(bucket, 0, join_parts(p)) for k, p in parts if k == 0]
         parts = [p for k, p in parts if k == 1]
         of_counts = np.zeros(5, np.int64)
+        if not parts:
+            none = np.zeros(0, np.int64)
+            write_arrays(f"{folder}/bigrams/{bucket:08x}", none.astype(np.uint32), none.astype(np.uint16), none.astype(np.uint8), none, none)
         if parts:
             v = np.concatenate([np.repeat(c.dec(p[0], c.U64, delta=True), c.dec(p[1], np.uint32)) for p in parts])
             w = np.concatenate([c.dec(p[2], c.U64) for p in parts])
@@ -183,9 +187,9 @@ def train(docs: DataFrame) -> dict:
 
     def spread(words, stats, kind):
         at = bucket_bounds(words << WIDE, bits)
-        return [(b, kind, join_parts([c.enc(words[at[b] : at[b + 1]], delta=True), *[c.enc(narrow(s[at[b] : at[b + 1]])) for s in stats]])) for b in np.flatnonzero(np.diff(at)).tolist()]
+        return [(b, kind, join_parts([c.enc(words[at[b] : at[b + 1]], delta=True), *[c.enc(s[at[b] : at[b + 1]].astype(np.int64)) for s in stats]])) for b in np.flatnonzero(np.diff(at)).tolist()]
 
-    def merge(parts, n_stats):
+    def merge(parts, n_stats, kind=np.int64):
         """Distinct words of packed lists and the sums of their figures."""
         if not parts:
             return np.zeros(0, c.U64), [np.zeros(0, np.int64)] * n_stats
@@ -193,23 +197,24 @@ def train(docs: DataFrame) -> dict:
         order = np.argsort(words)
         s = words[order]
         at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        return s[at], [np.add.reduceat(np.concatenate([c.dec(p[1 + k], np.uint32) for p in parts]).astype(np.int64)[order], at) for k in range(n_stats)]
+        return s[at], [np.add.reduceat(np.concatenate([c.dec(p[1 + k], kind) for p in parts]).astype(np.int64)[order], at) for k in range(n_stats)]
 
     def count_words(table):
         kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
         bucket = table.column("bucket")[0].as_py()
         lists = {k: [split_parts(p) for j, p in zip(kinds, payloads, strict=True) if j == k] for k in (0, 1, 2)}
-        words, (n,) = merge(lists[0], 1)
+        words, (n,) = merge(lists[0], 1, np.uint32)
         contexts, stats = merge(lists[1], 4)
         after, (before,) = merge(lists[2], 1)
-        write_arrays(f"{folder}/words/{bucket:08x}", words, n, contexts, stats[0], *[narrow(x) for x in stats[1:]], after, before)
+        write_arrays(f"{folder}/words/{bucket:08x}", words, n, contexts, *stats, after, before)
         of_counts = sum((np.frombuffer(p, np.int64) for j, p in zip(kinds, payloads, strict=True) if j == 3), np.zeros(5, np.int64))
         of_before = np.bincount(np.minimum(before, 5), minlength=6)[1:]
         figures = [int(n.sum()), len(words), int(before.sum()), *of_counts.tolist(), *of_before.tolist()]
         return pa.table({"figures": pa.array([figures], pa.list_(pa.int64()))})
 
     sent = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket int, kind byte, payload binary")
-    first = sent.groupBy("bucket").applyInArrow(count_bigrams, "bucket int, kind byte, payload binary")
+    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(4).cast("byte").alias("kind"), F.lit(b"").alias("payload"))  # so that each has its files
+    first = sent.unionByName(every).groupBy("bucket").applyInArrow(count_bigrams, "bucket int, kind byte, payload binary")
     figures = first.groupBy("bucket").applyInArrow(count_words, "figures array<long>")
     total = figures.agg(*[F.coalesce(F.sum(F.col("figures")[k]), F.lit(0)).alias(f"f{k}") for k in range(13)]).first()
     return {"folder": folder, "bits": bits, "N": total[0], "V": total[1], "K": total[2], "D2": discounts(total[3:8]), "D1": discounts(total[8:13]), "of_before": list(total[8:13])}
@@ -236,8 +241,6 @@ def look_up(model: dict, buf: np.ndarray, offs: np.ndarray):
     word_at, seen_at = bucket_bounds(words, bits), bucket_bounds(seen << WIDE, bits)
     for b in np.flatnonzero(np.diff(word_at) + np.diff(seen_at)).tolist():
         arrays = map_arrays(f"{folder}/words/{b:08x}")
-        if not arrays:
-            continue
         part = slice(word_at[b], word_at[b + 1])
         k, ok = find(arrays[0], words[part])
         count[part][ok] = arrays[1][k[ok]]
@@ -255,7 +258,7 @@ def look_up(model: dict, buf: np.ndarray, offs: np.ndarray):
     pair = np.zeros(len(keys), np.int64)
     for b in np.flatnonzero(np.diff(shard_at)).tolist():
         arrays = map_arrays(f"{folder}/bigrams/{b:08x}")
-        if not arrays:
+        if not len(arrays[0]):
             continue
         mine = order[shard_at[b] : shard_at[b + 1]]
         high, low, small, large_at, large = arrays
