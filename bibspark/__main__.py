@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
         tables = w.check_documents(docs, min_words=a.min_words, min_figures=a.min_figures, language=a.language)
     else:
         raw = records.read_records(spark, a.input)
-        raw = raw.limit(a.limit) if a.limit else raw
+        raw = records.prefix(records.numbered(raw, "__ordinal"), "__ordinal", a.limit).drop("__ordinal") if a.limit else raw
         tables = {
             "classify": lambda: w.classify_corpus(raw),
             "metadata": lambda: w.extract_metadata(raw, records.read_records(spark, a.index) if a.index else None),

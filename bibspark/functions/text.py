@@ -4,7 +4,6 @@ is full HTML unescaping, one Arrow UDF that only texts with an ampersand reach."
 from __future__ import annotations
 
 import html
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,6 @@ PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown")
 PLACEHOLDERS_TEMPORAL = (*PLACEHOLDERS, "unknown topic")
 PLACEHOLDERS_COLLABORATION = (*PLACEHOLDERS, "unknown institution", "unknown country")
 PLACEHOLDERS_BIBLIOMETRIC = (*PLACEHOLDERS, "unknown source", "unknown year")
-#: The entities that unescape_some() replaces, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def trim_all(x: Column) -> Column:
@@ -39,19 +36,14 @@ def unescape(x: Column) -> Column:
     return F.when(F.contains(x, F.lit("&")), _unescape(x)).otherwise(x)
 
 
-def unescape_some(x: Column) -> Column:
-    """The entities in ENTITIES, without leaving the JVM."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, x)
+def normalize_space(x: Column) -> Column:
+    """Entities as characters, white space collapsed. NULL gives the empty string."""
+    return collapse(unescape(x))
 
 
-def normalize_space(x: Column, full: bool = True) -> Column:
-    """N1. NULL gives the empty string."""
-    return collapse(unescape(x) if full else unescape_some(x))
-
-
-def normalize_title(x: Column, full: bool = False) -> Column:
-    """Lower case, each run of other than a-z and 0-9 one space."""
-    return F.trim(F.regexp_replace(F.lower(normalize_space(x, full)), "[^a-z0-9]+", " "))
+def normalize_title(x: Column) -> Column:
+    """N1 in lower case, each run of other than a-z and 0-9 one space."""
+    return F.trim(F.regexp_replace(F.lower(normalize_space(x)), "[^a-z0-9]+", " "))
 
 
 def normalize_doi(x: Column, corpus: bool = True) -> Column:
@@ -130,9 +122,11 @@ def from_inverted(index: Column, last_wins: bool = True) -> Column:
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     if not last_wins:
         return F.array_join(F.transform(F.array_sort(pairs), lambda e: e["w"]), " ")
-    last = F.aggregate(pairs, F.create_map().cast("map<int,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["p"]), F.create_map(e["p"], e["w"])))
-    order = F.filter(F.array_sort(F.map_keys(last)), lambda p: p >= 0)
-    return collapse(F.array_join(F.transform(order, lambda p: F.element_at(last, p)), " "))
+    ordered = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["p"].alias("p"), i.alias("i"), e["w"].alias("w"))))
+    # each beside the one after it: the last of a position stands before another position or the end
+    beside = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.lit(0), F.size(ordered) - 1)), lambda e, after: F.struct(e["p"].alias("p"), e["w"].alias("w"), after["p"].alias("after")))
+    kept = F.filter(beside, lambda e: (e["p"] >= 0) & (e["after"].isNull() | (e["after"] != e["p"])))
+    return collapse(F.array_join(F.transform(kept, lambda e: e["w"]), " "))
 
 
 def first_text(*columns: Column) -> Column:
@@ -182,10 +176,16 @@ def scale(x: Column, low: Column, high: Column, out_low: float, out_high: float)
 
 
 def nice_ceiling(x: Column) -> Column:
-    """The next of 1, 2, 5, 10 times a power of ten."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
-    ratio = x / power
-    return F.when(x <= 0, F.lit(1.0)).otherwise(power * F.when(ratio <= 1, 1).when(ratio <= 2, 2).when(ratio <= 5, 5).otherwise(10))
+    """An axis bound, the next number of two leading digits (5 at least). x: a whole number."""
+    unit = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.length(x.cast("long").cast("string")) - 2))
+    return F.when(x <= 5, F.lit(5)).otherwise(F.ceil(x / unit) * unit).cast("long")
+
+
+def marker_size(x: Column, low: Column, high: Column, least: float, most: float) -> Column:
+    """An area between least and most that grows by the power 0.78 of x within low .. high (the
+    least where the range is empty)."""
+    part = F.coalesce((x - low) / F.nullif(high - low, F.lit(0)), F.lit(0.0))
+    return F.lit(least) + F.pow(part, F.lit(0.78)) * (most - least)
 
 
 def citation_band(n: Column) -> Column:

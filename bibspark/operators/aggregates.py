@@ -16,8 +16,10 @@ def annual_counts(works: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def quadratic_trend(counts: DataFrame) -> DataFrame:
-    """A3: n = a + b x + c x**2 with x = year - mean, by power sums and Cramer's rule, and R2 (1 if
-    n does not vary). With fewer than three years the coefficients are NULL."""
+    """A3: n = a year**2 + b year + c by least squares, and R2 (1 if n does not vary). The power sums
+    are those of the year less its mean, solved by Cramer's rule and turned back to the year. With
+    fewer than three years a and b are 0 and c is the sum of the three moments of n over
+    max(1, sum of fourth powers). Without rows all are NULL."""
     x = F.col("year") - F.avg("year").over(Window.partitionBy())
     rows = counts.select(x.alias("x"), F.col("n").cast("double").alias("y"), F.avg("n").over(Window.partitionBy()).alias("m"))
     p = lambda k: F.pow("x", F.lit(float(k)))
@@ -29,13 +31,41 @@ def quadratic_trend(counts: DataFrame) -> DataFrame:
     a = f"(t0*(s2*s4-s3*s3) - s1*(t1*s4-t2*s3) + s2*(t1*s3-t2*s2)) / {det}"
     b = f"(s0*(t1*s4-t2*s3) - t0*(s1*s4-s2*s3) + s2*(s1*t2-s2*t1)) / {det}"
     c = f"(s0*(s2*t2-s3*t1) - s1*(s1*t2-s2*t1) + t0*(s1*s3-s2*s2)) / {det}"
-    fit = s.selectExpr(f"case when s0 >= 3 and abs({det}) > 1e-9 then {a} end a", f"case when s0 >= 3 and abs({det}) > 1e-9 then {b} end b", f"case when s0 >= 3 and abs({det}) > 1e-9 then {c} end c")
+    solved = f"s0 >= 3 and abs({det}) > 1e-9"
+    fit = s.selectExpr(f"case when {solved} then {a} else (t0 + t1 + t2) / greatest(1, s4) end a", f"case when {solved} then {b} else 0 end b", f"case when {solved} then {c} else 0 end c")
     off = rows.crossJoin(F.broadcast(fit)).agg(  # fit is one row
         F.first("a").alias("a"), F.first("b").alias("b"), F.first("c").alias("c"),
         F.sum(F.pow(F.col("y") - F.col("a") - F.col("b") * F.col("x") - F.col("c") * F.col("x") * F.col("x"), F.lit(2.0))).alias("rest"),
         F.sum(F.pow(F.col("y") - F.col("m"), F.lit(2.0))).alias("total"),
     )
-    return off.select("a", "b", "c", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(1 - F.col("rest") / F.col("total")).alias("r2"))
+    centre = counts.agg(F.avg("year").alias("centre"))
+    return off.crossJoin(centre).select(  # one row each
+        F.col("c").alias("a"), (F.col("b") - 2 * F.col("c") * F.col("centre")).alias("b"), (F.col("a") - F.col("b") * F.col("centre") + F.col("c") * F.col("centre") * F.col("centre")).alias("c"),
+        F.when(F.col("total") == 0, F.lit(1.0)).otherwise(1 - F.col("rest") / F.col("total")).alias("r2"),
+    )
+
+
+def last_complete_year(works: DataFrame, this_year: int) -> DataFrame:
+    """Year, the last that has works and is over in this_year; one row."""
+    return works.where(F.col("year") < this_year).agg(F.max("year").alias("year"))
+
+
+def spread(works: DataFrame, group: str, value: str) -> DataFrame:
+    """Median and population variance of a value."""
+    return works.groupBy(group).agg(F.median(value).alias(f"median_{value}"), F.var_pop(value).alias("variance"))
+
+
+def top_of_parts(works: DataFrame, part: str, caps: dict, order: list) -> DataFrame:
+    """T4: the first rows of each part, as many as its cap says (none without one), with their rank."""
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col(part))
+    ranks = works.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return ranks.where(F.col("rank") <= max(caps.values())).where(F.col("rank") <= cap)
+
+
+def first_items(df: DataFrame, group: str, value: str, order: str, k: int) -> DataFrame:
+    """The first k values of each group as an array, for a report."""
+    cut = df.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(order, value))).where(F.col("__rank") <= k)
+    return cut.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(value).alias("v")))), lambda e: e["v"]).alias("items"))
 
 
 def window_of(year: Column, end: int, width: int = 5) -> Column:

@@ -81,6 +81,12 @@ def merge_corpora(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, key, "full").select(key, *pick)
 
 
+def look_up(df: DataFrame, known: DataFrame, key: str, missing: dict) -> DataFrame:
+    """Df with known's columns by key; missing gives the value of each where there is none."""
+    named = df.join(known.select(key, *missing), key, "left")
+    return named.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in missing.items()})
+
+
 def union(first: DataFrame, second: DataFrame) -> DataFrame:
     """D6."""
     return first.unionByName(second, allowMissingColumns=True)

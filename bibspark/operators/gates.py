@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions.text import PLACEHOLDERS
-from bibspark.operators import dedup
+from bibspark.operators import dedup, graph
 
 
 def report(checks: DataFrame) -> DataFrame:
@@ -25,21 +25,24 @@ def long_form(checks: DataFrame) -> DataFrame:
     return checks.select(F.inline(pairs))
 
 
-def corpus_gate(df: DataFrame, originals: int, target: int, required: list[str], reference: Column) -> DataFrame:
+def corpus_gate(df: DataFrame, known: DataFrame, originals: int, target: int, required: list[str], reference: Column) -> DataFrame:
     """V1 over rows with record_origin, in_scope, is_retracted, is_duplicate and the required columns.
-    The number of originals is a parameter."""
+    known: the table of originals, of which the corpus must hold as many rows. The number of
+    originals is a parameter."""
     filled = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in required])
     is_new = F.col("record_origin") != "original"
-    return df.agg(
+    checks = df.agg(
+        F.count_if(~is_new).alias("__old"),
         (F.count_if(~is_new) == originals).alias("originals"),
         (F.count_if(is_new) >= target).alias("target_met"),
-        (F.count("*") == F.count_if(~is_new) + F.count_if(is_new)).alias("additive"),
         (F.count_if(F.col("is_duplicate")) == 0).alias("no_duplicates"),
         F.coalesce(F.bool_and("in_scope"), F.lit(True)).alias("all_in_scope"),
         (F.count_if("is_retracted") == 0).alias("none_retracted"),
         F.coalesce(F.bool_and(filled), F.lit(True)).alias("required_metadata"),
         (F.count_if(reference) == 1).alias("reference_once"),
     )
+    both = checks.crossJoin(known.agg(F.count("*").alias("__known")))  # one row each
+    return both.withColumn("additive", F.col("__old") == F.col("__known")).drop("__old", "__known")
 
 
 def expansion_gate(originals: DataFrame, selected: DataFrame, expanded: DataFrame, quotas: list[tuple[str, int]], n_originals: int, reference: Column, id_col: str, group: str, keys: str = "keys") -> DataFrame:
@@ -92,7 +95,7 @@ def quota_gate(selected: DataFrame, group: str, quotas: list[tuple[str, int]]) -
 
 
 def dimension_stats(works: DataFrame, values: str, edges: DataFrame) -> DataFrame:
-    """A8, one row."""
+    """A8 without the graph's figures, one row."""
     w = works.agg(
         F.count("*").alias("records"), F.count_if(F.size(values) > 0).alias("records_with_field"), F.count_if(F.size(F.array_distinct(values)) > 1).alias("multi_party")
     ).withColumn("coverage", F.when(F.col("records") > 0, F.col("records_with_field") / F.col("records")).otherwise(F.lit(0.0)))
@@ -100,6 +103,13 @@ def dimension_stats(works: DataFrame, values: str, edges: DataFrame) -> DataFram
     return w.crossJoin(F.broadcast(e))  # one row each
 
 
+def with_graph_stats(stats: DataFrame, works: DataFrame, values: str, edges: DataFrame) -> DataFrame:
+    """Stats with unique_nodes, connected_nodes and components of the whole graph."""
+    unique = works.select(F.explode(values).alias("v")).agg(F.count_distinct("v").alias("unique_nodes"))
+    parts = graph.components(edges).agg(F.count("*").alias("connected_nodes"), F.count_distinct("component").alias("components"))
+    return stats.crossJoin(F.broadcast(unique)).crossJoin(F.broadcast(parts))  # one row each
+
+
 def dimension_gate(stats: DataFrame, min_coverage: float = 0.2, min_multi: int = 3) -> DataFrame:
     """V2: stats with reasons (joined) and passed."""
     reasons = F.concat_ws("; ", F.when(F.col("coverage") < min_coverage, "coverage"), F.when(F.col("multi_party") < min_multi, "multi_party"), F.when(F.col("edges") < 1, "no_edges"))

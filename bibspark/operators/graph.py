@@ -1,8 +1,12 @@
-"""Co-occurrence and evidence graphs (G1 - G9). Pairs are built inside the row; one aggregation
-follows. Communities run on the driver over the selected subgraph of top_n nodes at most."""
+"""Co-occurrence and evidence graphs (G1 - G9). A record's labels are exploded one by one, each
+with what it pairs with; one aggregation follows. Communities run on the driver over the selected
+subgraph of top_n nodes, as many as its caller asked for."""
 
 from __future__ import annotations
 
+import re
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +14,20 @@ from bibspark.functions.text import unroll
 
 #: Pairs of node types that the evidence graph connects.
 PAIRS = (("author", "author"), ("author", "affiliation"), ("author", "journal"), ("author", "topic"), ("author", "year"), ("journal", "year"), ("topic", "year"), ("affiliation", "topic"))
-MAX_COMMUNITY_NODES = 2000
 
 
-def pairs(values: Column) -> Column:
-    """All unordered pairs (src < dst) of an array's distinct values."""
-    v = F.array_sort(F.array_distinct(values))
-    return F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 2, F.size(v)), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+def pairs(df: DataFrame, values: Column) -> DataFrame:
+    """src, dst: all unordered pairs (src < dst) of an array's distinct values. A row holds one value
+    and those behind it, never all pairs."""
+    labels = df.select(F.array_sort(F.array_distinct(values)).alias("v")).where(F.size("v") > 1)
+    firsts = labels.select("v", F.posexplode("v").alias("i", "src"))
+    return firsts.select("src", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("dst"))
 
 
 def collaboration_edges(works: DataFrame, values: str, max_party: int | None = None) -> DataFrame:
     """Src, dst, weight. max_party leaves out larger works (none by default)."""
     kept = works if max_party is None else works.where(F.size(values) <= max_party)
-    return unroll(kept, array=pairs(F.col(values)), key="src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return pairs(kept, F.col(values)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def collaboration_nodes(works: DataFrame, values: str) -> DataFrame:
@@ -60,9 +65,12 @@ def top_induced(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame,
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Node, component (the least label reachable), by least labels of neighbours with pointer
     jumping; each round is checkpointed to the shared folder of spark.checkpoint.dir."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/bibspark"))
+    context = edges.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file:///tmp/checkpoints/bibspark")
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     label = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")).checkpoint()
     for _ in range(max_rounds):
@@ -76,14 +84,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_COMMUNITY_NODES) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy modularity (Clauset, Newman and Moore 2004) on a selected subgraph: node,
     community, numbered by size descending, then least label. Of equal gains the pair of least
-    labels merges first."""
-    names = sorted(r["node"] for r in nodes.select("node").limit(max_nodes + 1).collect())
-    if len(names) > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes")
-    links = {(r["src"], r["dst"]): float(r["weight"]) for r in edges.collect()}  # at most max_nodes ** 2 / 2
+    labels merges first. The subgraph is that of a top list (G6) and comes to the driver."""
+    names = sorted(r["node"] for r in nodes.select("node").collect())
+    links = {(r["src"], r["dst"]): float(r["weight"]) for r in edges.collect()}
     groups = greedy_modularity(names, links)
     groups.sort(key=lambda g: (-len(g), min(g)))
     rows = [(n, k + 1) for k, g in enumerate(groups) for n in sorted(g)]
@@ -138,20 +144,26 @@ def evidence_nodes(records: DataFrame, fields: dict[str, Column], title: str, ci
 def evidence_edges(records: DataFrame, fields: dict[str, Column], title: str, citations: str, allowed=PAIRS) -> DataFrame:
     """Src < dst, weight, weight_raw, citations, papers. Pairs of one type count twice in
     weight and citations, as both orders are visited (weight_raw: once)."""
-    def ids_of(t: str) -> Column:
-        return F.transform(F.array_distinct(fields[t]), lambda x: F.concat(F.lit(f"{t}:"), F.lower(x)))
-
-    def cross(a: Column, b: Column) -> Column:
-        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.lit(1).alias("times")))))
-
-    ids = {t: ids_of(t) for t in fields}
-    parts = []
-    for a, b in allowed:
-        if a == b:
-            parts.append(F.transform(pairs(ids[a]), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(2).alias("times"))))
-        else:
-            parts.append(cross(ids[a], ids[b]))
-    rows = unroll(records, F.col(title).alias("t"), F.col(citations).alias("c"), array=F.concat(*parts), key="src")
+    kinds = list(fields)
+    labels = {k: F.array_distinct(F.transform(fields[k], partial(node_id, F.lit(k)))) for k in kinds}
+    # a title's 64 bits stand for it in the exchange
+    own = records.select(F.when(F.col(title).isNotNull(), F.xxhash64(title)).alias("t"), F.col(citations).alias("c"), *[F.array_sort(labels[k]).alias(k) for k in kinds])
+    none = F.array().cast("array<struct<y:string,times:int>>")
+
+    def partners(k: str) -> Column:
+        """What a label x of kind k pairs with; of its own kind, the labels behind it."""
+        found = [F.transform(F.filter(F.col(b), lambda y: y > F.col("x")), lambda y: F.struct(y.alias("y"), F.lit(2).alias("times"))) if a == b else F.transform(b, lambda y: F.struct(y.alias("y"), F.lit(1).alias("times"))) for a, b in allowed if a == k]
+        return F.concat(none, *found)
+
+
+    def numbered(k: str) -> Column:
+        return F.transform(k, lambda x: F.struct(F.lit(kinds.index(k)).alias("kind"), x.alias("x")))
+
+    each = F.concat(*map(numbered, kinds))
+    firsts = unroll(own, "t", "c", *kinds, array=each, key="x")
+    found = reduce(lambda rest, n: F.when(F.col("kind") == n, partners(kinds[n])).otherwise(rest), range(len(kinds)), none)
+    rows = unroll(firsts, "t", "c", "x", array=found, key="y")
+    rows = rows.select("t", "c", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "times")
     return rows.groupBy("src", "dst").agg(F.sum("times").alias("weight"), F.count("*").alias("weight_raw"), F.sum(F.col("c") * F.col("times")).alias("citations"), F.count_distinct("t").alias("papers"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bibspark.functions import text as t
 from bibspark.operators import aggregates as agg
 from bibspark.operators import classify, dedup, enrich, gates, graph, textgate
-from bibspark.operators.taxonomy import Direction, Rule
+from bibspark.operators.taxonomy import REVIEW_TERMS, Direction, Rule
 from bibspark.plans.works import WORKS_SQL, table, works
 from bibspark.sources import records
 
@@ -56,9 +56,11 @@ def texts(spark, d) -> DataFrame:
 
 
 # ---------------------------------------------------------------- projections
-@on_works("SELECT work_id, year, title, source_name, work_type, status, array_to_string(authors, '; ') AS authors, array_to_string(countries, '; ') AS countries, array_to_string(institutions, '; ') AS institutions, array_to_string(topics, '; ') AS topics, citations FROM works")
+@on_works("SELECT title, year AS publication_year, source_name, citations AS cited_by_count, array_to_string(authors, '; ') AS authors, array_to_string(institutions, '; ') AS institutions, array_to_string(countries, '; ') AS countries, array_to_string(topics, '; ') AS topics, NULL::VARCHAR AS abstract, work_type, NULL::VARCHAR AS doi, work_id::VARCHAR AS openalex_id FROM works")
 def works_canonical(spark, d):
-    return records.flat(works(spark, d))
+    """Works under other names of their fields, made canonical, flat."""
+    other = {"work_id": "id", "source_name": "journal", "work_type": "type", "institutions": "affiliations", "countries": "country_codes", "topics": "keywords", "citations": "cited_by"}
+    return records.flat(records.canonical(works(spark, d).withColumnsRenamed(other)))
 
 
 @on_works("SELECT work_id, title, year, citations FROM works WHERE title <> '' AND year IS NOT NULL AND len(authors) > 0 AND source_name <> '' AND len(topics) > 0")
@@ -67,9 +69,10 @@ def works_required(spark, d):
     return records.required(w).select("work_id", "title", "year", "citations")
 
 
-@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || '  ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS title FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || 'É—  ' || p_brand || 'é&é'), '[^a-z0-9]+', ' ', 'g')) AS title FROM part")
 def title_normalized(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.normalize_title(F.concat("p_name", F.lit("  "), "p_brand")).alias("title"))
+    """Named, decimal and hexadecimal entities."""
+    return table(spark, d, "part").select("p_partkey", t.normalize_title(F.concat("p_name", F.lit("&Eacute;&#8212;  "), "p_brand", F.lit("&eacute;&amp;&#xe9;"))).alias("title"))
 
 
 @query("SELECT page_id, lower(regexp_replace(url, '^https?://(dx\\.)?doi\\.org/', '')) AS doi, lower(regexp_replace('https://doi.org/10.1/' || page_id || 'Ab', '^https?://(dx\\.)?doi\\.org/', '')) AS doi2 FROM pages")
@@ -95,18 +98,18 @@ def split_values_variants(spark, d):
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
 '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS title,
-length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS plain_chars FROM pages""")
+length(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS plain_chars FROM pages""")
 def html_unescaped_titles(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", t.normalize_space(F.regexp_extract("html", "<title>([^<]*)</title>", 1), full=False).alias("title"), F.length(F.trim(F.regexp_replace("html", "<[^>]+>", ""))).cast("long").alias("plain_chars"))
+    return p.select("page_id", t.normalize_space(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.length(t.strip_tags(F.col("html"))).cast("long").alias("plain_chars"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x20\\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x20\\t\\n\\r\\f\\v]+', ' ', 'g')) AS text, trim(regexp_replace(coalesce(text, ''), '[\\x20\\t\\n\\r\\f\\v]+', ' ', 'g')) AS last_text FROM documents")
 def inverted_index_roundtrip(spark, d):
     """Words to positions and back, for whole texts."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " ")), " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", t.from_inverted(F.col("index"), last_wins=False).alias("text"))
+    return index.select("doc_id", t.from_inverted(F.col("index"), last_wins=False).alias("text"), t.from_inverted(F.col("index")).alias("last_text"))
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k, CASE WHEN value >= 1000 THEN 1000.0::DOUBLE WHEN value > 0 THEN value ELSE 0 END AS cites FROM events")
@@ -125,10 +128,10 @@ def dates_and_stems(spark, d):
     return o.select("o_orderkey", date.alias("date"), t.is_w3c_date(date).alias("w3c"), stem.alias("stem"))
 
 
-@query("SELECT p_partkey, CASE WHEN length(p_name || ' ' || p_type || ' ' || p_brand) <= 20 THEN p_name || ' ' || p_type || ' ' || p_brand ELSE rtrim(substr(p_name || ' ' || p_type || ' ' || p_brand, 1, 17)) || '...' END AS label, sha256(p_name) AS digest FROM part")
+@query("SELECT p_partkey, CASE WHEN length(p_name || ' ' || p_type || ' ' || p_brand) <= 20 THEN p_name || ' ' || p_type || ' ' || p_brand ELSE rtrim(substr(p_name || ' ' || p_type || ' ' || p_brand, 1, 17)) || '...' END AS label, ('0x' || substr(sha256(p_name), 1, 16))::UBIGINT::VARCHAR AS digest FROM part")
 def shortened_labels(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", t.shorten(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("label"), F.sha2("p_name", 256).alias("digest"))
+    return p.select("p_partkey", t.shorten(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("label"), t.stable_hash(F.col("p_name")).alias("digest"))
 
 
 @on_works("""SELECT work_id, CASE WHEN citations >= 500 THEN '500+' WHEN citations >= 200 THEN '200-499' WHEN citations >= 50 THEN '50-199' WHEN citations >= 1 THEN '1-49' ELSE '0' END AS band FROM works""")
@@ -144,8 +147,7 @@ def scaled_sizes(spark, d):
     return n.select("country", "n", F.round(t.scale(F.col("n"), F.min("n").over(every), F.max("n").over(every), 10.0, 20.0), 6).alias("size"), F.round(F.log1p("n"), 6).alias("log_size"))
 
 
-@query("""SELECT n_nationkey, substr(n_name, 1, 2) AS code, coalesce(m.name, substr(n_name, 1, 2)) AS country_name FROM nation
-LEFT JOIN (VALUES ('CA','Canada'),('FR','France'),('IN','India'),('IR','Iran'),('JO','Jordan'),('MO','Macao'),('RO','Romania'),('RU','Russia'),('SA','Saudi Arabia'),('BR','Brazil'),('CH','Switzerland'),('ID','Indonesia'),('CN','China'),('US','United States'),('MA','Morocco'),('DE','Germany'),('GB','United Kingdom'),('AU','Australia'),('BD','Bangladesh'),('CY','Cyprus'),('CZ','Czech Republic'),('DK','Denmark'),('ES','Spain'),('FI','Finland'),('GR','Greece'),('HK','Hong Kong'),('IE','Ireland'),('IT','Italy'),('JP','Japan'),('KR','South Korea'),('MX','Mexico'),('MY','Malaysia'),('NL','Netherlands'),('NO','Norway'),('NZ','New Zealand'),('OM','Oman'),('PH','Philippines'),('PT','Portugal'),('QA','Qatar'),('SE','Sweden'),('SG','Singapore'),('TH','Thailand'),('TR','Turkey'),('TW','Taiwan'),('ZA','South Africa')) m(code, name) ON substr(n_name, 1, 2) = m.code""")
+@query("""SELECT n_nationkey, substr(n_name, 1, 2) AS code, coalesce(m.name, substr(n_name, 1, 2)) AS country_name FROM nation LEFT JOIN (VALUES """ + ", ".join(f"('{c}', '{n}')" for c, n in enrich.COUNTRY_NAMES.items()) + ") m(code, name) ON substr(n_name, 1, 2) = m.code")
 def country_labels(spark, d):
     return enrich.with_country_name(table(spark, d, "nation").select("n_nationkey", F.substring("n_name", 1, 2).alias("code")), "code")
 
@@ -162,10 +164,12 @@ s AS (SELECT count(*)::DOUBLE s0, sum(x) s1, sum(x*x) s2, sum(x*x*x) s3, sum(x*x
 f AS (SELECT (t0*(s2*s4-s3*s3)-s1*(t1*s4-t2*s3)+s2*(t1*s3-t2*s2))/(s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2)) AS a,
  (s0*(t1*s4-t2*s3)-t0*(s1*s4-s2*s3)+s2*(s1*t2-s2*t1))/(s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2)) AS b,
  (s0*(s2*t2-s3*t1)-s1*(s1*t2-s2*t1)+t0*(s1*s3-s2*s2))/(s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2)) AS c FROM s)
-SELECT round(any_value(a), 6) AS a, round(any_value(b), 6) AS b, round(any_value(c), 6) AS c, round(1 - sum((y-a-b*x-c*x*x)*(y-a-b*x-c*x*x)) / sum((y-(SELECT avg(y) FROM x))*(y-(SELECT avg(y) FROM x))), 6) AS r2 FROM x, f""")
+SELECT round(any_value(c), 6) AS a, round(any_value(b) - 2 * any_value(c) * (SELECT avg(year) FROM c), 2) AS b,
+ round((any_value(a) - any_value(b) * (SELECT avg(year) FROM c) + any_value(c) * (SELECT avg(year) FROM c) * (SELECT avg(year) FROM c)) / 1e6, 3) AS c_millions,
+ round(1 - sum((y-a-b*x-c*x*x)*(y-a-b*x-c*x*x)) / sum((y-(SELECT avg(y) FROM x))*(y-(SELECT avg(y) FROM x))), 6) AS r2 FROM x, f""")
 def quadratic_trend(spark, d):
     fit = agg.quadratic_trend(agg.annual_counts(works(spark, d), 1995, 2000))
-    return fit.select(*[F.round(c, 6).alias(c) for c in ("a", "b", "c", "r2")])
+    return fit.select(F.round("a", 6).alias("a"), F.round("b", 2).alias("b"), F.round(F.col("c") / 1e6, 3).alias("c_millions"), F.round("r2", 6).alias("r2"))
 
 
 WINDOWS_SQL = """, v AS (SELECT CASE WHEN year BETWEEN 1998 AND 2000 THEN 'recent' WHEN year BETWEEN 1995 AND 1997 THEN 'earlier' END AS "window", unnest(topics) AS topic FROM works),
@@ -221,23 +225,25 @@ def coverage_tiers(spark, d):
     return works(spark, d).select("work_id", classify.coverage(F.col("status") == "F", F.col("status") == "O").alias("coverage"))
 
 
-@on_works("SELECT work_type = '1-URGENT' AS is_review, count(*) AS n, sum(citations)::BIGINT AS citations FROM works GROUP BY 1")
+@on_works(f"SELECT regexp_matches(lower(title || CASE work_id % 4 WHEN 0 THEN ' A Scoping Study' WHEN 1 THEN ': Meta-Analysis' ELSE '' END || ' ' || CASE WHEN work_type = '1-URGENT' THEN 'Review' ELSE work_type END), '{'|'.join(REVIEW_TERMS)}') AS is_review, count(*) AS n, sum(citations)::BIGINT AS citations FROM works GROUP BY 1")
 def review_partition(spark, d):
-    w = works(spark, d).withColumn("is_review", classify.is_review(F.lit(""), F.col("work_type"), ("1-urgent",)))
+    """C9, with the real terms."""
+    title = F.concat("title", F.when(F.col("work_id") % 4 == 0, " A Scoping Study").when(F.col("work_id") % 4 == 1, ": Meta-Analysis").otherwise(""))
+    w = works(spark, d).withColumn("is_review", classify.is_review(title, F.when(F.col("work_type") == "1-URGENT", "Review").otherwise(F.col("work_type"))))
     return w.groupBy("is_review").agg(F.count("*").alias("n"), F.sum("citations").alias("citations"))
 
 
 @on_works("""SELECT is_review, work_id, citations, year, rank FROM (SELECT work_type = '1-URGENT' AS is_review, *,
 row_number() OVER (PARTITION BY work_type = '1-URGENT' ORDER BY citations DESC, year, lower(title), work_id) AS rank FROM works) WHERE rank <= CASE WHEN is_review THEN 14 ELSE 18 END""")
 def top_papers_per_partition(spark, d):
-    w = Window.partitionBy("is_review").orderBy(F.desc("citations"), "year", F.lower("title"), "work_id")
-    rows = works(spark, d).withColumn("is_review", F.col("work_type") == "1-URGENT").withColumn("rank", F.row_number().over(w))
-    return rows.where(F.col("rank") <= 18).where(F.col("rank") <= F.when(F.col("is_review"), 14).otherwise(18)).select("is_review", "work_id", "citations", "year", F.col("rank").cast("long").alias("rank"))
+    rows = works(spark, d).withColumn("is_review", F.col("work_type") == "1-URGENT")
+    top = agg.top_of_parts(rows, "is_review", {True: 14, False: 18}, [F.desc("citations"), "year", F.lower("title"), "work_id"])
+    return top.select("is_review", "work_id", "citations", "year", F.col("rank").cast("long").alias("rank"))
 
 
 @on_works("SELECT year, median(citations) AS median_citations, round(var_pop(citations), 4) AS variance FROM works GROUP BY 1")
 def spread_by_year(spark, d):
-    return works(spark, d).groupBy("year").agg(F.median("citations").alias("median_citations"), F.round(F.var_pop("citations"), 4).alias("variance"))
+    return agg.spread(works(spark, d), "year", "citations").withColumn("variance", F.round("variance", 4))
 
 
 # ---------------------------------------------------------------- graphs
@@ -245,6 +251,12 @@ def _pairs_sql(column: str) -> str:
     return f", e AS (SELECT work_id, unnest({column}) AS v FROM works), edges AS (SELECT a.v AS src, b.v AS dst, count(*) AS weight FROM e a JOIN e b ON a.work_id = b.work_id AND a.v < b.v GROUP BY 1, 2), nodes AS (SELECT v AS node, count(*) AS publications FROM e GROUP BY 1)\n"
 
 
+#: Adds to edges (src, dst) a table cc (node, component).
+COMPONENTS_SQL = """adj AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+cc AS (WITH RECURSIVE reach(n, m) AS (SELECT src, src FROM adj UNION SELECT reach.n, adj.dst FROM reach JOIN adj ON reach.m = adj.src) SELECT n AS node, min(m) AS component FROM reach GROUP BY 1)
+"""
+
+
 def _edges(name: str, column: str):
     def f(spark, d):
         return graph.collaboration_edges(works(spark, d), column)
@@ -264,19 +276,16 @@ def collab_nodes_country(spark, d):
     return graph.connected_nodes(graph.collaboration_nodes(w, "countries"), graph.collaboration_edges(w, "countries"))
 
 
-@on_works(_pairs_sql("authors") + "SELECT count(*) AS records, count(*) FILTER (len(authors) > 0) AS records_with_field, count(*) FILTER (len(authors) > 1) AS multi_party, round(count(*) FILTER (len(authors) > 0)::DOUBLE / count(*), 6) AS coverage, (SELECT count(*) FROM edges) AS edges, (SELECT sum(weight) FROM edges)::BIGINT AS weighted_edges FROM works")
+@on_works(_pairs_sql("authors") + ", " + COMPONENTS_SQL + "SELECT (SELECT count(DISTINCT v) FROM e) AS unique_nodes, (SELECT count(*) FROM cc) AS connected_nodes, (SELECT count(DISTINCT component) FROM cc) AS components, count(*) AS records, count(*) FILTER (len(authors) > 0) AS records_with_field, count(*) FILTER (len(authors) > 1) AS multi_party, round(count(*) FILTER (len(authors) > 0)::DOUBLE / count(*), 6) AS coverage, (SELECT count(*) FROM edges) AS edges, (SELECT sum(weight) FROM edges)::BIGINT AS weighted_edges FROM works")
 def collab_stats(spark, d):
     w = works(spark, d)
-    return gates.dimension_stats(w, "authors", graph.collaboration_edges(w, "authors")).withColumn("coverage", F.round("coverage", 6))
+    edges = graph.collaboration_edges(w, "authors")
+    return gates.with_graph_stats(gates.dimension_stats(w, "authors", edges), w, "authors", edges).withColumn("coverage", F.round("coverage", 6))
 
 
-@on_works(_pairs_sql("authors") + """, strong AS (SELECT src, dst FROM edges WHERE weight >= (SELECT quantile_disc(weight, 0.99) FROM edges)),
-twoway AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong),
-r AS (SELECT n, component FROM (WITH RECURSIVE reach(n, m) AS (SELECT src, src FROM twoway UNION SELECT n, dst FROM reach JOIN twoway ON m = src) SELECT n, min(m) AS component FROM reach GROUP BY 1))
-SELECT n AS node, component FROM r""")
+@on_works(_pairs_sql("authors") + ", " + COMPONENTS_SQL + "SELECT node, component FROM cc")
 def collab_components(spark, d):
-    """G5 on all author edges; tested against a plain search. The SQL above still keeps only the
-    highest percentile of weight, so the two differ."""
+    """G5 on all author edges."""
     return graph.components(graph.collaboration_edges(works(spark, d), "authors"))
 
 
@@ -509,17 +518,26 @@ def resume_anti_join(spark, d):
 
 
 # ---------------------------------------------------------------- text gates
-@query("SELECT doc_id, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[{}$^_~&]', ' ', 'g'), '[A-Za-z]+'))::BIGINT AS words FROM documents")
+def _ascii(text="text"):
+    """Texts whose word bounds both regex dialects see alike."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x00-\\x7f]", ".")
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '.', 'g'), '\\(?:begin|end)\{[^}]+\}|\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|[{}$^_~&]', ' ', 'g'), '\b[A-Za-z][A-Za-z0-9''-]*\b'))::BIGINT AS words FROM documents""")
 def word_counts(spark, d):
-    """X4 with runs of ASCII letters as words, which both regex dialects bound alike."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[{}$^_~&]", " ")
-    return table(spark, d, "documents").select("doc_id", F.regexp_count(plain, F.lit("[A-Za-z]+")).cast("long").alias("words"))
+    """X4."""
+    return table(spark, d, "documents").select("doc_id", textgate.word_count(_ascii()).cast("long").alias("words"))
+
+
+LEAKS = textgate.PROMPT_TRACES + textgate.PLACEHOLDER_TRACES
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\?\?+') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(coalesce(text, ''), '(?i)lorem ipsum') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(token|license)') THEN 1 ELSE 0 END AS leaks FROM documents")
+@query("SELECT doc_id, (" + " + ".join(f"regexp_matches(x, '(?i){p}')::INT" for p in LEAKS) + r") AS leaks FROM (SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'TODO ' WHEN 2 THEN '[insert text]' WHEN 3 THEN '# Title' || chr(10) WHEN 4 THEN '\\missing{x} as an AI' WHEN 5 THEN 'Prompt: what??' ELSE '' END || regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '.', 'g') AS x FROM documents)")
 def leak_flags(spark, d):
-    found = textgate.leaks(F.coalesce("text", F.lit("")), (r"\?\?+", r"lorem ipsum", r"(token|license)"))
-    return table(spark, d, "documents").select("doc_id", F.size(found).alias("leaks"))
+    """X8, with the real patterns and planted traces."""
+    i = F.col("doc_id") % 9
+    trace = F.when(i == 1, "TODO ").when(i == 2, "[insert text]").when(i == 3, "# Title\n").when(i == 4, "\\missing{x} as an AI").when(i == 5, "Prompt: what??").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.size(textgate.leaks(F.concat(trace, _ascii()))).alias("leaks"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]'))::BIGINT AS cjk, len(regexp_extract_all(coalesce(text, ''), '[à-ÿ]'))::BIGINT AS accented FROM documents")
@@ -558,12 +576,12 @@ def ledger_gate(spark, d):
 
 # ---------------------------------------------------------------- gates
 @on_works(KEYED_SQL + """, f AS (SELECT key, min(work_id) AS first FROM x GROUP BY 1), z AS (SELECT w.*, exists(SELECT 1 FROM x JOIN f USING (key) WHERE x.work_id = w.work_id AND first < x.work_id) AS dup FROM works w),
-g AS (SELECT count(*) FILTER (status = 'F') = 150 AS originals, count(*) FILTER (status <> 'F') >= 50 AS target_met, true AS additive, count(*) FILTER (dup) = 0 AS no_duplicates, bool_and(year <= 2000) AS all_in_scope, count(*) FILTER (status = 'P') = 0 AS none_retracted, bool_and(title <> '' AND source_name IS NOT NULL) AS required_metadata, count(*) FILTER (work_id = 1) = 1 AS reference_once FROM z)
+g AS (SELECT count(*) FILTER (status = 'F') = 150 AS originals, count(*) FILTER (status <> 'F') >= 50 AS target_met, count(*) FILTER (status = 'F') = count(*) FILTER (status = 'F' AND year < 2001) AS additive, count(*) FILTER (dup) = 0 AS no_duplicates, bool_and(year <= 2000) AS all_in_scope, count(*) FILTER (status = 'P') = 0 AS none_retracted, bool_and(title <> '' AND source_name IS NOT NULL) AS required_metadata, count(*) FILTER (work_id = 1) = 1 AS reference_once FROM z)
 UNPIVOT g ON COLUMNS(*) INTO NAME "check" VALUE passed""".replace("UNPIVOT g", "SELECT \"check\", passed FROM (UNPIVOT g").replace("VALUE passed", "VALUE passed)"))
 def corpus_gate(spark, d):
     k = dedup.incremental_duplicates(_keyed(spark, d), "work_id").select("work_id", "is_duplicate")
     w = works(spark, d).join(k, "work_id").select("*", F.when(F.col("status") == "F", "original").otherwise("expanded").alias("record_origin"), (F.col("year") <= 2000).alias("in_scope"), (F.col("status") == "P").alias("is_retracted"))
-    return gates.long_form(gates.corpus_gate(w, 150, 50, ["title", "source_name"], F.col("work_id") == 1))
+    return gates.long_form(gates.corpus_gate(w, w.where("status = 'F' and year < 2001"), 150, 50, ["title", "source_name"], F.col("work_id") == 1))
 
 
 @on_works(_pairs_sql("institutions") + "SELECT count(*) AS records, count(*) FILTER (len(institutions) > 1) AS multi_party, (SELECT count(*) FROM edges) AS edges, '' AS reasons, true AS passed FROM works")
@@ -573,7 +591,7 @@ def dimension_gate(spark, d):
     return gates.dimension_gate(stats).select("records", "multi_party", "edges", "reasons", "passed")
 
 
-@on_works(WINDOWS_SQL + 'SELECT (SELECT count(*) FROM works WHERE year BETWEEN 1995 AND 2000) > 0 AS years_have_records, count(*) FILTER ("window" = \'recent\') > 0 AS recent_has_topics, count(*) FILTER ("window" = \'earlier\') > 0 AS earlier_has_topics, true AS labels_covered FROM n')
+@on_works(WINDOWS_SQL + 'SELECT (SELECT count(*) FROM works WHERE year BETWEEN 1995 AND 2000) > 0 AS years_have_records, count(*) FILTER ("window" = \'recent\') > 0 AS recent_has_topics, count(*) FILTER ("window" = \'earlier\') > 0 AS earlier_has_topics, least(count(DISTINCT topic), 36) >= least(10, count(DISTINCT topic), 36) AS labels_covered FROM n')
 def temporal_gate(spark, d):
     w = works(spark, d)
     return gates.temporal_gate(agg.annual_counts(w, 1995, 2000), agg.topic_window_counts(w, LAST_YEAR, WIDTH))
@@ -644,8 +662,7 @@ def consistency_gate(spark, d):
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def label_lookup(spark, d):
     """Left lookup with missing labels."""
-    x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return x.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    return dedup.look_up(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", {"quality": -1, "toxic": -1})
 
 
 @query()

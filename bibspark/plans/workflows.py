@@ -59,7 +59,7 @@ def expand_corpus(originals: DataFrame, candidates: DataFrame, quotas: list[tupl
 
 def extract_metadata(raw: DataFrame, index: DataFrame | None = None) -> Tables:
     """O2: a row for each record; values of the index, by openalex_id, go first."""
-    local = records.canonical(raw).withColumn("ordinal", F.monotonically_increasing_id())
+    local = records.canonical(records.numbered(raw, "__ordinal").withColumnRenamed("__ordinal", "ordinal"), "ordinal")
     if index is None:
         return {"metadata": local.withColumn("metadata_status", F.lit("local_only"))}
     names = ("title", "publication_year", "source_name", "cited_by_count", "doi")
@@ -96,7 +96,8 @@ def collaboration(raw: DataFrame, top: int = 30, min_coverage: float = 0.2, min_
     for d in DIMENSIONS:
         edges = graph.collaboration_edges(r, d)
         nodes, kept = graph.top_induced(graph.collaboration_nodes(r, d), edges, top)
-        stats.append(gates.dimension_gate(gates.dimension_stats(r, d, edges), min_coverage, min_multi).withColumn("dimension", F.lit(d)))
+        figures = gates.with_graph_stats(gates.dimension_stats(r, d, edges), r, d, edges)
+        stats.append(gates.dimension_gate(figures, min_coverage, min_multi).withColumn("dimension", F.lit(d)))
         out[f"{d}_edges"] = kept
         out[f"{d}_nodes"] = nodes.join(graph.communities(nodes, kept), "node", "left")
     for s in stats[1:]:

@@ -8,7 +8,7 @@ import time
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -33,8 +33,11 @@ LISTS = ("authors", "institutions", "countries", "topics")
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """.json (a list of objects, or an object with a list `records`, unless strict) or .csv
-    with a header; entries that are no objects are dropped."""
+    """.json (a list of objects, or an object with a list `records`, unless strict), .jsonl
+    (an object a line; large files are split) or .csv with a header; entries that are no objects are
+    dropped."""
+    if path.lower().rstrip("/").endswith(".jsonl"):
+        return spark.read.json(path).drop("_corrupt_record").dropna(how="all")
     if path.lower().endswith(".csv"):
         return spark.read.option("header", True).option("multiLine", True).csv(path)
     if strict and not path.lower().endswith(".json"):
@@ -77,10 +80,10 @@ def _labels(df: DataFrame, name: str) -> Column:
     return F.when(F.startswith(F.trim(raw), F.lit("[")), t.distinct_ci(t.named(t.filled(listed)))).otherwise(t.split_priority(raw))
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """The canonical fields that df's aliases give, in the order of ALIASES; df's
-    other columns are dropped. Empty values are NULL, or empty arrays for lists."""
-    out = []
+def canonical(df: DataFrame, *kept: str) -> DataFrame:
+    """Kept, then the canonical fields that df's aliases give, in the order of ALIASES;
+    df's other columns are dropped. Empty values are NULL, or empty arrays for lists."""
+    out = [F.col(k) for k in kept]
     for name, aliases in ALIASES.items():
         have = [a for a in aliases if a in df.columns]
         if name in LISTS:
@@ -96,7 +99,7 @@ def canonical(df: DataFrame) -> DataFrame:
             elif name == "cited_by_count":
                 value = t.parse_citations(value).cast("long")
             elif name == "title":
-                value = t.normalize_space(value, full=False)
+                value = t.normalize_space(value)
         out.append(value.alias(name))
     return df.select(*out)
 
@@ -127,6 +130,31 @@ def prefix(df: DataFrame, ordinal: str, n: int) -> DataFrame:
     return df.orderBy(ordinal).limit(n) if n else df
 
 
+def numbered(df: DataFrame, column: str = "ordinal") -> DataFrame:
+    """Df with each row's number in the order of its scan, from 1. Rows are counted by partition,
+    so that no task holds them all; df must be a scan, whose partitions keep their order."""
+    at = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the place within it
+    rows = df.withColumns({"__part": F.shiftright(at, 33), "__place": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
+    return rows.join(F.broadcast(before), "__part").withColumn(column, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
+
+
+def ordinal_id(ordinal: Column, name: str) -> Column:
+    """Name-001, name-002 ..."""
+    text = ordinal.cast("string")
+    return F.concat(F.lit(f"{name}-"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))
+
+
+def sample_records(spark: SparkSession) -> DataFrame:
+    """Six invented records, one a year, for trying a run without input."""
+    rows = [
+        (f"Study {k} of reading tutors", [f"Author, {a}.", f"Author, {b}."], "Journal of Invented Studies", 2018 + k, ["Tutoring", "Reading" if k % 2 else "Writing"], [f"University {a}"], 7 * k)
+        for k, (a, b) in enumerate(("AB", "BC", "CD", "DE", "EA", "AC"), 1)
+    ]
+    return spark.createDataFrame(rows, "title string, authors array<string>, journal string, year int, topics array<string>, affiliations array<string>, citations int")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Arrays joined by '; ', structs flattened, ready for a CSV sink."""
     out = []

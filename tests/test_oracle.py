@@ -24,7 +24,7 @@ def rows(columns, data):
     return sorted(repr([plain(r[k]) for k in order]) for r in data)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL and n != "collab_components"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL])
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     want = duck.sql(ORACLE_SQL[name])
