@@ -4,13 +4,13 @@ subgraph of top_n nodes, as many as its caller asked for."""
 
 from __future__ import annotations
 
-import re
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions.text import unroll
+from bibspark.sources.shared import shared_folder
 
 #: Pairs of node types that the evidence graph connects.
 PAIRS = (("author", "author"), ("author", "affiliation"), ("author", "journal"), ("author", "topic"), ("author", "year"), ("journal", "year"), ("topic", "year"), ("affiliation", "topic"))
@@ -67,10 +67,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     jumping; each round is checkpointed to the shared folder of spark.checkpoint.dir."""
     context = edges.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file:///tmp/checkpoints/bibspark")
+        context.setCheckpointDir(shared_folder(edges.sparkSession))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     label = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")).checkpoint()
     for _ in range(max_rounds):

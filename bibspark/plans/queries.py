@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as t
 from bibspark.operators import aggregates as agg
 from bibspark.operators import classify, dedup, enrich, gates, graph, textgate
-from bibspark.operators.taxonomy import REVIEW_TERMS, Direction, Rule
+from bibspark.operators.taxonomy import AI, EDUCATION, EDUCATION_DIRECTIONS, EDUCATION_RULES, REVIEW, REVIEW_TERMS, WEIGHTS, Direction, Rule
 from bibspark.plans.works import WORKS_SQL, table, works
 from bibspark.sources import records
+from bibspark.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -136,13 +139,13 @@ def shortened_labels(spark, d):
 
 @on_works("""SELECT work_id, CASE WHEN citations >= 500 THEN '500+' WHEN citations >= 200 THEN '200-499' WHEN citations >= 50 THEN '50-199' WHEN citations >= 1 THEN '1-49' ELSE '0' END AS band FROM works""")
 def citation_bands(spark, d):
-    return works(spark, d).select("work_id", t.citation_band(F.col("citations")).alias("band"))
+    return works(spark, d, "work_id", "citations").select("work_id", t.citation_band(F.col("citations")).alias("band"))
 
 
 @on_works(""", c AS (SELECT unnest(countries) AS country, citations FROM works), g AS (SELECT country, count(*) AS n FROM c GROUP BY 1)
 SELECT country, n, round(CASE WHEN max(n) OVER () = min(n) OVER () THEN 15 ELSE 10 + (n - min(n) OVER ())::DOUBLE / (max(n) OVER () - min(n) OVER ()) * 10 END, 6) AS size, round(ln(1 + n), 6) AS log_size FROM g""")
 def scaled_sizes(spark, d):
-    n = agg.ranking(works(spark, d), "countries").withColumnRenamed("label", "country")
+    n = agg.ranking(works(spark, d, "countries"), "countries").withColumnRenamed("label", "country")
     every = Window.partitionBy()  # over a row a country
     return n.select("country", "n", F.round(t.scale(F.col("n"), F.min("n").over(every), F.max("n").over(every), 10.0, 20.0), 6).alias("size"), F.round(F.log1p("n"), 6).alias("log_size"))
 
@@ -155,7 +158,7 @@ def country_labels(spark, d):
 # ---------------------------------------------------------------- aggregates, windows, top-k
 @on_works("SELECT y.year::INT AS year, count(w.work_id) AS n FROM range(1993, 2003) y(year) LEFT JOIN works w ON w.year = y.year GROUP BY 1")
 def annual_counts_dense(spark, d):
-    return agg.annual_counts(works(spark, d), 1993, 2002)
+    return agg.annual_counts(works(spark, d, "year"), 1993, 2002)
 
 
 @on_works(""", c AS (SELECT y.year::DOUBLE AS year, count(w.work_id)::DOUBLE AS y FROM range(1995, 2001) y(year) LEFT JOIN works w ON w.year = y.year GROUP BY 1),
@@ -168,7 +171,7 @@ SELECT round(any_value(c), 6) AS a, round(any_value(b) - 2 * any_value(c) * (SEL
  round((any_value(a) - any_value(b) * (SELECT avg(year) FROM c) + any_value(c) * (SELECT avg(year) FROM c) * (SELECT avg(year) FROM c)) / 1e6, 3) AS c_millions,
  round(1 - sum((y-a-b*x-c*x*x)*(y-a-b*x-c*x*x)) / sum((y-(SELECT avg(y) FROM x))*(y-(SELECT avg(y) FROM x))), 6) AS r2 FROM x, f""")
 def quadratic_trend(spark, d):
-    fit = agg.quadratic_trend(agg.annual_counts(works(spark, d), 1995, 2000))
+    fit = agg.quadratic_trend(agg.annual_counts(works(spark, d, "year"), 1995, 2000))
     return fit.select(F.round("a", 6).alias("a"), F.round("b", 2).alias("b"), F.round(F.col("c") / 1e6, 3).alias("c_millions"), F.round("r2", 6).alias("r2"))
 
 
@@ -179,12 +182,12 @@ n AS (SELECT "window", topic, count(*) AS n FROM v WHERE "window" IS NOT NULL GR
 
 @on_works(WINDOWS_SQL + 'SELECT "window", topic, n FROM n')
 def topic_window_counts(spark, d):
-    return agg.topic_window_counts(works(spark, d), LAST_YEAR, WIDTH)
+    return agg.topic_window_counts(works(spark, d, "year", "topics"), LAST_YEAR, WIDTH)
 
 
 @on_works(WINDOWS_SQL + 'SELECT "window", topic, n, round(CASE WHEN max(n) OVER w = min(n) OVER w THEN 1 ELSE (n - min(n) OVER w)::DOUBLE / (max(n) OVER w - min(n) OVER w) END, 6) AS ratio FROM n WINDOW w AS (PARTITION BY "window") QUALIFY row_number() OVER (PARTITION BY "window" ORDER BY n DESC, lower(topic), topic) <= 36')
 def topic_window_ratio(spark, d):
-    top = agg.ranked(agg.with_ratio(agg.topic_window_counts(works(spark, d), LAST_YEAR, WIDTH), "window"), 36, "topic", "n", "window")
+    top = agg.ranked(agg.with_ratio(agg.topic_window_counts(works(spark, d, "year", "topics"), LAST_YEAR, WIDTH), "window"), 36, "topic", "n", "window")
     return top.select("window", "topic", "n", F.round("ratio", 6).alias("ratio"))
 
 
@@ -194,7 +197,7 @@ g AS (SELECT topic, y.year::INT AS year FROM k, range(1995, 2001) y(year))
 SELECT topic, year, (SELECT count(*) FROM p WHERE p.topic = g.topic AND p.year = g.year) AS n,
  round((SELECT count(*) FROM p WHERE p.topic = g.topic AND p.year = g.year)::DOUBLE / (SELECT count(*) FROM i WHERE i.year = g.year), 6) AS share FROM g""")
 def topic_year_share(spark, d):
-    out = agg.topic_year_share(works(spark, d), 1995, 2000)
+    out = agg.topic_year_share(works(spark, d, "year", "topics"), 1995, 2000)
     return out.select("topic", "year", "n", F.round("share", 6).alias("share"))
 
 
@@ -202,7 +205,7 @@ def topic_year_share(spark, d):
 UNION ALL SELECT 'status', status, count(*) FROM works GROUP BY 2 UNION ALL SELECT 'country', c, count(*) FROM (SELECT unnest(countries) AS c FROM works) GROUP BY 2
 UNION ALL SELECT 'with_institution', 'true', count(*) FROM works WHERE len(institutions) > 0""")
 def corpus_summary(spark, d):
-    return agg.corpus_summary(works(spark, d), {"source": F.col("source_name"), "status": F.col("status"), "country": F.col("countries")}, {"with_institution": F.size("institutions") > 0})
+    return agg.corpus_summary(works(spark, d, "source_name", "status", "countries", "institutions"), {"source": F.col("source_name"), "status": F.col("status"), "country": F.col("countries")}, {"with_institution": F.size("institutions") > 0})
 
 
 def _ranking(name: str, column: str, is_array: bool):
@@ -210,7 +213,7 @@ def _ranking(name: str, column: str, is_array: bool):
     sql = WORKS_SQL + f"SELECT label, count(*) AS n FROM (SELECT {source} AS label FROM works) GROUP BY 1 ORDER BY n DESC, lower(label), label LIMIT 20"
 
     def f(spark, d):
-        return agg.ranking(works(spark, d), column, 20)
+        return agg.ranking(works(spark, d, column), column, 20)
 
     f.__name__ = name
     query(sql)(f)
@@ -222,7 +225,7 @@ for _name, _column, _array in (("source_ranking", "source_name", False), ("count
 
 @on_works("SELECT work_id, CASE status WHEN 'F' THEN 'full_text_local' WHEN 'O' THEN 'abstract_only' ELSE 'metadata_only' END AS coverage FROM works")
 def coverage_tiers(spark, d):
-    return works(spark, d).select("work_id", classify.coverage(F.col("status") == "F", F.col("status") == "O").alias("coverage"))
+    return works(spark, d, "work_id", "status").select("work_id", classify.coverage(F.col("status") == "F", F.col("status") == "O").alias("coverage"))
 
 
 @on_works(f"SELECT regexp_matches(lower(title || CASE work_id % 4 WHEN 0 THEN ' A Scoping Study' WHEN 1 THEN ': Meta-Analysis' ELSE '' END || ' ' || CASE WHEN work_type = '1-URGENT' THEN 'Review' ELSE work_type END), '{'|'.join(REVIEW_TERMS)}') AS is_review, count(*) AS n, sum(citations)::BIGINT AS citations FROM works GROUP BY 1")
@@ -243,7 +246,7 @@ def top_papers_per_partition(spark, d):
 
 @on_works("SELECT year, median(citations) AS median_citations, round(var_pop(citations), 4) AS variance FROM works GROUP BY 1")
 def spread_by_year(spark, d):
-    return agg.spread(works(spark, d), "year", "citations").withColumn("variance", F.round("variance", 4))
+    return agg.spread(works(spark, d, "year", "citations"), "year", "citations").withColumn("variance", F.round("variance", 4))
 
 
 # ---------------------------------------------------------------- graphs
@@ -259,7 +262,7 @@ cc AS (WITH RECURSIVE reach(n, m) AS (SELECT src, src FROM adj UNION SELECT reac
 
 def _edges(name: str, column: str):
     def f(spark, d):
-        return graph.collaboration_edges(works(spark, d), column)
+        return graph.collaboration_edges(works(spark, d, column), column)
 
     f.__name__ = name
     query(WORKS_SQL + _pairs_sql(column) + "SELECT src, dst, weight FROM edges")(f)
@@ -272,13 +275,13 @@ _edges("collab_edges_author", "authors")
 
 @on_works(_pairs_sql("countries") + ", x AS (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) SELECT node, publications, count(*) AS degree, sum(weight)::BIGINT AS weighted_degree FROM nodes JOIN x USING (node) GROUP BY 1, 2")
 def collab_nodes_country(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "countries")
     return graph.connected_nodes(graph.collaboration_nodes(w, "countries"), graph.collaboration_edges(w, "countries"))
 
 
 @on_works(_pairs_sql("authors") + ", " + COMPONENTS_SQL + "SELECT (SELECT count(DISTINCT v) FROM e) AS unique_nodes, (SELECT count(*) FROM cc) AS connected_nodes, (SELECT count(DISTINCT component) FROM cc) AS components, count(*) AS records, count(*) FILTER (len(authors) > 0) AS records_with_field, count(*) FILTER (len(authors) > 1) AS multi_party, round(count(*) FILTER (len(authors) > 0)::DOUBLE / count(*), 6) AS coverage, (SELECT count(*) FROM edges) AS edges, (SELECT sum(weight) FROM edges)::BIGINT AS weighted_edges FROM works")
 def collab_stats(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "authors")
     edges = graph.collaboration_edges(w, "authors")
     return gates.with_graph_stats(gates.dimension_stats(w, "authors", edges), w, "authors", edges).withColumn("coverage", F.round("coverage", 6))
 
@@ -286,7 +289,7 @@ def collab_stats(spark, d):
 @on_works(_pairs_sql("authors") + ", " + COMPONENTS_SQL + "SELECT node, component FROM cc")
 def collab_components(spark, d):
     """G5 on all author edges."""
-    return graph.components(graph.collaboration_edges(works(spark, d), "authors"))
+    return graph.components(graph.collaboration_edges(works(spark, d, "authors"), "authors"))
 
 
 @on_works(_pairs_sql("authors") + """, x AS (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges),
@@ -294,14 +297,14 @@ c AS (SELECT node, publications, count(*) AS degree, sum(weight) AS weighted FRO
 k AS (SELECT node FROM c ORDER BY publications DESC, weighted DESC, degree DESC, lower(node) DESC, node DESC LIMIT 30)
 SELECT src, dst, weight FROM edges WHERE src IN (FROM k) AND dst IN (FROM k)""")
 def collab_top_induced(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "authors")
     return graph.top_induced(graph.collaboration_nodes(w, "authors"), graph.collaboration_edges(w, "authors"), 30)[1]
 
 
 @query()
 def collab_communities(spark, d):
     """G7 over the 30 authors of collab_top_induced; tested against its own modularity."""
-    w = works(spark, d)
+    w = works(spark, d, "authors")
     nodes, edges = graph.top_induced(graph.collaboration_nodes(w, "authors"), graph.collaboration_edges(w, "authors"), 30)
     return graph.communities(nodes, edges)
 
@@ -322,31 +325,31 @@ e5 AS (SELECT src, dst, sum(times)::BIGINT AS weight, count(*) AS weight_raw, su
 
 @on_works(NODES5_SQL + "SELECT * FROM n5")
 def evidence_nodes_5type(spark, d):
-    return graph.evidence_nodes(works(spark, d), _fields(), "title", "citations")
+    return graph.evidence_nodes(works(spark, d, "title", "citations", "authors", "institutions", "source_name", "topics", "year"), _fields(), "title", "citations")
 
 
 @on_works(NODES5_SQL + EDGES5_SQL + "SELECT * FROM e5")
 def evidence_edges_5type(spark, d):
-    return graph.evidence_edges(works(spark, d), _fields(), "title", "citations")
+    return graph.evidence_edges(works(spark, d, "title", "citations", "authors", "institutions", "source_name", "topics", "year"), _fields(), "title", "citations")
 
 
 @on_works(NODES5_SQL + EDGES5_SQL + ", k AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY citations DESC, occurrences DESC, lower(label) DESC, id DESC) AS rank FROM n5) WHERE rank <= 24 AND citations >= 1) SELECT * FROM e5 WHERE src IN (FROM k) AND dst IN (FROM k)")
 def evidence_filtered(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "title", "citations", "authors", "institutions", "source_name", "topics", "year")
     kept = graph.top_typed(graph.evidence_nodes(w, _fields(), "title", "citations"), 24, 1)
     return graph.induced(graph.evidence_edges(w, _fields(), "title", "citations"), kept, "id")
 
 
 @on_works("SELECT type, count(*) AS n FROM (SELECT 'author' AS type, unnest(authors) AS l FROM works UNION SELECT 'topic', unnest(topics) FROM works UNION SELECT 'journal', source_name FROM works) GROUP BY 1")
 def node_type_counts(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "authors", "topics", "source_name")
     rows = t.unroll(w, array=graph.typed_nodes({"author": F.col("authors"), "topic": F.col("topics"), "journal": F.array("source_name")}), key="type").distinct()
     return rows.groupBy("type").agg(F.count("*").alias("n"))
 
 
 def _papers(spark, d):
     """The 40 most cited works as papers."""
-    w = works(spark, d).where("size(topics) > 0").orderBy(F.desc("citations"), "year", F.lower("title"), "work_id").limit(40)
+    w = works(spark, d, "work_id", "title", "citations", "authors", "source_name", "topics", "year").where("size(topics) > 0").orderBy(F.desc("citations"), "year", F.lower("title"), "work_id").limit(40)
     return w.select(F.col("source_name").alias("journal"), "authors", F.col("topics")[0].alias("topic"), "year", t.shorten(F.concat("title", F.lit(" "), "work_id")).alias("paper"), t.citation_band(F.col("citations")).alias("band"))
 
 
@@ -444,7 +447,7 @@ ORACLE_SQL["boolean_retrieval"] = TEXTS_SQL + r", a AS (SELECT doc_id, regexp_re
 
 # ---------------------------------------------------------------- identity and selection
 def _keyed(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "work_id", "title", "year", "topics", "source_name", "status", "citations")
     title = F.concat_ws(" ", "title", F.col("year").cast("string"), F.array_join("topics", " "))
     keys = dedup.dedup_keys(F.when(F.col("work_id") % 7 == 0, F.concat(F.lit("W"), (F.col("work_id") / 14).cast("long"))), F.lit(""), F.when(F.col("title") != "", t.normalize_title(title)))
     return w.select("work_id", "year", "source_name", "status", "citations", title.alias("title"), keys.alias("keys"))
@@ -486,7 +489,7 @@ def incremental_duplicates(spark, d):
 
 @on_works(", o AS (SELECT work_id, title, citations FROM works WHERE status <> 'O'), n AS (SELECT work_id, NULLIF(title, '') AS title, citations + 1 AS citations FROM works WHERE status <> 'F') SELECT work_id, coalesce(n.title, o.title) AS title, coalesce(n.citations, o.citations) AS citations FROM o FULL JOIN n USING (work_id)")
 def merge_corpora(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "work_id", "title", "citations", "status")
     old = w.where("status <> 'O'").select("work_id", "title", "citations")
     new = w.where("status <> 'F'").select("work_id", F.nullif("title", F.lit("")).alias("title"), (F.col("citations") + 1).alias("citations"))
     return dedup.merge_corpora(old, new, "work_id")
@@ -511,7 +514,7 @@ def mods_xml(spark, d):
 
 @on_works("SELECT state AS status, count(*) AS n FROM (SELECT CASE WHEN status = 'F' THEN 'skipped_existing' WHEN title = '' THEN 'failed' ELSE 'ok' END AS state FROM works) GROUP BY 1")
 def resume_anti_join(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "work_id", "title", "status")
     done = w.where("status = 'F'").select("work_id").withColumn("status", F.lit("ok"))
     todo = records.pending(w, done, "work_id")
     return records.manifest(w, done, todo.where("title = ''"), "work_id").groupBy("status").agg(F.count("*").alias("n"))
@@ -586,14 +589,14 @@ def corpus_gate(spark, d):
 
 @on_works(_pairs_sql("institutions") + "SELECT count(*) AS records, count(*) FILTER (len(institutions) > 1) AS multi_party, (SELECT count(*) FROM edges) AS edges, '' AS reasons, true AS passed FROM works")
 def dimension_gate(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "institutions")
     stats = gates.dimension_stats(w, "institutions", graph.collaboration_edges(w, "institutions"))
     return gates.dimension_gate(stats).select("records", "multi_party", "edges", "reasons", "passed")
 
 
 @on_works(WINDOWS_SQL + 'SELECT (SELECT count(*) FROM works WHERE year BETWEEN 1995 AND 2000) > 0 AS years_have_records, count(*) FILTER ("window" = \'recent\') > 0 AS recent_has_topics, count(*) FILTER ("window" = \'earlier\') > 0 AS earlier_has_topics, least(count(DISTINCT topic), 36) >= least(10, count(DISTINCT topic), 36) AS labels_covered FROM n')
 def temporal_gate(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "year", "topics")
     return gates.temporal_gate(agg.annual_counts(w, 1995, 2000), agg.topic_window_counts(w, LAST_YEAR, WIDTH))
 
 
@@ -613,7 +616,7 @@ def flow_funnel(spark, d):
 @on_works(NODES5_SQL + EDGES5_SQL + "SELECT count(*) AS nodes, (SELECT count(*) FROM e5) AS edges, count(*) FILTER (type = 'author') AS author_nodes, count(*) FILTER (type = 'affiliation') AS affiliation_nodes, count(*) FILTER (type = 'journal') AS journal_nodes, count(*) FILTER (type = 'topic') AS topic_nodes, count(*) FILTER (type = 'year') AS year_nodes, true AS has_author_nodes, true AS has_topic_nodes, true AS has_affiliation_nodes, true AS passed FROM n5")
 def evidence_report(spark, d):
     """G3."""
-    w = works(spark, d)
+    w = works(spark, d, "title", "citations", "authors", "institutions", "source_name", "topics", "year")
     return gates.evidence_report(graph.evidence_nodes(w, _fields(), "title", "citations"), graph.evidence_edges(w, _fields(), "title", "citations"))
 
 
@@ -655,7 +658,7 @@ def document_report(spark, d):
 
 @on_works("SELECT true AS rows_agree, (SELECT count(DISTINCT work_id) FROM works) = (SELECT count(*) FROM works) AS ids_distinct")
 def consistency_gate(spark, d):
-    w = works(spark, d)
+    w = works(spark, d, "work_id")
     return gates.consistency_gate({"screened": w, "rows_agree": table(spark, d, "orders"), "ids_distinct": w.select("work_id").distinct()})
 
 
@@ -664,16 +667,208 @@ def label_lookup(spark, d):
     """Left lookup with missing labels."""
     return dedup.look_up(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", {"quality": -1, "toxic": -1})
 
+# ---------------------------------------------------------------- scans, projections and lookups of records
+def _roundtrip(spark, df: DataFrame, kind: str) -> DataFrame:
+    """df written by a sink and read by the scan of its kind."""
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}.{kind}"
+    (records.write_csv if kind == "csv" else records.write_json)(df, path)
+    return records.read_records(spark, path)
 
-@query()
+
+ROUNDTRIP_SQL = "SELECT work_id::VARCHAR AS openalex_id, CASE work_id % 3 WHEN 0 THEN 'A; \"b\", ' || chr(10) || 'c' ELSE title || '&amp;' END AS raw, year AS publication_year, array_to_string(topics, '; ') AS topics FROM works"
+
+
+@on_works("SELECT openalex_id, CASE WHEN starts_with(raw, 'A;') THEN 'A; \"b\", c' ELSE replace(raw, '&amp;', '&') END AS title, publication_year, topics FROM (" + ROUNDTRIP_SQL + ")")
+def csv_roundtrip(spark, d):
+    """Quotes, delimiters and line breaks inside fields."""
+    return _scanned(spark, d, "csv")
+
+
+@on_works("SELECT openalex_id, CASE WHEN starts_with(raw, 'A;') THEN 'A; \"b\", c' ELSE replace(raw, '&amp;', '&') END AS title, publication_year, topics FROM (" + ROUNDTRIP_SQL + ")")
+def json_roundtrip(spark, d):
+    """S1, S3."""
+    return _scanned(spark, d, "jsonl")
+
+
+def _scanned(spark, d, kind):
+    title = F.when(F.col("work_id") % 3 == 0, 'A; "b", \nc').otherwise(F.concat("title", F.lit("&amp;")))
+    w = works(spark, d).select(F.col("work_id").cast("string").alias("id"), title.alias("paper_title"), F.col("year").cast("string").alias("year"), F.array_join("topics", "; ").alias("keywords"))
+    return records.flat(records.canonical(_roundtrip(spark, w, kind)).select("openalex_id", "title", "publication_year", "topics"))
+
+
+INDEX_SQL = """, x AS (SELECT *, list_transform(institutions, lambda i: right(i, 1)) AS codes FROM works)
+"""
+
+
+@on_works(INDEX_SQL + """SELECT work_id, array_to_string(authors, '; ') AS authors, CASE WHEN len(authors) > 0 THEN array_to_string(institutions, '; ') ELSE '' END AS institutions,
+CASE WHEN len(authors) > 0 THEN array_to_string(list_sort(list_distinct(list_concat(countries, codes))), '; ') ELSE '' END AS countries,
+CASE WHEN status = 'P' THEN source_name WHEN status = 'O' THEN 'Archive' ELSE 'Journal' END AS source_name FROM x""")
+def index_records(spark, d):
+    """Works as records of an index, with nested authorships and a venue."""
+    place = lambda i: F.struct(i.alias("display_name"), F.right(i, F.lit(1)).alias("country_code"))
+    authorship = lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"), F.transform("institutions", place).alias("institutions"), F.col("countries").alias("countries"))
+    source = F.struct(F.when(F.col("status") == "F", "Journal").otherwise("Archive").alias("display_name"), F.when(F.col("status") == "F", "journal").otherwise("repository").alias("type"))
+    raw = F.when(F.col("status") == "P", F.concat("source_name", F.lit(", Vol. 3, no 2"))).when(F.col("status") == "F", "Other")
+    w = works(spark, d).select("work_id", F.transform("authors", authorship).alias("authorships"), F.struct(source.alias("source"), raw.alias("raw_source_name")).alias("primary_location"))
+    out = enrich.normal_work(w)
+    join = lambda c: F.array_join(c, "; ").alias(c)
+    return out.select("work_id", join("authors"), join("institutions"), F.array_join(F.array_sort("countries"), "; ").alias("countries"), "source_name")
+
+
+@on_works("""SELECT work_id, CASE WHEN work_id % 5 = 0 THEN NULL ELSE year END AS year, (citations * 1000 + 500) / 1000.0::DOUBLE AS cites, CASE WHEN work_id % 2 = 0 THEN -1 ELSE citations END AS whole,
+CASE WHEN status = 'P' THEN '' ELSE work_type END AS kind, work_id // 7 || '' AS first_page, CASE WHEN work_id % 3 = 0 THEN NULL ELSE (work_id // 7 + 9) || '' END AS last_page FROM works""")
+def parsed_fields(spark, d):
+    """N6, N7a, N7b, N8, N18."""
+    n = F.col("citations")
+    pages = t.page_range(F.concat((F.col("work_id") / 7).cast("long"), F.when(F.col("work_id") % 3 == 0, "").otherwise(F.concat(F.lit(" - "), (F.col("work_id") / 7).cast("long") + 9))))
+    return works(spark, d).select(
+        "work_id", t.parse_year(F.when(F.col("work_id") % 5 == 0, "soon").otherwise(F.concat("year", F.lit(".5")))).alias("year"),
+        t.parse_citations(F.concat(n, F.lit(".5"))).alias("cites"), t.integer(F.when(F.col("work_id") % 2 == 0, "x").otherwise(F.concat(n, F.lit(".9"))), -1).alias("whole"),
+        t.label_or_empty(F.when(F.col("status") == "P", " N/A ").otherwise(F.col("work_type"))).alias("kind"), pages["first"].alias("first_page"), pages["last"].alias("last_page"),
+    )
+
+
+@on_works("SELECT work_id, array_to_string(list_concat(topics, CASE WHEN source_name IS NULL OR list_contains(list_transform(topics, lambda x: lower(x)), lower(source_name)) THEN [] ELSE [source_name] END), '; ') AS labels FROM works")
+def united_labels(spark, d):
+    """Topics and their capital spellings, the source."""
+    w = works(spark, d)
+    return w.select("work_id", F.array_join(t.unite(F.col("topics"), F.transform("topics", lambda x: F.upper(x)), F.array_compact(F.array("source_name"))), "; ").alias("labels"))
+
+
+@on_works("SELECT CASE WHEN work_id % 3 = 0 THEN 'https://api.openalex.org/works/W' || work_id WHEN work_id % 3 = 1 THEN 'https://api.openalex.org/works/https%3A%2F%2Fdoi.org%2F10.1%2F' || work_id ELSE NULL END AS url, work_id FROM works")
+def reference_urls(spark, d):
+    """E3."""
+    i = F.col("work_id")
+    return works(spark, d, "work_id").select("work_id", records.work_url(F.when(i % 3 == 0, F.concat(F.lit("W"), i)), F.when(i % 3 == 1, F.concat(F.lit("10.1/"), i))).alias("url"))
+
+
+@on_works("""SELECT work_id, string_agg(s, ' | ' ORDER BY k) AS text FROM (SELECT work_id, unnest(range(1, len(authors) + 1)) AS k, unnest(authors) || CASE WHEN status = 'F' AND len(institutions) > 0 THEN ': ' || array_to_string(institutions, '; ') ELSE '' END AS s FROM works) GROUP BY 1
+UNION ALL SELECT work_id, '' FROM works WHERE len(authors) = 0""")
+def affiliation_texts(spark, d):
+    """S9."""
+    own = F.transform("authors", lambda a: F.struct(a.alias("name"), F.when(F.col("status") == "F", F.col("institutions")).otherwise(F.array().cast("array<string>")).alias("institutions")))
+    return works(spark, d).select("work_id", records.affiliations_text(own).alias("text"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, 'record-' || lpad(row_number() OVER (ORDER BY p_partkey)::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY p_partkey))::VARCHAR))::INT, '0') AS id, p_partkey FROM part QUALIFY ordinal <= 150")
+def ordinal_records(spark, d):
+    """Numbers in the order of the scan (the file is ordered by key), the first 150."""
+    rows = records.numbered(table(spark, d, "part").select("p_partkey"))
+    return records.prefix(rows, "ordinal", 150).select("ordinal", records.ordinal_id(F.col("ordinal"), "record").alias("id"), "p_partkey")
+
+
+@on_works("SELECT (SELECT max(year) FROM works WHERE year < 2001) AS year, count(*) AS n FROM works WHERE year <= (SELECT max(year) FROM works WHERE year < 2001)")
+def complete_years(spark, d):
+    """W2."""
+    w = works(spark, d, "year")
+    last = agg.last_complete_year(w, 2001)
+    return w.join(F.broadcast(last.withColumnRenamed("year", "last")), F.col("year") <= F.col("last")).groupBy(F.col("last").alias("year")).agg(F.count("*").alias("n"))  # last is one row
+
+
+@on_works("SELECT source_name, array_to_string(list(work_id ORDER BY rank), ',') AS items FROM (SELECT source_name, work_id, row_number() OVER (PARTITION BY source_name ORDER BY work_id) AS rank FROM works) WHERE rank <= 50 GROUP BY 1")
+def first_items(spark, d):
+    """T9."""
+    return agg.first_items(works(spark, d, "work_id", "source_name"), "source_name", "work_id", "work_id", 50).select("source_name", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+@on_works("SELECT work_id, title, NULL::BIGINT AS score FROM works WHERE status = 'F' UNION ALL SELECT work_id, title, citations FROM works WHERE status = 'P'")
+def united_corpora(spark, d):
+    """Tables of different columns."""
+    w = works(spark, d)
+    return dedup.union(w.where("status = 'F'").select("work_id", "title"), w.where("status = 'P'").select("work_id", "title", F.col("citations").alias("score")))
+
+
+@on_works(""", n AS (SELECT c AS country, count(*) AS n FROM (SELECT unnest(countries) AS c FROM works) GROUP BY 1), b AS (SELECT *, min(n) OVER () AS low, max(n) OVER () AS high FROM n)
+SELECT country, round(CASE WHEN high = low THEN 80 ELSE 80 + 320 * pow((n - low)::DOUBLE / (high - low), 0.78) END, 6) AS area, CASE WHEN n <= 5 THEN 5 ELSE ceil(n / pow(10, greatest(0, length(n::VARCHAR) - 2))) * pow(10, greatest(0, length(n::VARCHAR) - 2)) END::BIGINT AS axis FROM b""")
+def marker_areas(spark, d):
+    """Areas by the power 0.78 and axis bounds."""
+    every = Window.partitionBy()  # over a row a country
+    n = agg.ranking(works(spark, d, "countries"), t.dimension(" Nation "))
+    return n.select(F.col("label").alias("country"), F.round(t.marker_size(F.col("n"), F.min("n").over(every), F.max("n").over(every), 80.0, 400.0), 6).alias("area"), t.nice_ceiling(F.col("n")).alias("axis"))
+
+
+@query(r"""WITH f AS (SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'a' || p_partkey WHEN 1 THEN 'b.png' WHEN 2 THEN 'c\d' ELSE 'e.x/f' || (p_partkey % 8) END AS file FROM part)
+SELECT doc_id, file FROM f WHERE NOT (file = 'a8' OR starts_with(file, 'a') AND doc_id % 3 = 0 OR file = 'e.x/f3')""")
+def missing_graphics(spark, d):
+    """Suffixes are tried for names without one; names with backslashes are never found."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("a"), k)).when(k % 4 == 1, "b.png").when(k % 4 == 2, "c\\d").otherwise(F.concat(F.lit("e.x/f"), k % 8))
+    docs = table(spark, d, "part").select(k.alias("doc_id"), F.concat(F.lit("x \\includegraphics[width=2]{"), name, F.lit("} y")).alias("text"))
+    have = table(spark, d, "part").where(k % 12 == 0).select(F.concat(F.lit("a"), k, F.lit(".svg")).alias("path"))
+    more = spark.createDataFrame([("a8",), ("b.png.pdf",), ("c\\d",), ("e.x/f3.eps",), ("e.x/f7.gif",)], "path string")
+    return textgate.missing_files(docs, have.unionByName(more))
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 5 = 0) AS ok, count(*) FILTER (o_orderkey % 5 <> 0) AS failed, count(*) FILTER (o_orderkey % 5 = 0) = count(*) AS passed FROM orders")
+def failing_gate(spark, d):
+    """A gate on rows of which some fail: its verdict is not constant."""
+    checks = table(spark, d, "orders").select((F.col("o_orderkey") % 5 == 0).alias("fits"))
+    rows = gates.report(checks)
+    return rows.agg(F.count_if("passed").alias("ok"), F.count_if(F.array_contains("errors", "fits")).alias("failed"), F.bool_and("passed").alias("passed"))
+
+
+@query("""SELECT n AS sparse, CASE n WHEN 1 THEN 'coverage; multi_party' WHEN 2 THEN 'multi_party' ELSE '' END AS reasons, n = 4 AS passed FROM (VALUES (1), (2), (4)) t(n)""")
+def sparse_dimension_gate(spark, d):
+    """V2 on eight records of which one, two or four have the field."""
+    out = None
+    for n in (1, 2, 4):
+        w = spark.createDataFrame([(["US", "CA"] if k < n else [],) for k in range(8)], "countries array<string>")
+        one = gates.dimension_gate(gates.dimension_stats(w, "countries", graph.collaboration_edges(w, "countries"))).select(F.lit(n).alias("sparse"), "reasons", "passed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- the education taxonomy
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r.code}', $${r.label}$$, '{r.group}', $${' / '.join(r.patterns)}$$)" for r in EDUCATION_RULES) + ") t(code, label, reference_group, patterns)")
 def taxonomy_dump(spark, d):
-    """S12."""
-    from bibspark.operators.taxonomy import EDUCATION_RULES
+    """S12, C1."""
+    return records.taxonomy_table(spark, EDUCATION_RULES).withColumn("patterns", F.array_join("patterns", " / "))
 
-    return records.taxonomy_table(spark, EDUCATION_RULES)
 
+EDUCATION_SECTIONS = {"title": WEIGHTS["title"], "abstract": WEIGHTS["abstract"]}
+EDUCATION_SQL = "WITH labels AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, $${r.label}$$)" for k, r in enumerate(EDUCATION_RULES)) + ") v(k, label)), texts AS (SELECT p_partkey AS id, replace(a.label, 'ML-supported', 'Supported') AS title, b.label || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' with artificial intelligence' END || CASE WHEN p_size % 5 = 0 THEN '' ELSE ' in education, a systematic review of students' END AS abstract FROM part JOIN labels a ON a.k = p_partkey % 19 JOIN labels b ON b.k = (p_partkey * 7) % 19)"
 
-@query()
+
+def _matched(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, $${pattern}$$, 'i')"
+
+
+def _education(spark, d):
+    names = F.array(*[F.lit(r.label) for r in EDUCATION_RULES])
+    k = F.col("p_partkey")
+    label = lambda i: F.get(names, i.cast("int"))
+    tail = F.concat(F.when(F.col("p_size") % 3 == 0, "").otherwise(" with artificial intelligence"), F.when(F.col("p_size") % 5 == 0, "").otherwise(" in education, a systematic review of students"))
+    return records.spread(table(spark, d, "part")).select(k.alias("id"), F.replace(label(k % 19), F.lit("ML-supported"), F.lit("Supported")).alias("title"), F.concat(label(k * 7 % 19), tail).alias("abstract"))
+
+
+@query(EDUCATION_SQL + ", scores AS (" + " UNION ALL ".join("SELECT id, '{}' AS code, {} AS score FROM texts".format(r.code, " + ".join(f"CASE WHEN {_matched(s, p)} THEN {w}::DOUBLE ELSE 0 END" for p in r.patterns for s, w in EDUCATION_SECTIONS.items())) for r in EDUCATION_RULES) + f"""),
+hits AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rank FROM scores WHERE score > 0),
+f AS (SELECT t.id, {_matched("title || ' ' || abstract", EDUCATION)} AS education, {_matched("title || ' ' || abstract", AI)} AS ai, a.code, coalesce(a.score, 0) AS top, coalesce(b.score, 0) AS second,
+ {_matched("title || ' ' || abstract", REVIEW)} AS review FROM texts t LEFT JOIN hits a ON a.id = t.id AND a.rank = 1 LEFT JOIN hits b ON b.id = t.id AND b.rank = 2),
+g AS (SELECT *, education AND (ai OR top >= 5) AS in_scope FROM f)
+SELECT id, education AS education_signal, ai AS ai_signal, in_scope, CASE WHEN NOT in_scope THEN 'X00' WHEN top >= 3 THEN code ELSE 'O01' END AS primary_code,
+ coalesce((SELECT string_agg(code, ',' ORDER BY rank) FROM (SELECT code, rank, row_number() OVER (ORDER BY rank) AS nth FROM hits h WHERE h.id = g.id AND g.in_scope AND (CASE WHEN top >= 3 THEN h.rank > 1 AND h.score >= 2.5 ELSE h.score >= 1.0 END)) WHERE nth <= 4), '') AS secondary,
+ CASE WHEN NOT in_scope THEN CASE WHEN education THEN 'medium' ELSE 'high' END WHEN top >= 8 AND top - second >= 2.5 THEN 'high' WHEN top >= 4 THEN 'medium' ELSE 'low' END AS confidence,
+ CASE WHEN review THEN 'review' ELSE 'article' END AS work_type FROM g""")
+def education_classes(spark, d):
+    """C1 - C4, W5 with the real taxonomy, its signals and secondary codes."""
+    out = classify.classify(_education(spark, d), EDUCATION_RULES, weights=EDUCATION_SECTIONS)
+    kind = classify.work_type(F.lit(""), F.concat_ws(" ", "title", "abstract"))
+    return out.select("id", "education_signal", "ai_signal", "in_scope", "primary_code", F.array_join("secondary_codes", ",").alias("secondary"), "confidence", kind.alias("work_type"))
+
+
+@query(EDUCATION_SQL + " UNION ALL ".join(f" SELECT id, '{x.code}' AS direction FROM texts WHERE " + " AND ".join(_matched("title || ' ' || abstract", p) for p in x.patterns) for x in EDUCATION_DIRECTIONS))
+def education_directions(spark, d):
+    """C5 with the real directions."""
+    x = _education(spark, d)
+    return x.select("id", F.explode_outer(classify.directions(F.concat_ws(" ", "title", "abstract"), EDUCATION_DIRECTIONS)).alias("direction")).where("direction is not null")
+
+
+@on_works("""SELECT '# Corpus' || repeat(chr(10), 2) || string_agg(section, repeat(chr(10), 2) ORDER BY section) || chr(10) AS text FROM (
+SELECT '## ' || metric || repeat(chr(10), 2) || '| value | n |' || chr(10) || '|---|---:|' || chr(10) || string_agg('| ' || key || ' | ' || n || ' |', chr(10) ORDER BY n DESC, key) AS section FROM (
+SELECT 'source' AS metric, coalesce(source_name, '<missing>') AS key, count(*) AS n FROM works GROUP BY 2
+UNION ALL SELECT 'status', status, count(*) FROM works GROUP BY 2 UNION ALL SELECT 'country', c, count(*) FROM (SELECT unnest(countries) AS c FROM works) GROUP BY 2
+UNION ALL SELECT 'with_institution', 'true', count(*) FROM works WHERE len(institutions) > 0) GROUP BY metric)""")
 def summary_report(spark, d):
     """The corpus summary as Markdown."""
     return records.markdown(corpus_summary(spark, d), "Corpus")

@@ -11,34 +11,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """work_id, year, title, source_name, work_type, status, authors, countries, institutions,
-    topics, citations. One aggregation by order; the dimension joins are left to the optimizer."""
+#: A work's fields, and the tables beside orders that they come from.
+FIELDS = {
+    "work_id": (), "year": (), "title": ("lineitem", "part"), "source_name": ("customer",), "work_type": (), "status": (), "authors": ("lineitem", "supplier"),
+    "countries": ("lineitem", "supplier", "nation"), "institutions": ("lineitem", "part"), "topics": ("lineitem", "part"), "citations": ("lineitem",),
+}
+
+
+def works(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The wanted FIELDS of works (all by default). One aggregation by order; tables that no wanted
+    field needs are not read, as the optimizer does not know that the keys below are unique and
+    every line's part, supplier and nation exist."""
     t = lambda name: table(spark, sf_dir, name)
-    lines = (
-        t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-        .join(t("part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    )
-    labels = lambda c: F.array_sort(F.collect_set(c))
-    by_order = lines.groupBy("l_orderkey").agg(
-        F.min(F.struct("l_linenumber", "l_partkey", "p_name"))["p_name"].alias("title"),
-        labels("s_name").alias("authors"), labels("n_name").alias("countries"), labels("p_brand").alias("institutions"), labels("p_type").alias("topics"),
-        F.sum("l_quantity").cast("long").alias("citations"),
-    )
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    customers = t("customer").select("c_custkey", "c_mktsegment")
+    wanted = wanted or tuple(FIELDS)
+    needs = {name for f in wanted for name in FIELDS[f]}
+    out = t("orders")
+    if "customer" in needs:
+        out = out.join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    if "lineitem" in needs:
+        lines = t("lineitem")
+        for name, key, own in (("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"), ("nation", "s_nationkey", "n_nationkey")):
+            if name in needs:
+                lines = lines.join(t(name), F.col(key) == F.col(own))
+        labels = lambda c: F.array_sort(F.collect_set(c))
+        sums = {
+            "title": lambda: F.min(F.struct("l_linenumber", "l_partkey", "p_name"))["p_name"], "authors": lambda: labels("s_name"), "countries": lambda: labels("n_name"),
+            "institutions": lambda: labels("p_brand"), "topics": lambda: labels("p_type"), "citations": lambda: F.sum("l_quantity").cast("long"),
+        }
+        by_order = lines.groupBy("l_orderkey").agg(*[sums[f]().alias(f) for f in wanted if f in sums])
+        out = out.join(by_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     empty = F.array().cast("array<string>")
-    return (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(by_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            F.col("o_orderkey").alias("work_id"), F.year("o_orderdate").alias("year"), F.coalesce("title", F.lit("")).alias("title"),
-            F.col("c_mktsegment").alias("source_name"), F.col("o_orderpriority").alias("work_type"), F.col("o_orderstatus").alias("status"),
-            *[F.coalesce(c, empty).alias(c) for c in ("authors", "countries", "institutions", "topics")], F.coalesce("citations", F.lit(0)).cast("long").alias("citations"),
-        )
-    )
+    plain = {"work_id": F.col("o_orderkey"), "year": F.year("o_orderdate"), "source_name": F.col("c_mktsegment"), "work_type": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}
+    filled = {"title": F.lit(""), "citations": F.lit(0).cast("long")}
+    return out.select(*[(plain[f] if f in plain else F.coalesce(f, filled.get(f, empty))).alias(f) for f in wanted])
 
 
 WORKS_SQL = """
