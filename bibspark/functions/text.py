@@ -32,8 +32,8 @@ def _unescape(x: pd.Series) -> pd.Series:
 
 
 def unescape(x: Column) -> Column:
-    """All HTML5 entities."""
-    return F.when(F.contains(x, F.lit("&")), _unescape(x)).otherwise(x)
+    """All HTML5 entities. Python sees only texts with an ampersand, NULL in place of others."""
+    return F.coalesce(_unescape(F.when(F.contains(x, F.lit("&")), x)), x)
 
 
 def normalize_space(x: Column) -> Column:
@@ -66,14 +66,18 @@ def split_semicolon(x: Column) -> Column:
     return filled(F.split(F.coalesce(x, F.lit("")), ";"))
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x computed once, however often body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def distinct_ci(items: Column) -> Column:
     """The first spelling of each, in order."""
-    lowered = F.transform(items, lambda s: F.lower(s))
-    kept = F.filter(
-        F.transform(items, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
-        lambda e: F.array_position(lowered, F.lower(e["s"])) == e["i"] + 1,
-    )
-    return F.transform(kept, lambda e: e["s"])
+    def of(own: Column, low: Column) -> Column:
+        kept = F.filter(F.transform(own, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda e: F.array_position(low, F.lower(e["s"])) == e["i"] + 1)
+        return F.when(F.size(F.array_distinct(low)) == F.size(low), own).otherwise(F.transform(kept, lambda e: e["s"]))
+
+    return let(items, lambda own: let(F.transform(own, lambda s: F.lower(s)), lambda low: of(own, low)))
 
 
 def named(items: Column, placeholders=PLACEHOLDERS) -> Column:

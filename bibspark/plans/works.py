@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bibspark.sources.records import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +31,7 @@ def works(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     if "customer" in needs:
         out = out.join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     if "lineitem" in needs:
-        lines = t("lineitem")
+        lines = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), "l_orderkey")
         for name, key, own in (("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"), ("nation", "s_nationkey", "n_nationkey")):
             if name in needs:
                 lines = lines.join(t(name), F.col(key) == F.col(own))

@@ -51,14 +51,15 @@ def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return df.drop("_corrupt_record").dropna(how="all")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer bytes than one split for each core is dealt over the cores, as its few row
-    groups would else be the tasks of all that follows; a larger scan is left as it is."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer bytes than one split for each core is dealt over the cores (by keys, if given,
+    so that a later grouping by them needs no exchange), as its few row groups would else be the
+    tasks of all that follows; a larger scan is left as it is."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores, *keys) if size < cores * split else df
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -91,7 +92,7 @@ def canonical(df: DataFrame, *kept: str) -> DataFrame:
             arrays = [_labels(df, a) for a in have]
             if "authorships" in df.columns and name != "topics":
                 arrays.append(nested(name))
-            value = F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], empty)
+            value = F.coalesce(*[t.let(a, lambda v: F.when(F.size(v) > 0, v)) for a in arrays], empty)
         else:
             value = F.nullif(t.first_of(*[_text(df, a) for a in have]), F.lit("")) if have else F.lit(None).cast("string")
             if name == "publication_year":
