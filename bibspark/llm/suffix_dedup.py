@@ -240,13 +240,13 @@ def repeated(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, ids: np.ndarra
     return out
 
 
-def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np.ndarray, length: int):
+def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np.ndarray, length: int, settle_copies: bool = True):
     """Sorts the windows of segments that stand one after the other; gives the repeated intervals:
     segment, first byte and end, counted from the segment's start. A copy of a segment of a smaller
-    owner is repeated as a whole; only the others' windows are sorted."""
+    owner is repeated as a whole; only the others' windows are sorted (all, if not settle_copies)."""
     size = count + length - 1
     first = np.cumsum(size) - size
-    whole = copies(buf, first, size, owner)
+    whole = copies(buf, first, size, owner) if settle_copies else np.zeros(0, np.int64)
     alone = np.ones(len(count), bool)
     alone[whole] = False
     alone = np.flatnonzero(alone)
@@ -268,9 +268,10 @@ def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np
 
 
 # ---------------------------------------------------------------- operator
-def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = True) -> DataFrame:
     """docs (doc_id, text, more) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the
-    removed byte spans [start, end).
+    removed byte spans [start, end). settle_copies: whole copies of a segment, bytes compared, need
+    no sort; without it the suffix sort alone decides, with the same result at a higher cost.
 
     A null text is empty; a null doc_id counts as larger than all others; rows that share a doc_id
     do not remove each other's bytes; texts under `length` bytes stay whole; more columns of docs
@@ -333,7 +334,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             pick = np.flatnonzero((shared | (low < high))[place])
             start, count, rel, key, owner = start[pick], count[pick], rel[pick], key[pick], owner[pick]
             size = count + length - 1
-            later = copies(buf, start, size, owner)
+            later = copies(buf, start, size, owner) if settle_copies else np.zeros(0, np.int64)
             gone = cover(len(buf), start[later], start[later] + size[later])
             a, b, _ = runs(gone, offs)
             out.append((int(row["block"]) & ((1 << bits) - 1), row["block"], 1, pack_spans(a, b)))
@@ -371,7 +372,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for piece in range(pieces):
                 mine = np.flatnonzero(sub * pieces >> 8 == piece)
                 text = gather(buf, first[mine], size[mine])
-                seg, begin, end = sort_segments(text, count[mine], rel[mine], owner[mine], length)
+                seg, begin, end = sort_segments(text, count[mine], rel[mine], owner[mine], length, settle_copies)
                 found.append((of[mine][seg], start[mine][seg] + begin, start[mine][seg] + end))
             of, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(of, kind="stable")
