@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--format", choices=("json", "parquet"), default="json")
     p.add_argument("--limit", type=int, default=0, help="first rows of the input; 0: all")
     p.add_argument("--index", help="records of the index (metadata)")
+    p.add_argument("--answers", help="folder of landed search answers (classify): expands the corpus by them")
+    p.add_argument("--originals", type=int, default=150, help="records that the original corpus must have (classify with --answers)")
     p.add_argument("--start", type=int, default=2015)
     p.add_argument("--end", type=int, default=2024)
     p.add_argument("--window", type=int, default=5)
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         raw = records.read_records(spark, a.input)
         raw = records.prefix(records.numbered(raw, "__ordinal"), "__ordinal", a.limit).drop("__ordinal") if a.limit else raw
         tables = {
-            "classify": lambda: w.classify_corpus(raw),
+            "classify": lambda: w.classify_corpus(raw) | (w.expand_from_search(w.identified(raw), records.replay(spark, a.answers), n_originals=a.originals) if a.answers else {}),
             "metadata": lambda: w.extract_metadata(raw, records.read_records(spark, a.index) if a.index else None),
             "mods": lambda: w.export_mods(raw),
             "collaboration": lambda: w.collaboration(raw, a.top),

@@ -44,6 +44,18 @@ EDUCATION_RULES = (
     Rule("E02", "Ethics, governance, privacy, and fairness in AIEd", "post_2019_extension", (r"ethic(?:al|s)", r"privacy", r"data protection", r"algorithmic bias", r"fairness", r"responsible ai", r"governance", r"(?:ai|artificial intelligence) policy", r"policy[^.]{0,50}(?:ai|artificial intelligence)")),
 )
 FALLBACK = Rule("O01", "Other or field-level AIEd research", "other_aied", ())
+REFERENCE_TITLE = "Two Decades of Artificial Intelligence in Education: Contributors, Collaborations, Research Topics, Challenges, and Future Directions"
+DIRECTION_QUERIES = {
+    "F01": ('"intelligent tutoring system" "special education"', '"intelligent tutoring" autism education'),
+    "F02": ('"natural language processing" "language education"', '"intelligent tutoring" writing reading language'),
+    "F03": ('"educational robot" learning', '"robot-assisted learning" education'),
+    "F04": ('"educational data mining" "student performance prediction"', '"learning analytics" "academic performance prediction"'),
+    "F05": ('"discourse analysis" "computer-supported collaborative learning"', "machine learning CSCL collaborative discourse"),
+    "F06": ('"neural network" "teaching evaluation"', '"neural network" "teaching quality evaluation" education'),
+    "F07": ('"affective computing" learner emotion education', '"emotion detection" "intelligent tutoring system"'),
+    "F08": ('"educational recommender system" personalized learning', '"recommender system" adaptive learning education'),
+    "M01": (f'"{REFERENCE_TITLE}"', '"artificial intelligence in education" bibliometric review', '"artificial intelligence in education" topic trends collaboration institutions'),
+}
 EXCLUDED = Rule("X00", "Out of scope or insufficient AIEd evidence", "excluded", ())
 
 _special = r"(?:special education|autis|disabilit|special needs)"

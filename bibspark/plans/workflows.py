@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import text as t
 from bibspark.operators import aggregates as agg
-from bibspark.operators import classify, dedup, enrich, gates, graph, textgate
+from bibspark.operators import classify, dedup, enrich, gates, graph, search, textgate
 from bibspark.operators import taxonomy as tx
 from bibspark.sources import records
 
@@ -42,6 +42,13 @@ def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUC
     return {"classified": done, "summary": summary, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
 
 
+def identified(raw: DataFrame) -> DataFrame:
+    """corpus_id (original-001 and so on, in input order), title and keys of records."""
+    r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal")
+    keys = dedup.dedup_keys(F.col("openalex_id"), t.normalize_doi(F.col("doi")), t.normalize_title(F.col("title")))
+    return r.select(records.ordinal_id(F.col("__ordinal"), "original").alias("corpus_id"), "title", keys.alias("keys"))
+
+
 def expand_corpus(originals: DataFrame, candidates: DataFrame, quotas: list[tuple[str, int]], n_originals: int, reference_title: str) -> Tables:
     """O1 with expansion. originals: corpus_id, title, keys; candidates also direction, score,
     cited_by_count, in_scope, is_retracted, authors, source_name: the best of each key in a
@@ -57,6 +64,17 @@ def expand_corpus(originals: DataFrame, candidates: DataFrame, quotas: list[tupl
     return {"selected": selected, "expanded": expanded, "gate": gates.report(checks)}
 
 
+def expand_from_search(originals: DataFrame, answers: DataFrame, quotas: list[tuple[str, int]] | None = None, n_originals: int = 150) -> Tables:
+    """O1 from landed search answers (query, status, raw; records.replay): what each query gave, the
+    selection by quota, the expanded corpus and the gate.
+    originals: corpus_id, title, keys."""
+    quotas = quotas or [(d.code, d.target) for d in tx.EDUCATION_DIRECTIONS]
+    rows = search.judged(search.works_found(answers), originals)
+    log = agg.search_log(rows, "query", "reason")
+    candidates = rows.where("reason is null").withColumn("corpus_id", F.concat_ws("|", "direction", "arrival"))
+    return {"search_log": log, **expand_corpus(originals, candidates, quotas, n_originals, tx.REFERENCE_TITLE)}
+
+
 def extract_metadata(raw: DataFrame, index: DataFrame | None = None) -> Tables:
     """O2: a row for each record; values of the index, by openalex_id, go first."""
     local = records.canonical(records.numbered(raw, "__ordinal").withColumnRenamed("__ordinal", "ordinal"), "ordinal")

@@ -30,6 +30,8 @@ ALIASES = {
     "openalex_id": ("openalex_id", "id"),
 }
 LISTS = ("authors", "institutions", "countries", "topics")
+# fixed value: what the search is restricted to
+FILTER = "from_publication_date:2000-01-01,to_publication_date:2025-12-31,language:en,type:article"
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -186,19 +188,47 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def mods(df: DataFrame) -> Column:
     """A MODS document for each row with title, authors, year, work_type, doi, source_name,
-    abstract, topics."""
-    name = lambda a: F.struct(F.lit("personal").alias("_type"), a.alias("namePart"), F.struct(F.lit("author").alias("roleTerm")).alias("role"))
+    abstract, topics and, where df has them, subtitle, publisher, date, openalex_id, issn, volume,
+    issue, page and url."""
+    def field(name: str, kind: str = "string") -> Column:
+        value = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        return F.nullif(value, F.lit("")) if kind == "string" else value
+
+    def whole(c: Column, of: Column) -> Column:
+        """of, unless c is NULL: no empty elements."""
+        return F.when(c.isNotNull(), of)
+
+    def typed(kind: str, c: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_type"), c.alias("_VALUE"))
+
+    def numbered(kind: str, c: Column) -> Column:
+        return whole(c, F.struct(F.lit(kind).alias("_type"), c.alias("number")))
+
+    date = F.coalesce(field("date"), field("year"))
+    issued = F.when(t.is_w3c_date(date), F.struct(F.lit("w3cdtf").alias("_encoding"), date.alias("_VALUE"))).otherwise(F.struct(F.lit(None).cast("string").alias("_encoding"), date.alias("_VALUE")))
+    pages = t.page_range(field("page"))
+    extent = whole(field("page"), F.struct(F.lit("pages").alias("_unit"), F.nullif(pages["first"], F.lit("")).alias("start"), F.nullif(pages["last"], F.lit("")).alias("end")))
+    details = F.array_compact(F.array(numbered("volume", field("volume")), numbered("issue", field("issue"))))
+    issn = field("issn", "array<string>")
+    host = F.struct(
+        F.lit("host").alias("_type"),
+        F.struct(F.col("source_name").alias("title")).alias("titleInfo"),
+        F.transform(issn, lambda x: typed("issn", x)).alias("identifier"),
+        F.when((F.size(details) > 0) | extent.isNotNull(), F.struct(details.alias("detail"), extent.alias("extent"))).alias("part"),
+    )
+    name = lambda a: F.struct(F.lit("personal").alias("_type"), a.alias("namePart"), F.struct(F.struct(F.lit("text").alias("_type"), F.lit("author").alias("_VALUE")).alias("roleTerm")).alias("role"))
     return F.to_xml(
         F.struct(
             F.lit("3.7").alias("_version"),
-            F.struct(F.col("title").alias("title")).alias("titleInfo"),
+            F.struct(F.col("title").alias("title"), field("subtitle").alias("subTitle")).alias("titleInfo"),
             F.transform("authors", name).alias("name"),
-            F.struct(F.col("year").cast("string").alias("dateIssued")).alias("originInfo"),
+            F.struct(field("publisher").alias("publisher"), issued.alias("dateIssued")).alias("originInfo"),
             F.col("work_type").alias("genre"),
-            F.when(F.col("doi").isNotNull(), F.struct(F.lit("doi").alias("_type"), F.col("doi").alias("_VALUE"))).alias("identifier"),
-            F.struct(F.lit("host").alias("_type"), F.struct(F.col("source_name").alias("title")).alias("titleInfo")).alias("relatedItem"),
+            F.array_compact(F.array(whole(field("doi"), typed("doi", field("doi"))), whole(field("openalex_id"), typed("openalex", field("openalex_id"))))).alias("identifier"),
+            host.alias("relatedItem"),
             F.col("abstract").alias("abstract"),
             F.transform("topics", lambda x: F.struct(x.alias("topic"))).alias("subject"),
+            whole(field("url"), F.struct(field("url").alias("url"))).alias("location"),
         ),
         {"rowTag": "mods"},
     )
@@ -238,8 +268,8 @@ def work_url(openalex_id: Column, doi: Column, base: str = "https://api.openalex
     )
 
 
-def get_json(url: str, retries: int = 2, timeout: float = 30.0, pause: float = 0.5, get=None) -> tuple[dict | None, str]:
-    """(data, status), never an exception; 404 ends at once."""
+def get_json(url: str, retries: int = 2, timeout: float = 30.0, wait=lambda attempt: 0.5 * (attempt + 1), get=None) -> tuple[dict | None, str]:
+    """(data, status), never an exception; 404 ends at once. wait: seconds before the next attempt."""
     get = get or (lambda u: urllib.request.urlopen(urllib.request.Request(u, headers={"User-Agent": "bibspark"}), timeout=timeout).read())  # noqa: S310
     status = "no_attempt"
     for attempt in range(retries + 1):
@@ -250,14 +280,35 @@ def get_json(url: str, retries: int = 2, timeout: float = 30.0, pause: float = 0
                 return None, "not_found"
             status = f"error: {type(e).__name__}"
             if attempt < retries:
-                time.sleep(pause * (attempt + 1))
+                time.sleep(wait(attempt))
     return None, status
 
 
+def crossref(doi: str, base: str = "https://api.crossref.org/works/", **options) -> tuple[dict | None, str]:
+    """(message, status) of a DOI."""
+    if not (doi or "").strip():
+        return None, "missing_doi"
+    data, status = get_json(base + urllib.parse.quote(doi, safe=""), **options)
+    message = data.get("message") if isinstance(data, dict) else None
+    return (message if isinstance(message, dict) else data), status
+
+
+def land(answers: DataFrame, folder: str) -> None:
+    """The answers (query, status, raw) as they came, before anything is parsed."""
+    answers.write.mode("append").json(folder)
+
+
+def replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed answers, one for each query."""
+    rows = spark.read.schema("query string, status string, raw string").json(folder)
+    return rows.groupBy("query").agg(F.max_by(F.struct("status", "raw"), F.struct((F.col("status") == "ok").alias("ok"), F.length("raw").alias("size"), "raw")).alias("a")).select("query", "a.*")
+
+
 class SearchSource(DataSource):
-    """Format "bibspark_search". Options: queries (newline-separated), per_page, and either
-    landing (a folder of raw answers, one file 000.json for each query: replay) or base_url. One
-    partition a query; rows query, status, raw."""
+    """Format "bibspark_search". Options: queries (newline-separated), per_page, filter (FILTER by
+    default), rate_limit (seconds before each request), and either landing (a mounted folder of raw
+    answers, one file 000.json for each query: replay) or base_url. One partition a query, three
+    attempts each; rows query, status, raw. strict: an answer that fails ends the job."""
 
     @classmethod
     def name(cls) -> str:
@@ -275,6 +326,7 @@ class SearchReader(DataSourceReader):
         self.queries = [q for q in options.get("queries", "").split("\n") if q.strip()]
         self.landing, self.base = options.get("landing"), options.get("base_url")
         self.per_page, self.delay = options.get("per_page", "100"), float(options.get("rate_limit", "0.15"))
+        self.filter, self.strict = options.get("filter", FILTER), options.get("strict", "false") == "true"
 
     def partitions(self):
         return [InputPartition(k) for k in range(len(self.queries))]
@@ -290,5 +342,8 @@ class SearchReader(DataSourceReader):
                 yield query, "missing", None
             return
         time.sleep(self.delay)
-        data, status = get_json(f"{self.base}?{urllib.parse.urlencode({'search': query, 'per-page': self.per_page})}", retries=2, timeout=45.0, pause=1.0)
+        asked = {"search": query, "filter": self.filter, "per-page": self.per_page}
+        data, status = get_json(f"{self.base}?{urllib.parse.urlencode(asked)}", retries=2, timeout=45.0, wait=lambda attempt: 2.0**attempt)
+        if self.strict and data is None:
+            raise RuntimeError(f"search failed for {query!r}: {status}")
         yield query, status, json.dumps(data) if data else None

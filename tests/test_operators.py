@@ -88,7 +88,7 @@ def test_records(spark, tmp_path):
     got = records.canonical(records.read_records(spark, str(tmp_path / "r.json"))).orderBy(F.desc_nulls_last("title")).collect()
     assert (got[0].title, got[0].publication_year, got[0].authors, got[0].source_name, got[0].topics) == ("A", 2019, ["Smith, J."], "J", ["x", "y"])
     assert records.merge_spec({"a": 1, "b": {"x": 1, "y": 2}}, {"b": {"y": 3}}) == {"a": 1, "b": {"x": 1, "y": 3}}
-    assert records.get_json("x", retries=1, pause=0, get=lambda _: b'{"k": 1}') == ({"k": 1}, "ok")
+    assert records.get_json("x", retries=1, wait=lambda _: 0, get=lambda _: b'{"k": 1}') == ({"k": 1}, "ok")
     (tmp_path / "000.json").write_text('{"results": []}')
     spark.dataSource.register(records.SearchSource)
     rows = spark.read.format("bibspark_search").option("queries", "q one\nq two").option("landing", str(tmp_path)).load().collect()

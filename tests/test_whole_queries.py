@@ -11,7 +11,7 @@ WORK = "work_id long, authors array<string>"
 def test_components_keep_weak_edges(spark, monkeypatch):
     parties = [["a", "b"]] * 3 + [["b", "c"], ["d", "e"], ["e", "f"], ["g"], [], ["k", "j"], ["j", "m", "n"]]
     w = spark.createDataFrame(list(enumerate(parties)), WORK)
-    monkeypatch.setattr(queries, "works", lambda s, d: w)
+    monkeypatch.setattr(queries, "works", lambda s, d, *_: w)
     near: dict[str, set] = {}
     for p in parties:
         for x in p:
@@ -53,6 +53,6 @@ def test_quota_walks_past_a_block(spark, monkeypatch):
 def test_quota_query_has_no_row_cap(spark, monkeypatch):
     """120 copies of one key stand before the works that fill the quota."""
     rows = [("MACHINERY", k, ["hot"], "t", 500 - k) for k in range(120)] + [("MACHINERY", 200 + k, [f"k{k}"], "t", 1) for k in range(15)]
-    monkeypatch.setattr(queries, "_keyed", lambda s, d: spark.createDataFrame(rows, "source_name string, work_id long, keys array<string>, title string, citations long"))
+    monkeypatch.setattr(queries, "_keyed", lambda s, d, *_: spark.createDataFrame(rows, "source_name string, work_id long, keys array<string>, title string, citations long"))
     got = [(r.source_name, r.nth, r.work_id) for r in queries.quota_selection(spark, "").collect()]
     assert got == greedy(rows, [("MACHINERY", 10)]) and len(got) == 10
