@@ -8,10 +8,13 @@ ones meet:
    polynomial hash, leftmost on ties. The choice depends on the window's bytes alone, so equal
    windows have equal anchors; consecutive windows mostly share theirs. Blocks of documents send
    32 bits of each distinct anchor, packed, to the bucket of its leading bits, which answers with
-   one bit each: is it in another block as well? The other windows are in no other document.
+   two bits each: is it in another block as well, and in HOT_BLOCKS or more? Windows that are in no
+   other block are in no other document.
 2. Consecutive windows of a shared anchor form one segment of text. Blocks send each distinct
    segment once, with the smallest doc_id that holds it (its other holders' bytes are settled in
-   the block itself, after a comparison of the bytes), to the anchor's bucket.
+   the block itself, after a comparison of the bytes), to the anchor's bucket. Segments of a hot
+   anchor, such as a common phrase in many surroundings, are cut where a second anchor, least by
+   another hash, changes, and go by both, so that they do not meet in one group.
 3. A bucket leaves out segments whose bytes a segment of a smaller doc_id has (compared) and sorts
    the suffixes that start at the others' windows, group by group of equal anchor and offset, in a bottom-up mergesort over all groups at once. Two suffixes are compared through
    prefix polynomial hashes: equal over the whole length, or else the common extension is found
@@ -36,6 +39,8 @@ from bibspark.llm.substring_dedup import bucket_bounds, distinct, runs, span_lis
 LENGTH = 50
 #: Bytes of text in one block, and of segments that are sorted at a time.
 BLOCK_BYTES, SORT_BYTES = 2 << 20, 1 << 20
+#: Blocks that hold an anchor from which on it is hot.
+HOT_BLOCKS = 64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 result_schema = pa.schema(
     [
@@ -50,7 +55,7 @@ result_schema = pa.schema(
 
 
 # ---------------------------------------------------------------- anchors and segments
-def segments(buf: np.ndarray, offs: np.ndarray, length: int):
+def segments(buf: np.ndarray, offs: np.ndarray, length: int, base: int = c.BASES[0]):
     """Runs of consecutive windows with one anchor: start, number of windows, anchor's offset from
     the start, anchor's hash."""
     n = len(buf)
@@ -59,7 +64,6 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int):
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, c.U64)
-    base = c.BASES[0]
     h = c.prefix_hash(buf, base)
     g = c.mix((h[gram:] - h[:-gram]) * c.powers(c.inverse(base), n - gram + 1))
     bits = int(n).bit_length()
@@ -83,6 +87,21 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int):
     return start, after - start, at - start, g[at]
 
 
+def cut_hot(buf: np.ndarray, offs: np.ndarray, length: int, start, count, rel, key):
+    """Cuts segments where the second anchor changes: the number of the segment that each part comes
+    from, and the parts' start, count, rel and key of both anchors."""
+    second, _, _, other = segments(buf, offs, length, c.BASES[3])
+    low, high = np.searchsorted(second, start, side="right"), np.searchsorted(second, start + count)
+    parts = high - low + 1
+    of = np.repeat(np.arange(len(start)), parts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = low[of] + nth
+    begin = np.where(nth == 0, start[of], second[np.maximum(at - 1, 0)])
+    end = np.where(nth == parts[of] - 1, (start + count)[of], second[np.minimum(at, len(second) - 1)])
+    run = np.searchsorted(second, begin, side="right") - 1
+    return of, begin, end - begin, rel[of] - (begin - start[of]), c.mix(key[of] + other[run])
+
+
 def loads(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each position, as one number (the last positions read zeros)."""
     pad = np.concatenate([buf, np.zeros(8, np.uint8)])
@@ -268,7 +287,7 @@ def sort_segments(buf: np.ndarray, count: np.ndarray, rel: np.ndarray, owner: np
 
 
 # ---------------------------------------------------------------- operator
-def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = True) -> DataFrame:
+def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = True, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """docs (doc_id, text, more) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the
     removed byte spans [start, end). settle_copies: whole copies of a segment, bytes compared, need
     no sort; without it the suffix sort alone decides, with the same result at a higher cost.
@@ -306,9 +325,9 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
         rows = table.to_pylist()
         parts = [c.dec(r["anchors"], np.uint32, delta=True) for r in rows]
         every = np.concatenate([np.unique(p) for p in parts])
-        every.sort()
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits_of = [c.zip_bytes(np.packbits(is_in(p, twice)).tobytes(), 1) for p in parts]
+        every, blocks_of = np.unique(every, return_counts=True)
+        twice, hot = every[blocks_of > 1], every[blocks_of >= hot_blocks]
+        bits_of = [c.zip_bytes(np.packbits(np.concatenate([is_in(p, twice), is_in(p, hot)])).tobytes(), 1) for p in parts]
         return pa.table(
             {
                 "block": pa.array([r["block"] for r in rows], pa.int64()),
@@ -320,8 +339,8 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
 
     def send_segments(block, answers):
         out = []
-        shared = [np.unpackbits(np.frombuffer(c.unzip_bytes(a["bits"]), np.uint8), count=a["n"]) for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"])]
-        shared = np.concatenate(shared).astype(bool) if shared else np.zeros(0, bool)
+        told = [np.unpackbits(np.frombuffer(c.unzip_bytes(a["bits"]), np.uint8), count=2 * a["n"]).reshape(2, -1) for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"])]
+        shared, hot = np.concatenate(told, axis=1).astype(bool) if told else np.zeros((2, 0), bool)
         for row in block.to_pylist():
             ids, offs, buf = c.open_block(row)
             start, count, rel, key = segments(buf, offs, length)
@@ -333,6 +352,10 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
             np.maximum.at(high, place, owner)
             pick = np.flatnonzero((shared | (low < high))[place])
             start, count, rel, key, owner = start[pick], count[pick], rel[pick], key[pick], owner[pick]
+            if (crowded := hot[place[pick]]).any():
+                of, *parts = cut_hot(buf, offs, length, *(x[crowded] for x in (start, count, rel, key)))
+                start, count, rel, key = (np.concatenate([x[~crowded], part]) for x, part in zip((start, count, rel, key), parts, strict=True))
+                owner = np.concatenate([owner[~crowded], owner[crowded][of]])
             size = count + length - 1
             later = copies(buf, start, size, owner) if settle_copies else np.zeros(0, np.int64)
             gone = cover(len(buf), start[later], start[later] + size[later])

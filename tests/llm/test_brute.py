@@ -90,6 +90,22 @@ def test_the_sort_alone_gives_the_same(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     one = sorted(map(repr, suffix_dedup.dedup_strings(docs).collect()))
     assert one == sorted(map(repr, suffix_dedup.dedup_strings(docs, settle_copies=False).collect()))
+    assert one == sorted(map(repr, suffix_dedup.dedup_strings(docs, hot_blocks=2).collect()))
+
+
+def test_hot_anchors_are_cut_by_content():
+    rng = np.random.default_rng(7)
+    buf = rng.integers(97, 100, 4000).astype(np.uint8)
+    buf[2500:3300] = buf[100:900]
+    offs = np.array([0, 1500, 4000])
+    start, count, rel, key = suffix_dedup.segments(buf, offs, 50)
+    of, begin, n, r, both = suffix_dedup.cut_hot(buf, offs, 50, start, count, rel, key)
+    windows = {int(s) + k: (int(a), int(s) + int(x)) for s, m, x, a in zip(start, count, rel, key, strict=True) for k in range(m)}
+    parts = {int(s) + k: (int(a), int(s) + int(x)) for s, m, x, a in zip(begin, n, r, both, strict=True) for k in range(m)}
+    assert windows.keys() == parts.keys() and all(windows[w][1] == parts[w][1] for w in windows) and (r >= 0).all() and len(begin) > len(start)
+    by_text = {}
+    for w, (k, at) in parts.items():
+        assert by_text.setdefault(bytes(buf[w : w + 50]), (k, at - w)) == (k, at - w)
 
 
 def test_very_long_texts(spark):
