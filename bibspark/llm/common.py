@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import uuid
@@ -87,6 +88,15 @@ def buckets(spark: SparkSession, n_bytes: int, for_each: int = 3) -> int:
     return 1 << int(need - 1).bit_length()
 
 
+def trim() -> None:
+    """Gives what a worker has freed back to the system; without it the large arrays of one stage stay
+    in the worker while the next one runs. Does nothing where the C library has no such call."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 # ---------------------------------------------------------------- packed integers
 def enc(a: np.ndarray, delta: bool = False) -> bytes:
     """Byte planes under zstd; delta for sorted input."""

@@ -310,6 +310,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
             for row in batch.to_pylist():
                 _, offs, buf = c.open_block(row)
                 keys = np.unique(segments(buf, offs, length)[3])
+                c.trim()
                 at = bucket_bounds(keys, bits)
                 full = np.flatnonzero(np.diff(at)).tolist()
                 yield pa.RecordBatch.from_arrays(
@@ -370,6 +371,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
                 w = keep[at[k] : at[k + 1]]
                 parts = [c.enc(((key[w] >> c.U64(56 - bits)) & c.U64(255)).astype(np.uint8)), c.enc(owner[w]), c.enc(start[w].astype(np.uint32)), c.enc(count[w].astype(np.uint16)), c.enc(rel[w].astype(np.uint16)), c.zip_bytes(gather(buf, start[w], size[w]).tobytes(), 3)]
                 out.append((k, row["block"], 0, join_parts(parts)))
+        c.trim()
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), sent_types, strict=True)] if out else [pa.array([], t) for t in sent_types], ["bucket", "block", "kind", "payload"])
 
     sent_types = (pa.int32(), pa.int64(), pa.int8(), pa.binary())
@@ -401,6 +403,8 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, settle_copies: bool = T
             by = np.argsort(of, kind="stable")
             of, begin, end = of[by], begin[by], end[by]
             cut = np.searchsorted(of, np.arange(len(rows) + 1))
+            del buf, text
+            c.trim()
             out += [(r["block"], pack_spans(begin[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]])) for k, r in enumerate(rows) if cut[k + 1] > cut[k]]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([x[1] for x in out], pa.binary())})
 
