@@ -152,6 +152,16 @@ def questions_covered(claims: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.join(named, "rq", "left").select("rq", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+#: Nodes of each kind, and edges, that a screening flow has.
+FLOW_KINDS, FLOW_EDGES = {"stage": 3, "strategy": 2, "step": 4}, 8
+
+
+def flow_counts(nodes: DataFrame, edges: DataFrame, kinds: dict[str, int] = FLOW_KINDS, n_edges: int = FLOW_EDGES) -> DataFrame:
+    """V7, one row: whether a flow has so many nodes of each kind and so many edges."""
+    own = nodes.agg(*[(F.count_if(F.col("kind") == k) == n).alias(f"{k}_count") for k, n in kinds.items()])
+    return own.crossJoin(edges.agg((F.count("*") == n_edges).alias("edge_count")))  # one row each
+
+
 def flow_gate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """V7 over flow nodes (id, kind, n) and edges (src, dst, style, n): endpoints known, styles
     allowed, and (new) flow is conserved: what leaves a node is what it holds, where it has exits."""

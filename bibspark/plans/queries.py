@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from bibspark.functions import text as t
 from bibspark.operators import aggregates as agg
 from bibspark.operators import classify, dedup, enrich, gates, graph, textgate
-from bibspark.operators.taxonomy import AI, EDUCATION, EDUCATION_DIRECTIONS, EDUCATION_RULES, REVIEW, REVIEW_TERMS, WEIGHTS, Direction, Rule
+from bibspark.operators.taxonomy import AI, EDUCATION, EDUCATION_DIRECTIONS, EDUCATION_RULES, EXCLUDED, FALLBACK, REVIEW, REVIEW_TERMS, WEIGHTS, Direction, Rule
+from bibspark.plans import workflows
 from bibspark.plans.works import WORKS_SQL, table, works
 from bibspark.sources import records
 from bibspark.sources.shared import shared_folder
@@ -872,3 +873,34 @@ UNION ALL SELECT 'with_institution', 'true', count(*) FROM works WHERE len(insti
 def summary_report(spark, d):
     """The corpus summary as Markdown."""
     return records.markdown(corpus_summary(spark, d), "Corpus")
+
+
+@query("WITH ec AS (" + ORACLE_SQL["education_classes"] + "), ed AS (SELECT id, string_agg(direction, '; ' ORDER BY direction) AS codes FROM (" + ORACLE_SQL["education_directions"] + ") GROUP BY 1), names AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.code}', $${r.label}$$)" for r in (*EDUCATION_RULES, EXCLUDED, FALLBACK)) + """) v(code, label))
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'c' || p_partkey ELSE 'record-' || lpad(p_partkey::VARCHAR, greatest(3, length(p_partkey::VARCHAR))::INT, '0') END AS corpus_id, 'original_150' AS record_origin,
+ t.title || ' & é' AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2000 + p_partkey % 20 END::INT AS publication_year, work_type, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'J ' || p_brand END AS source_name,
+ '10.1/x' || p_partkey AS doi, '' AS openalex_id, 'A, B.; C' AS authors, p_type AS institutions, '' AS countries, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size END::BIGINT AS cited_by_count, 'abstract_only' AS coverage,
+ primary_code AS primary_topic_code, names.label AS primary_topic_label, replace(secondary, ',', '; ') AS secondary_topic_codes, coalesce(codes, '') AS future_direction_codes, confidence AS classification_confidence, in_scope,
+ NULL::VARCHAR AS expansion_direction_code, NULL::VARCHAR AS expansion_direction_label, '' AS manual_review_reason, 'q r' AS matched_query, NULL::DOUBLE AS selection_score, '' AS oa_url, '' AS pdf_url
+FROM part JOIN ec ON ec.id = p_partkey JOIN names ON names.code = primary_code LEFT JOIN ed ON ed.id = p_partkey JOIN (""" + EDUCATION_SQL + " SELECT id, title FROM texts) t ON t.id = p_partkey")
+def standard_file(spark, d):
+    """Parts as records with odd values, standard, classified and flat."""
+    k = F.col("p_partkey")
+    raw = _education(spark, d).join(table(spark, d, "part").select(k.alias("id"), "p_brand", "p_type", "p_size"), "id")
+    i = F.col("id")
+    raw = raw.select(
+        i.alias("ordinal"), F.when(i % 4 == 0, F.concat(F.lit("c"), i)).alias("corpus_id"), F.concat(F.lit("  "), "title", F.lit(" &amp;  &eacute; ")).alias("title"), "abstract",
+        F.when(i % 5 == 0, "soon").otherwise((2000 + i % 20).cast("string")).alias("year"), F.when(i % 3 == 0, F.col("p_brand")).otherwise("").alias("source_name"), F.concat(F.lit("J "), "p_brand").alias("journal"),
+        F.concat(F.lit("https://doi.org/10.1/X"), i).alias("doi"), F.lit(" A, B.; C |").alias("authors"), F.array("p_type", F.lit(" ")).alias("institutions"), F.when(i % 2 == 1, F.col("p_size")).alias("cited_by_count"), F.lit("q  r").alias("matched_query"),
+    )
+    return records.flat_file(workflows.standard_records(raw, "ordinal"))
+
+
+@query("SELECT count(*) FILTER (n_nationkey > 20) = 3 AS stage_count, count(*) FILTER (n_nationkey < 2) = 2 AS strategy_count, count(*) FILTER (n_nationkey BETWEEN 2 AND 5) = 4 AS step_count, count(*) = 8 AS edge_count, count(*) FILTER (n_nationkey + 1 NOT IN (SELECT n_nationkey FROM nation)) = 0 AS endpoints_known, count(*) FILTER (n_nationkey % 7 = 3) = 0 AS styles, count(*) FILTER (n_nationkey <> n_nationkey + 5) = 0 AS conserved FROM nation")
+def flow_faults(spark, d):
+    """V7 on a flow of nations with too many stages and edges, strange ends and styles, and a leak."""
+    n = table(spark, d, "nation")
+    i = F.col("n_nationkey")
+    kind = F.when(i < 2, "strategy").when(i < 6, "step").when(i > 20, "stage").otherwise("side")
+    nodes = n.select(i.cast("string").alias("id"), kind.alias("kind"), i.alias("n"))
+    edges = n.select(i.cast("string").alias("src"), (i + 1).cast("string").alias("dst"), F.when(i % 7 == 3, "wave").otherwise("arrow").alias("style"), (i + 5).alias("n"))
+    return gates.flow_counts(nodes, edges).crossJoin(F.broadcast(gates.flow_gate(nodes, edges)))  # one row each

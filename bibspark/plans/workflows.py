@@ -42,6 +42,22 @@ def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUC
     return {"classified": done, "summary": summary, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
 
 
+def standard_records(raw: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """The 31 fields of standard records, classified where raw has no classification. ordinal:
+    the column with the records' numbers, else they are numbered in input order."""
+    r = records.standard(records.numbered(raw, "__ordinal"), "__ordinal") if ordinal is None else records.standard(raw, ordinal)
+    sections = {"title": F.col("title"), "abstract": F.col("abstract"), "concepts": F.array_join("concepts", " "), "keywords": F.array_join("keywords", " ")}
+    text = F.concat_ws(" ", *sections.values())
+    done = classify.classify(r, tx.EDUCATION_RULES, {k: v for k, v in sections.items() if k in tx.WEIGHTS}, scope_text=text)
+    labels = F.create_map(*[F.lit(x) for rule in (*tx.EDUCATION_RULES, tx.EXCLUDED, tx.FALLBACK) for x in (rule.code, rule.label)])
+    classification = F.struct(
+        classify.work_type(F.col("work_type"), F.concat_ws(" ", "title", "abstract")).alias("work_type_normalized"), F.col("primary_code").alias("primary_topic_code"),
+        F.element_at(labels, F.col("primary_code")).alias("primary_topic_label"), F.col("secondary_codes").alias("secondary_topic_codes"), classify.directions(text).alias("future_direction_codes"),
+        "confidence", "in_scope",
+    )
+    return done.select(*r.columns, classification.alias("classification"))
+
+
 def identified(raw: DataFrame) -> DataFrame:
     """corpus_id (original-001 and so on, in input order), title and keys of records."""
     r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal")

@@ -107,6 +107,72 @@ def canonical(df: DataFrame, *kept: str) -> DataFrame:
     return df.select(*out)
 
 
+# ---- fixed values: fields of a standard record, and columns of the flat file
+STANDARD = (
+    "corpus_id", "record_origin", "title", "publication_year", "work_type", "source_name", "source_type", "source_is_core", "openalex_id", "doi", "landing_page_url", "oa_url", "pdf_url", "is_oa", "oa_status",
+    "is_retracted", "cited_by_count", "authors", "institutions", "countries", "authorships", "concepts", "keywords", "abstract", "coverage", "expansion_direction_code", "expansion_direction_label",
+    "matched_query", "selection_score", "manual_review_reason", "classification",
+)
+FLAT_FILE = (
+    "corpus_id", "record_origin", "title", "publication_year", "work_type", "source_name", "doi", "openalex_id", "authors", "institutions", "countries", "cited_by_count", "coverage", "primary_topic_code",
+    "primary_topic_label", "secondary_topic_codes", "future_direction_codes", "classification_confidence", "in_scope", "expansion_direction_code", "expansion_direction_label", "manual_review_reason",
+    "matched_query", "selection_score", "oa_url", "pdf_url",
+)
+# ---- end of fixed values
+#: What becomes of a standard record's field; all others are text with white space collapsed.
+_FLAGS = ("source_is_core", "is_oa", "is_retracted")
+_LISTS = ("authors", "institutions", "countries", "concepts", "keywords")
+_AS_THEY_ARE = {"authorships": "array<string>", "expansion_direction_code": "string", "expansion_direction_label": "string", "selection_score": "double"}
+_OTHER_NAMES = {"publication_year": "year", "work_type": "type", "source_name": "journal"}
+
+
+def standard(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The fields of STANDARD but classification, with their defaults. ordinal: the record's
+    number, from which ids are made where there are none."""
+    def given(name: str) -> Column | None:
+        found = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in (name, _OTHER_NAMES.get(name)) if n in df.columns]
+        return F.coalesce(*found) if found else None
+
+    def value(name: str) -> Column:
+        if name in _LISTS:
+            if name not in df.columns:
+                return F.array().cast("array<string>")
+            is_array = df.schema[name].dataType.typeName() == "array"
+            return F.coalesce(t.filled(F.col(name)) if is_array else t.split_any(F.col(name)), F.array().cast("array<string>"))
+        if name in _FLAGS:
+            return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in df.columns else F.lit(False)
+        if name in _AS_THEY_ARE:
+            return F.col(name) if name in df.columns else F.lit(None).cast(_AS_THEY_ARE[name])
+        x = given(name)
+        if name == "publication_year":
+            return F.lit(None).cast("int") if x is None else F.trim(x).try_cast("int")
+        if name == "cited_by_count":
+            return F.lit(0).cast("long") if x is None else F.coalesce(x.try_cast("long"), F.lit(0))
+        if name == "doi":
+            return F.lit("") if x is None else t.normalize_doi(x)
+        if name == "corpus_id":
+            return F.coalesce(*([x] if x is not None else []), ordinal_id(F.col(ordinal), "record"))
+        if name == "coverage":
+            abstract = given("abstract")
+            kind = F.lit("metadata_only") if abstract is None else F.when(abstract.isNotNull(), "abstract_only").otherwise("metadata_only")
+            return kind if x is None else F.coalesce(x, kind)
+        default = {"record_origin": "original_150", "work_type": "article"}.get(name, "")
+        return F.lit(default) if x is None else F.coalesce(F.nullif(t.normalize_space(x), F.lit("")), F.lit(default))
+
+    return df.select(*[value(n).alias(n) for n in STANDARD[:-1]])
+
+
+def flat_file(df: DataFrame) -> DataFrame:
+    """The columns of FLAT_FILE of standard records with classification."""
+    c = F.col("classification")
+    out = {
+        "work_type": F.coalesce(F.nullif(c["work_type_normalized"], F.lit("")), F.col("work_type")), "primary_topic_code": c["primary_topic_code"], "primary_topic_label": c["primary_topic_label"],
+        "secondary_topic_codes": F.array_join(c["secondary_topic_codes"], "; "), "future_direction_codes": F.array_join(c["future_direction_codes"], "; "), "classification_confidence": c["confidence"], "in_scope": c["in_scope"],
+    }
+    out |= {n: F.array_join(n, "; ") for n in ("authors", "institutions", "countries")}
+    return df.select(*[out.get(n, F.col(n)).alias(n) for n in FLAT_FILE if n in out or n in df.columns])
+
+
 def nested(dimension: str) -> Column:
     """Labels of an array authorships<author, institutions, countries>, distinct in order."""
     if dimension == "authors":
