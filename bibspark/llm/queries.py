@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bibspark.llm.embedding_dedup import op3_embedding_near_dedup
 from bibspark.llm.fingerprint import op7_document_fingerprints
+from bibspark.llm.html_text import op13_html_extraction
 from bibspark.llm.lm_scoring import op4_lm_scoring
 from bibspark.llm.mixing import ORACLE_OP1, op1_source_mixing
 from bibspark.llm.packing import op8_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_simhash_near_dedup,
         op10_substring_dedup,
+        op13_html_extraction,
     )
 }
 
