@@ -31,7 +31,7 @@ SHARE = 0.9
 #: Least share of a page's text that makes an article element or a main element the container.
 MARKED_SHARE = 0.2
 #: Of several articles, one with this share of their text is the article, else all are.
-LEADING_SHARE = 0.6
+LEADING_SHARE = 0.65
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 IN_HEAD = frozenset("title meta link style script base noscript template".split())
