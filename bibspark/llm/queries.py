@@ -13,6 +13,7 @@ from bibspark.llm.simhash import op9_simhash_near_dedup
 from bibspark.llm.substring_dedup import op10_substring_dedup
 from bibspark.llm.suffix_dedup import op2_suffix_array_dedup
 from bibspark.llm.toxicity import op6_toxicity
+from bibspark.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_simhash_near_dedup,
         op10_substring_dedup,
+        op11_embedding_whitening,
         op13_html_extraction,
     )
 }
