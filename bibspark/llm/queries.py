@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bibspark.llm.collocations import ORACLE_OP12, op12_phrase_collocations
 from bibspark.llm.embedding_dedup import op3_embedding_near_dedup
 from bibspark.llm.fingerprint import op7_document_fingerprints
 from bibspark.llm.html_text import op13_html_extraction
@@ -29,9 +30,10 @@ QUERIES = {
         op9_simhash_near_dedup,
         op10_substring_dedup,
         op11_embedding_whitening,
+        op12_phrase_collocations,
         op13_html_extraction,
     )
 }
 
 #: Where SQL is fast on whole tables; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op1_source_mixing": ORACLE_OP1}
+ORACLE_SQL = {"op1_source_mixing": ORACLE_OP1, "op12_phrase_collocations": ORACLE_OP12}
