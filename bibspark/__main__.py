@@ -39,8 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         docs = spark.read.option("wholetext", True).text(a.input).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
         tables = w.check_documents(docs, min_words=a.min_words, min_figures=a.min_figures, language=a.language)
     else:
-        raw = records.read_records(spark, a.input)
-        raw = records.prefix(records.numbered(raw, "__ordinal"), "__ordinal", a.limit).drop("__ordinal") if a.limit else raw
+        raw = records.prefix(records.read_records(spark, a.input, ordinal=records.ORDINAL), records.ORDINAL, a.limit)
         tables = {
             "classify": lambda: w.classify_corpus(raw) | (w.expand_from_search(w.identified(raw), records.replay(spark, a.answers), n_originals=a.originals) if a.answers else {}),
             "metadata": lambda: w.extract_metadata(raw, records.read_records(spark, a.index) if a.index else None),

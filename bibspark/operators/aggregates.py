@@ -73,9 +73,19 @@ def window_of(year: Column, end: int, width: int = 5) -> Column:
     return F.when(year.between(end - width + 1, end), "recent").when(year.between(end - 2 * width + 1, end - width), "earlier")
 
 
-def topic_window_counts(works: DataFrame, end: int, width: int = 5, topics: str = "topics") -> DataFrame:
-    """A4."""
-    return works.select(window_of(F.col("year"), end, width).alias("window"), F.explode(topics).alias("topic")).where("window is not null").groupBy("window", "topic").agg(F.count("*").alias("n"))
+def topic_window_counts(works: DataFrame, end: int, width: int = 5, topics: str = "topics", ordinal: str | None = None) -> DataFrame:
+    """A4. ordinal: the column with the works' numbers; first_seen then tells where a topic of the
+    window first stands."""
+    given = [F.col(ordinal).alias("__o")] if ordinal else []
+    rows = works.select(window_of(F.col("year"), end, width).alias("window"), *given, F.posexplode(topics).alias("__place", "topic")).where("window is not null")
+    first = [F.min(F.struct(F.col("__o").alias("ordinal"), F.col("__place").alias("place"))).alias("first_seen")] if ordinal else []
+    return rows.groupBy("window", "topic").agg(F.count("*").alias("n"), *first)
+
+
+def most_common(counts: DataFrame, k: int | None = None, value: str = "n", *groups: str) -> DataFrame:
+    """Counts with first_seen, ranked (in each group) by value descending, then first seen."""
+    ranks = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(value), "first_seen")))
+    return ranks if k is None else ranks.where(F.col("rank") <= k)
 
 
 def with_ratio(counts: DataFrame, group: str, value: str = "n") -> DataFrame:
@@ -105,11 +115,17 @@ def topic_year_share(works: DataFrame, start: int, end: int, k: int = 8, topics:
     return out.select("topic", "year", "n", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(0.0)).alias("share"))
 
 
-def ranking(works: DataFrame, column: str, k: int | None = None) -> DataFrame:
-    """Frequency of a label or of an array's labels."""
-    label = F.explode(column) if works.schema[column].dataType.typeName() == "array" else F.col(column)
-    counts = works.select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    return counts if k is None else ranked(counts, k, "label")
+def ranking(works: DataFrame, column: str, k: int | None = None, ordinal: str | None = None) -> DataFrame:
+    """Frequency of a label or of an array's labels. ordinal: the column with the works' numbers;
+    equal counts then go by where the label was first seen, not by the label."""
+    array = works.schema[column].dataType.typeName() == "array"
+    given = [F.col(ordinal).alias("__o")] if ordinal else []
+    rows = works.select(*given, F.posexplode(column).alias("__place", "label") if array else F.col(column).alias("label"))
+    first = [F.min(F.struct(F.col("__o").alias("ordinal"), *([F.col("__place").alias("place")] if array else []))).alias("first_seen")] if ordinal else []
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), *first)
+    if k is None:
+        return counts
+    return counts.orderBy(F.desc("n"), "first_seen").limit(k) if ordinal else ranked(counts, k, "label")
 
 
 def corpus_summary(works: DataFrame, dimensions: dict[str, Column], flags: dict[str, Column]) -> DataFrame:

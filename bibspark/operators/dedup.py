@@ -26,10 +26,12 @@ def anti_join_any_key(df: DataFrame, known: DataFrame, id_col: str, keys: str =
 
 def best_per_key(df: DataFrame, group: str, keys: str, score: str, arrival: str, title: str) -> DataFrame:
     """D3: the best of each canonical key (the least; without keys the title's SHA-1) in a group,
-    the first on ties."""
+    the first on ties; first_seen is the arrival of the key's first record. One row a key is kept
+    before the exchange already."""
     canonical = F.coalesce(F.array_min(keys), F.concat(F.lit("sha1:"), F.sha1(title)))
-    w = Window.partitionBy(group, "canonical").orderBy(F.desc(score), arrival)
-    return df.withColumn("canonical", canonical).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    rows = df.withColumn("canonical", canonical)
+    best = rows.groupBy(group, "canonical").agg(F.min_by(F.struct(*df.columns), F.struct((-F.col(score)).alias("s"), F.col(arrival).alias("a"))).alias("best"), F.min(arrival).alias("first_seen"))
+    return best.select("best.*", "canonical", "first_seen")
 
 
 def quota_selection(df: DataFrame, quotas: list[tuple[str, int]], group: str, id_col: str, keys: str, order: list[Column]) -> DataFrame:
@@ -65,6 +67,12 @@ def quota_selection(df: DataFrame, quotas: list[tuple[str, int]], group: str, id
     return df.sparkSession.createDataFrame(out, f"`{group}` string, nth int, `{id_col}` {kind}")
 
 
+def taken(picked: DataFrame, quotas: list[tuple[str, int]], group: str) -> list[tuple[str, int]]:
+    """How many records each group gave, in the order of quotas."""
+    n = {r[0]: r[1] for r in picked.groupBy(group).agg(F.count("*")).collect()}
+    return [(g, n.get(g, 0)) for g, _ in quotas]
+
+
 def incremental_duplicates(df: DataFrame, ordinal: str, keys: str = "keys") -> DataFrame:
     """Df with is_duplicate: some key was seen in an earlier row."""
     exploded = df.select(ordinal, F.explode(keys).alias("key"))

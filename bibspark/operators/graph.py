@@ -118,24 +118,37 @@ def greedy_modularity(names: list[str], links: dict[tuple[str, str], float]) ->
                 between[a][n] = between[n][a] = between[a].get(n, 0.0) + w
 
 
-def typed_nodes(fields: dict[str, Column]) -> Column:
-    """Array of (type, label) of a record; fields hold arrays of labels."""
-    def of(t: str, c: Column) -> Column:
-        return F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(t).alias("type"), x.alias("label")))
+def typed_nodes(fields: dict[str, Column], placed: bool = False) -> Column:
+    """Array of (type, label) of a record; fields hold arrays of labels. placed: also kind and place,
+    the numbers of the field and of the label in it."""
+    def of(k: int, t: str, c: Column) -> Column:
+        one = lambda x, i: F.struct(F.lit(t).alias("type"), x.alias("label"), *([F.lit(k).alias("kind"), i.alias("place")] if placed else []))
+        return F.transform(F.array_distinct(c), one if placed else lambda x: one(x, None))
 
-    return F.concat(*[of(t, c) for t, c in fields.items()])
+    return F.concat(*[of(k, t, c) for k, (t, c) in enumerate(fields.items())])
 
 
 def node_id(kind: Column, label: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.lower(label))
 
 
-def evidence_nodes(records: DataFrame, fields: dict[str, Column], title: str, citations: str) -> DataFrame:
-    """Id, type, label (the least spelling), occurrences, citations, papers (by title)."""
-    rows = unroll(records, F.col(title).alias("t"), F.col(citations).alias("c"), array=typed_nodes(fields), key="type")
-    return rows.groupBy(node_id(F.col("type"), F.col("label")).alias("id"), "type").agg(
-        F.min("label").alias("label"), F.count("*").alias("occurrences"), F.sum("c").alias("citations"), F.count_distinct("t").alias("papers")
+def evidence_nodes(records: DataFrame, fields: dict[str, Column], title: str, citations: str, ordinal: str | None = None) -> DataFrame:
+    """Id, type, label, occurrences, citations, papers (by title). ordinal: the column with the
+    records' numbers; label is then the first spelling seen, and first_seen (ordinal, kind, place) tells
+    where the node first stands. Without it label is the least spelling."""
+    given = [F.col(title).alias("t"), F.col(citations).alias("c")] + ([F.col(ordinal).alias("o")] if ordinal else [])
+    rows = unroll(records, *given, array=typed_nodes(fields, bool(ordinal)), key="type")
+    seen = F.struct("o", "kind", "place")
+    label = [F.min_by("label", seen).alias("label"), F.min(seen).alias("first_seen")] if ordinal else [F.min("label").alias("label")]
+    out = rows.groupBy(node_id(F.col("type"), F.col("label")).alias("id"), "type").agg(
+        *label, F.count("*").alias("occurrences"), F.sum("c").alias("citations"), F.count_distinct("t").alias("papers")
     )
+    return out.withColumn("first_seen", F.struct(F.col("first_seen.o").alias("ordinal"), "first_seen.kind", "first_seen.place")) if ordinal else out
+
+
+def top_nodes(nodes: DataFrame, k: int = 20) -> DataFrame:
+    """Citations and occurrences descending, then first seen."""
+    return nodes.orderBy(F.desc("citations"), F.desc("occurrences"), "first_seen").limit(k)
 
 
 def evidence_edges(records: DataFrame, fields: dict[str, Column], title: str, citations: str, allowed=PAIRS) -> DataFrame:

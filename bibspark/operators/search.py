@@ -32,14 +32,23 @@ def works_found(answers: DataFrame) -> DataFrame:
     )
 
 
+def searches(answers: DataFrame) -> DataFrame:
+    """Query, status, openalex_count (what the index counts), returned, retrieved_at of each answer;
+    retrieved_at is NULL for answers landed without it."""
+    a = F.from_json("raw", "meta struct<count: long>, results array<struct<id: string>>")
+    when = F.col("retrieved_at") if "retrieved_at" in answers.columns else F.lit(None).cast("string")
+    return answers.select("query", "status", a["meta"]["count"].alias("openalex_count"), F.coalesce(F.size(a["results"]), F.lit(0)).alias("returned"), when.alias("retrieved_at"))
+
+
 def judged(found: DataFrame, originals: DataFrame, queries: dict[str, tuple[str, ...]] = tx.DIRECTION_QUERIES, directions=tx.EDUCATION_DIRECTIONS, reference_title: str = tx.REFERENCE_TITLE) -> DataFrame:
     """Results with direction, keys, score, in_scope and reason, NULL for what is accepted. The
     reasons go in this order: the reference title in another direction, missing metadata or
     retracted, a key of an original, out of scope, no match of the direction."""
-    asked = found.sparkSession.createDataFrame([(q, d) for d, qs in queries.items() for q in qs], "query string, direction string")
+    listed = [(q, d) for d, qs in queries.items() for q in qs]
+    asked = found.sparkSession.createDataFrame([(q, d, k) for k, (q, d) in enumerate(listed)], "query string, direction string, asked int")
     rows = found.join(F.broadcast(asked), "query")  # a row a query
     rows = rows.withColumn("keys", dedup.dedup_keys(F.col("openalex_id"), F.col("doi"), t.normalize_title(F.col("title"))))
-    rows = rows.withColumn("arrival", F.concat_ws("|", "query", F.lpad(F.col("position").cast("string"), 6, "0")))
+    rows = rows.withColumn("arrival", F.concat_ws("|", F.lpad(F.col("asked").cast("string"), 6, "0"), F.lpad(F.col("position").cast("string"), 6, "0"))).drop("asked")
     concepts = F.array_join("topics", " ")
     sections = {"title": F.col("title"), "abstract": F.coalesce("abstract", F.lit("")), "concepts": concepts}
     text = F.concat_ws(" ", "title", "abstract", concepts)

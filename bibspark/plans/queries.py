@@ -751,11 +751,69 @@ def affiliation_texts(spark, d):
     return works(spark, d).select("work_id", records.affiliations_text(own).alias("text"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, 'record-' || lpad(row_number() OVER (ORDER BY p_partkey)::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY p_partkey))::VARCHAR))::INT, '0') AS id, p_partkey FROM part QUALIFY ordinal <= 150")
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, 'record-' || lpad(row_number() OVER (ORDER BY p_partkey)::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY p_partkey))::VARCHAR))::INT, '0') AS id, p_partkey FROM part")
 def ordinal_records(spark, d):
-    """Numbers in the order of the scan (the file is ordered by key), the first 150."""
+    """Numbers in the order of the scan of several files of different sizes."""
+    parts = table(spark, d, "part").select("p_partkey", F.repeat(F.lit("x"), (F.col("p_partkey") % 7 * F.col("p_partkey") % 90).cast("int")).alias("pad"))
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}.jsonl"
+    parts.repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey").write.json(path)
+    rows = records.read_records(spark, path, ordinal="ordinal")
+    return rows.select("ordinal", records.ordinal_id(F.col("ordinal"), "record").alias("id"), "p_partkey")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, p_partkey FROM part ORDER BY p_partkey LIMIT 150")
+def first_records(spark, d):
+    """The first 150 of the scan's order."""
     rows = records.numbered(table(spark, d, "part").select("p_partkey"))
-    return records.prefix(rows, "ordinal", 150).select("ordinal", records.ordinal_id(F.col("ordinal"), "record").alias("id"), "p_partkey")
+    return records.prefix(rows, "ordinal", 150).select("ordinal", "p_partkey")
+
+
+@on_works("SELECT row_number() OVER (ORDER BY work_id) AS ordinal, work_id AS id, title || ' }]\"{[ ' || chr(10) || title AS title, array_to_string(authors, '|') AS authors, year FROM works")
+def json_list_scan(spark, d):
+    """Works as JSON lists in several files, with brackets and quotes in their texts, read
+    by byte ranges and numbered in their order."""
+    w = works(spark, d, "work_id", "title", "authors", "year")
+    own = w.select(F.col("work_id").alias("id"), F.concat("title", F.lit(' }]"{[ \n'), "title").alias("title"), "authors", "year")
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}.json"
+    records.write_json_lists(own.repartitionByRange(6, "id").sortWithinPartitions("id"), path)
+    return records.read_records(spark, path, ordinal="ordinal").select("ordinal", "id", "title", F.array_join("authors", "|").alias("authors"), F.col("year").cast("int").alias("year"))
+
+
+@on_works("SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min((work_id, place))) AS rank FROM (SELECT work_id, unnest(topics) AS label, unnest(range(len(topics))) AS place FROM works WHERE work_id % 5 = 0) GROUP BY label QUALIFY rank <= 40")
+def topics_most_common(spark, d):
+    """The 40 most frequent topics of every fifth work; equal counts by where they are first seen."""
+    w = works(spark, d, "work_id", "topics").where("work_id % 5 = 0")
+    return agg.most_common(agg.ranking(w, "topics", ordinal="work_id"), 40).select("label", "n", F.col("rank").cast("long").alias("rank"))
+
+
+FIRST_SEEN_SQL = """, s AS (
+SELECT work_id, title, citations, type, place, kind, CASE WHEN work_id % 3 = 1 THEN upper(label) ELSE label END AS label FROM (
+  SELECT work_id, title, citations, 'author' AS type, 0 AS kind, unnest(authors) AS label, unnest(range(len(authors))) AS place FROM works
+  UNION ALL SELECT work_id, title, citations, 'journal', 1, source_name, 0 FROM works
+  UNION ALL SELECT work_id, title, citations, 'topic', 2, unnest(topics), unnest(range(len(topics))) FROM works)),
+f AS (SELECT type || ':' || lower(label) AS id, type, arg_min(label, (work_id, kind, place)) AS label, count(*) AS occurrences, sum(citations)::BIGINT AS citations, count(DISTINCT title) AS papers,
+  min((work_id, kind, place)) AS seen FROM s GROUP BY 1, 2)
+"""
+
+
+def _first_seen(spark, d):
+    w = works(spark, d, "work_id", "title", "citations", "authors", "source_name", "topics")
+    spelled = lambda c: F.transform(c, lambda x: F.when(F.col("work_id") % 3 == 1, F.upper(x)).otherwise(x))
+    return graph.evidence_nodes(w, {"author": spelled(F.col("authors")), "journal": spelled(F.array("source_name")), "topic": spelled(F.col("topics"))}, "title", "citations", "work_id")
+
+
+@on_works(FIRST_SEEN_SQL + "SELECT id, type, label, occurrences, citations, papers, seen[1] AS ordinal, seen[2] AS kind, seen[3] AS place FROM f")
+def evidence_first_spelling(spark, d):
+    """Nodes under the first spelling seen."""
+    return _first_seen(spark, d).select("id", "type", "label", "occurrences", "citations", "papers", *[F.col(f"first_seen.{c}").cast("long").alias(c) for c in ("ordinal", "kind", "place")])
+
+
+@on_works(FIRST_SEEN_SQL + "SELECT id, label, citations, occurrences, row_number() OVER (ORDER BY citations DESC, occurrences DESC, seen) AS rank FROM f QUALIFY rank <= 20")
+def evidence_top_nodes(spark, d):
+    """Equal nodes by where they are first seen."""
+    top = graph.top_nodes(_first_seen(spark, d))
+    rank = F.row_number().over(Window.orderBy(F.desc("citations"), F.desc("occurrences"), "first_seen"))  # of 20 rows
+    return top.select("id", "label", "citations", "occurrences", rank.cast("long").alias("rank"))
 
 
 @on_works("SELECT (SELECT max(year) FROM works WHERE year < 2001) AS year, count(*) AS n FROM works WHERE year <= (SELECT max(year) FROM works WHERE year < 2001)")

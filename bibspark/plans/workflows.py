@@ -3,6 +3,8 @@ tables, which write() stores. Nothing is computed before a result is written or
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ Tables = dict[str, DataFrame]
 
 
 def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUCATION_DIRECTIONS) -> Tables:
-    """O1 without expansion: classified records, summary (metric, key, n), review queue, Markdown
-    report and taxonomy."""
-    r = records.canonical(raw)
+    """O1 without expansion: classified records (corpus_id original-001 and so on in input order),
+    summary (metric, key, n), countries by frequency and first seen, review queue, Markdown report
+    and taxonomy."""
+    r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal").withColumnRenamed("__ordinal", "ordinal").withColumn("corpus_id", records.ordinal_id(F.col("ordinal"), "original"))
     text = F.concat_ws(" ", "title", "abstract")
     sections = {"title": F.coalesce("title", F.lit("")), "abstract": F.coalesce("abstract", F.lit("")), "concepts": F.array_join("topics", " ")}
     scope = F.concat_ws(" ", "title", "abstract", F.array_join("topics", " "))
@@ -39,7 +42,8 @@ def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUC
         {"primary_topic": F.col("primary_code"), "direction": F.col("directions"), "confidence": F.col("confidence"), "coverage": F.col("coverage"), "country": F.col("countries")},
         {"in_scope": F.col("in_scope"), "with_institutions": F.size("institutions") > 0},
     )
-    return {"classified": done, "summary": summary, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
+    countries = agg.most_common(agg.ranking(r, "countries", ordinal="ordinal"))
+    return {"classified": done, "summary": summary, "countries": countries, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
 
 
 def standard_records(raw: DataFrame, ordinal: str | None = None) -> DataFrame:
@@ -71,9 +75,12 @@ def expand_corpus(originals: DataFrame, candidates: DataFrame, quotas: list[tupl
     direction that no original has, by quota, and the gate."""
     fresh = dedup.anti_join_any_key(candidates, originals, "corpus_id")
     best = dedup.best_per_key(fresh, "direction", "keys", "score", "corpus_id", "title")
-    order = [F.desc("score"), F.desc("cited_by_count"), t.normalize_title(F.col("title")), F.col("corpus_id")]
+    order = [F.desc("score"), F.desc("cited_by_count"), t.normalize_title(F.col("title")), F.col("first_seen")]
     picked = dedup.quota_selection(best, quotas, "direction", "corpus_id", "keys", order)
-    selected = best.join(F.broadcast(picked.select("direction", "corpus_id")), ["direction", "corpus_id"])  # as many rows as the quotas
+    before = dict(zip((g for g, _ in quotas), accumulate((n for _, n in dedup.taken(picked, quotas, "direction")), initial=0), strict=False))
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("direction")) + F.col("nth")
+    named = picked.select("direction", "corpus_id", records.ordinal_id(number, "expanded").alias("expanded_id"))
+    selected = best.join(named, ["direction", "corpus_id"]).withColumn("corpus_id", F.col("expanded_id")).drop("expanded_id")
     expanded = dedup.union(originals, selected)
     reference = t.normalize_title(F.col("title")) == t.normalize_title(F.lit(reference_title))
     checks = gates.expansion_gate(originals, selected, expanded, quotas, n_originals, reference, "corpus_id", "direction")
@@ -88,7 +95,7 @@ def expand_from_search(originals: DataFrame, answers: DataFrame, quotas: list[tu
     rows = search.judged(search.works_found(answers), originals)
     log = agg.search_log(rows, "query", "reason")
     candidates = rows.where("reason is null").withColumn("corpus_id", F.concat_ws("|", "direction", "arrival"))
-    return {"search_log": log, **expand_corpus(originals, candidates, quotas, n_originals, tx.REFERENCE_TITLE)}
+    return {"search_log": log, "searches": search.searches(answers), **expand_corpus(originals, candidates, quotas, n_originals, tx.REFERENCE_TITLE)}
 
 
 def extract_metadata(raw: DataFrame, index: DataFrame | None = None) -> Tables:
@@ -140,22 +147,23 @@ def collaboration(raw: DataFrame, top: int = 30, min_coverage: float = 0.2, min_
 
 
 def temporal_topics(raw: DataFrame, start: int, end: int, width: int = 5, max_topics: int = 36) -> Tables:
-    """Annual counts, their quadratic trend, topics of the two windows and the gate."""
-    r = records.canonical(raw).withColumn("year", F.col("publication_year"))
-    counts, windows = agg.annual_counts(r, start, end), agg.topic_window_counts(r, end, width)
+    """Annual counts, their quadratic trend, topics of the two windows (the shown ones, and all
+    by frequency and first seen) and the gate."""
+    r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal").withColumn("year", F.col("publication_year"))
+    counts, windows = agg.annual_counts(r, start, end), agg.topic_window_counts(r, end, width, ordinal="__ordinal")
     shown = agg.with_ratio(agg.ranked(windows, max_topics, "topic", "n", "window"), "window")
-    return {"annual_counts": counts, "trend": agg.quadratic_trend(counts), "topics": shown, "gate": gates.report(gates.temporal_gate(counts, windows, max_topics))}
+    return {"annual_counts": counts, "trend": agg.quadratic_trend(counts), "topics": shown, "topic_counts": agg.most_common(windows, None, "n", "window"), "gate": gates.report(gates.temporal_gate(counts, windows, max_topics))}
 
 
 def bibliometric_graph(raw: DataFrame, per_type: int = 24, min_citations: float = 0) -> Tables:
     """The heterogeneous evidence graph, its best nodes of each type, and the report."""
-    r = records.canonical(raw).withColumn("cited_by_count", F.coalesce("cited_by_count", F.lit(0)))
+    r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal").withColumn("cited_by_count", F.coalesce("cited_by_count", F.lit(0)))
     one = lambda c: F.array_compact(F.array(c))
-    fields = {"author": F.col("authors"), "affiliation": F.col("institutions"), "journal": one(F.col("source_name")), "topic": F.col("topics"), "year": one(F.col("publication_year").cast("string"))}
-    nodes = graph.top_typed(graph.evidence_nodes(r, fields, "title", "cited_by_count"), per_type, min_citations)
+    # in the order in which the reference adds a record's nodes
+    fields = {"author": F.col("authors"), "journal": one(F.col("source_name")), "year": one(F.col("publication_year").cast("string")), "topic": F.col("topics"), "affiliation": F.col("institutions")}
+    nodes = graph.top_typed(graph.evidence_nodes(r, fields, "title", "cited_by_count", "__ordinal"), per_type, min_citations)
     edges = graph.induced(graph.evidence_edges(r, fields, "title", "cited_by_count"), nodes, "id")
-    top = nodes.orderBy(F.desc("citations"), F.desc("occurrences"), "id").limit(20)
-    return {"nodes": nodes, "edges": edges, "top_nodes": top, "report": gates.evidence_report(nodes, edges)}
+    return {"nodes": nodes, "edges": edges, "top_nodes": graph.top_nodes(nodes), "report": gates.evidence_report(nodes, edges)}
 
 
 def plan_figures(raw: DataFrame, start: int, end: int, max_papers: int = 14) -> Tables:

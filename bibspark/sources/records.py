@@ -8,11 +8,13 @@ import time
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bibspark.functions import text as t
+from bibspark.sources.scans import ORDINAL, numbered, read_json_list
 
 #: Aliases of canonical fields; the first that is filled counts, for all operators alike.
 ALIASES = {
@@ -34,23 +36,20 @@ LISTS = ("authors", "institutions", "countries", "topics")
 FILTER = "from_publication_date:2000-01-01,to_publication_date:2025-12-31,language:en,type:article"
 
 
-def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """.json (a list of objects, or an object with a list `records`, unless strict), .jsonl
-    (an object a line; large files are split) or .csv with a header; entries that are no objects are
-    dropped."""
-    if path.lower().rstrip("/").endswith(".jsonl"):
-        return spark.read.json(path).drop("_corrupt_record").dropna(how="all")
-    if path.lower().endswith(".csv"):
-        return spark.read.option("header", True).option("multiLine", True).csv(path)
-    if strict and not path.lower().endswith(".json"):
+def read_records(spark: SparkSession, path: str, strict: bool = False, ordinal: str | None = None) -> DataFrame:
+    """.json (lists of objects, or objects with a list `records`, unless strict; each may be
+    large), .jsonl (an object a line) or .csv with a header; entries that are no objects are dropped.
+    ordinal: a column for the records' numbers, from 1, in the order of files and of entries."""
+    kind = path.lower().rstrip("/").rpartition(".")[2]
+    if kind == "csv":
+        df = spark.read.option("header", True).option("multiLine", True).csv(path)
+    elif kind == "jsonl":
+        df = spark.read.json(path).drop("_corrupt_record").dropna(how="all")
+    elif strict and kind != "json":
         raise ValueError(f"neither .json nor .csv: {path}")
-    df = spark.read.option("multiLine", True).json(path)
-    kind = dict(df.dtypes).get("records", "")
-    if kind.startswith("array<struct"):
-        if strict:
-            raise ValueError("a list of records is wanted")
-        df = df.select(F.inline("records"))
-    return df.drop("_corrupt_record").dropna(how="all")
+    else:
+        df = read_json_list(spark, path, strict)
+    return numbered(df, ordinal) if ordinal else df.drop(ORDINAL)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -199,16 +198,6 @@ def prefix(df: DataFrame, ordinal: str, n: int) -> DataFrame:
     return df.orderBy(ordinal).limit(n) if n else df
 
 
-def numbered(df: DataFrame, column: str = "ordinal") -> DataFrame:
-    """Df with each row's number in the order of its scan, from 1. Rows are counted by partition,
-    so that no task holds them all; df must be a scan, whose partitions keep their order."""
-    at = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the place within it
-    rows = df.withColumns({"__part": F.shiftright(at, 33), "__place": at.bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
-    return rows.join(F.broadcast(before), "__part").withColumn(column, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
-
-
 def ordinal_id(ordinal: Column, name: str) -> Column:
     """Name-001, name-002 ..."""
     text = ordinal.cast("string")
@@ -252,6 +241,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_json_lists(df: DataFrame, path: str) -> None:
+    """The counterpart of read_records for .json: each partition's rows as a file with one JSON list."""
+    def listed(batches):
+        before = "["
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [(before if not k else ",") + r for k, r in enumerate(rows)]})
+            before = "," if rows else before
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(listed, "value string").write.text(path)
+
+
 def mods(df: DataFrame) -> Column:
     """A MODS document for each row with title, authors, year, work_type, doi, source_name,
     abstract, topics and, where df has them, subtitle, publisher, date, openalex_id, issn, volume,

@@ -126,7 +126,7 @@ def test_expansion(spark):
     from bibspark.plans import workflows
 
     out = workflows.expand_corpus(old, new, [("A", 1), ("B", 1)], 1, "T c2")
-    assert {r.corpus_id for r in out["selected"].collect()} == {"c2", "c4"} and out["expanded"].count() == 3
+    assert {(r.corpus_id, r.title) for r in out["selected"].collect()} == {("expanded-001", "T c2"), ("expanded-002", "T c4")} and out["expanded"].count() == 3
     assert out["gate"].first().passed and not workflows.expand_corpus(old, new, [("A", 2)], 1, "T c2")["gate"].first().passed
 
 
