@@ -137,21 +137,34 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
     """vectors (vec_id, embedding, more) -> vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, nor do
-    those of another length than the most frequent one or those without a vec_id (their component
-    is their own vec_id). Rows repeated with their vec_id count as one vector and keep their rows.
+    those without a vec_id (their component is their own vec_id). Vectors of different lengths do not
+    link; each length has an index of its own. Rows repeated with their vec_id count as one vector and keep their rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, at most 1")
-    spark = vectors.sparkSession
     own = c.materialize(units(vectors))
     usable = own.where("key is not null and vec_id is not null")
-    lengths = usable.groupBy(F.length("vec").alias("l")).count().orderBy(F.desc("count"), "l").first()
-    usable = usable.where(F.length("vec") == (lengths["l"] if lengths else 0))
     classes = c.materialize(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"), F.min("vec").alias("vec")))
-    n = classes.count()
-    index = fit(classes, n)
-    if index is None:
+    found = None
+    for length, n in sorted(tuple(r) for r in classes.groupBy(F.length("vec")).count().collect()):  # a row a length
+        links = _linked(classes.where(F.length("vec") == length), n, threshold, probes)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    roots = c.components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select("key", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = own.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def _linked(classes: DataFrame, n: int, threshold: float, probes: int) -> DataFrame:
+    """The n classes (rep, n, vec) of one length -> rows rep, links, root: links found, and by root the
+    edges of a forest that joins what is linked."""
+    spark = classes.sparkSession
+    index = fit(classes, n)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
     def place(batches):
@@ -217,14 +230,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
             out["root"] = [*([None] * int((b_links > 0).sum() + (q_links > 0).sum())), *low]
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    found = c.materialize(base.groupBy("list", "piece", "turn").cogroup(asks.groupBy("q_list", "q_piece", "q_turn")).applyInArrow(meet, "rep long, links long, root long"))
-    roots = c.components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.select("key", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = own.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    return c.materialize(base.groupBy("list", "piece", "turn").cogroup(asks.groupBy("q_list", "q_piece", "q_turn")).applyInArrow(meet, "rep long, links long, root long"))
 
 
 def forest(edges: np.ndarray):
