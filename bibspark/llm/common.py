@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -183,9 +184,18 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    h = prefix_hash(buf, base)
-    return mix((h[ends] - h[starts]) * powers(inverse(base), len(buf) + 1)[starts])
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each word of word_spans(). The distinct words of the buffer
+    are told apart as they are, byte by byte, so that each is digested once. No words can be made up to
+    share a digest, as they can for polynomial hashes modulo 2**64."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    letters = ~SPACE[buf]
+    before = np.cumsum(letters, dtype=np.int64)
+    bounds = np.append(before[starts] - 1, before[-1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(buf[letters].tobytes())]).dictionary_encode()
+    digests = b"".join(blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
+    return np.frombuffer(digests, U64)[words.indices.to_numpy()]
 
 
 # ---------------------------------------------------------------- text blocks

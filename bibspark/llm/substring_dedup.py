@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Documents become blocks. Each block hashes all its windows (a polynomial over word hashes modulo
+Documents become blocks. Each block hashes all its windows (a polynomial over the words' digests modulo
 2**64, by prefix sums), keeps each distinct hash once with the smallest doc_id that holds it, and
 sends the sorted hashes, packed, to the bucket of their leading bits. A bucket finds for each hash
 the smallest doc_id of all and answers each block with one bit per hash: does it start in a
