@@ -12,9 +12,12 @@ permuted in a canonical form (digits of a phone number, small letters of an addr
 mention's punctuation and case are put back. Cards and bank accounts keep their check digits' validity, addresses
 their ranges, phone numbers their country code.
 
-Names go the same way: the letters of a part, as a number of its length, are permuted and spelled in
-syllables of its script, so that different names stay different in the whole corpus and a name has
-one spelling whatever its document; a given name gets an ending of the title's gender.
+Names go the same way: the letters of a part are permuted among the words with vowels and consonants in
+the same places, so that a surrogate has the script, length, capitals and shape of its name, different
+names stay different in the whole corpus and a name has one surrogate whatever its document; a given
+name gets an ending of the title's gender. Particles, hyphens and apostrophes stay. What stands alone
+elsewhere in a document is a mention of a name found there if it is one of its parts, of three letters or
+more, as a whole word with a capital; it gets the same surrogate.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import hashlib
 import ipaddress
 import math
 import re
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,17 +36,14 @@ from pyspark.sql import functions as F
 KEY = b"surrogates-1"
 ROUNDS = 8
 
-# fixed values: titles by gender, and the syllables that surrogate names are spelled with
+# fixed values: titles by gender, particles of names, and the endings of given names
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "господин", "г-н", "κύριος", "Κος"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "госпожа", "г-жа", "κυρία", "Κα"),
     "n": ("Dr", "Prof"),
 }
-SYLLABLES = {
-    "latin": ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "ra", "re", "ri", "ro", "sa", "se", "ta"),
-    "cyrillic": ("ба", "бе", "бо", "ва", "ве", "га", "го", "да", "де", "до", "за", "ка", "ке", "ко", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "мо", "на", "не", "ни", "но", "ра", "ре", "ри", "ро", "са", "та"),
-    "greek": ("βα", "βε", "γα", "γο", "δα", "δε", "δο", "ζα", "θα", "θε", "κα", "κε", "κο", "λα", "λε", "λι", "λο", "μα", "με", "μι", "μο", "να", "νε", "νι", "νο", "ρα", "ρε", "ρι", "ρο", "σα", "σε", "τα"),
-}
+PARTICLES = "af al av bin da de del della den der des di dos du el ibn la las le los ten ter van von y zu zum zur".split()
+CAPITAL_PARTICLES = "De Del Della Den Der Di Du La Le Ter Van Von".split()
 ENDINGS = {
     "latin": {"m": "n", "f": "na", "n": "l"},
     "cyrillic": {"m": "н", "f": "на", "n": "й"},
@@ -49,7 +51,31 @@ ENDINGS = {
 }
 
 _titles = "|".join(re.escape(t) for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
-_name_part = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЁА-Я][a-zß-öø-ÿά-ώα-ωёа-я]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?"
+
+
+def _alphabets() -> tuple[str, ...]:
+    """Small letters of the scripts, vowels and consonants, plain and marked, apart; only letters whose
+    capital is one letter and theirs alone."""
+    scripts = (([*range(0x61, 0x7B), *range(0xDF, 0x180)], "aeiouæøœı"), (range(0x3AC, 0x3CF), "αεηιουω"), (range(0x430, 0x460), "аеиоуыэюяёіїє"))
+    out = []
+    for letters, vowels in scripts:
+        groups: dict[tuple[bool, bool, int], str] = {}
+        for ch in map(chr, letters):
+            if ch.islower() and len(ch.upper()) == 1 and ch.upper().lower() == ch:
+                kind = (unicodedata.normalize("NFD", ch)[0] in vowels, len(unicodedata.normalize("NFD", ch)) > 1 or ord(ch) >= 0xDF and ch < "Ͱ")
+                groups[*kind, ord(ch) >> 8] = groups.get((*kind, ord(ch) >> 8), "") + ch
+        out += groups.values()
+    return tuple(out)
+
+
+NAME_LETTERS = _alphabets()
+_small = "".join(NAME_LETTERS) + "ßςŉ"
+_big = "".join(NAME_LETTERS).upper()
+_letter = f"[{_small}{_big}]"
+#: A part of a name: a capital and more letters, with apostrophes and hyphens inside, but no possessive s.
+_name_part = rf"[{_big}](?:{_letter}|['’](?!s\b){_letter}|-{_letter})+"
+_between = rf" (?:(?:{'|'.join(PARTICLES)}) )*"
+PART = re.compile(rf"(?<![\w'’-]){_name_part}(?!\w|-\w)")
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))"
@@ -63,7 +89,7 @@ PATTERN = re.compile(
     r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d))"
     r"|(?P<pan>(?<![\w.+-])(?:\d{13,19}|3[0689]\d{2}[ -]\d{6}[ -]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{3})(?![\w-]|\.\d))"
     r"|(?P<tel>(?<![\w.+-])(?:\+[1-9](?:[ ./-]?\(\d{1,5}\)|[ ./-]?\d){6,14}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|[2-9]\d{2}[2-9]\d{6})(?![\w-]|\.\d))"
-    rf"|(?P<title>\b(?P<which>{_titles})\.?) (?P<name>{_name_part}(?: {_name_part}){{0,2}})"
+    rf"|(?P<title>\b(?P<which>{_titles})\.?){_between}(?P<name>(?:[{_big}]\. ?)*{_name_part}(?:{_between}(?!(?:{_titles})\b){_name_part}){{0,2}})"
 )
 #: A text without any of these holds no entity.
 HINT = re.compile(rf"[0-9@]|(?i:token|secret|passw|pwd|key)|\b(?:{_titles})\b")
@@ -180,9 +206,8 @@ def email(s: str, key: bytes) -> str:
     low = s.lower()
     labels = low.partition("@")[2].split(".")
     fixed = 2 if labels[-2] == "example" else 1
-    tail = "." + ".".join(labels[-fixed:])
-    head = low[: len(low) - len(tail)]
-    return with_case(s, permute_classes(head, key, b"email" + tail.encode()) + tail)
+    cut = len(low) - len(".".join(labels[-fixed:])) - 1  # at a dot, or at the @
+    return with_case(s, permute_classes(low[:cut], key, b"email" + low[cut:].encode()) + low[cut:])
 
 
 #: Prefixes (value, bits) whose addresses stay among themselves, the longest first; all others are one more range.
@@ -289,40 +314,72 @@ def script(s: str) -> str:
     return "cyrillic" if re.search(r"[Ѐ-ӿ]", s) else "greek" if re.search(r"[Ͱ-Ͽ]", s) else "latin"
 
 
-#: Small letters of each script, at most 64.
-LETTERS = {
-    "latin": LOWER + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])),
-    "cyrillic": "".join(map(chr, range(0x430, 0x450))) + "ё",
-    "greek": "".join(map(chr, range(0x3AC, 0x3CF))),
-}
-
-
+@lru_cache(4096)
 def spell(word: str, key: bytes) -> str:
-    """An injective spelling: 6 bits a letter, permuted among words of one length, 5 bits a syllable,
-    so that the number of syllables tells the length. Words of mixed scripts take 16 bits a letter
-    and end in a consonant, as no other does."""
-    kind = script(word)
-    plain = all(ch in LETTERS[kind] for ch in word)
-    bits = 6 if plain else 16
+    """A word in small letters -> another of its length, with vowels for vowels and consonants for
+    consonants, marked for marked; other characters stay. A permutation of the words of one shape."""
     out = []
-    for part, t in blocks(word, f"name|{kind}|{bits}|{len(word)}".encode()):
-        value = 0
-        for ch in part:
-            value = value << bits | (LETTERS[kind].index(ch) if plain else ord(ch))
-        value = permute(value, 1 << bits * len(part), key, t)
-        out += [SYLLABLES[kind][value >> 5 * j & 31] for j in range(-(-bits * len(part) // 5))]
-    return "".join(out) if plain else "".join(out) + SYLLABLES[kind][0][0]
+    for part, t in blocks(word, b"name"):
+        where = [(at, next((k for k, x in enumerate(NAME_LETTERS) if ch in x), None)) for at, ch in enumerate(part)]
+        where = [(at, k) for at, k in where if k is not None]
+        value, n = 0, 1
+        for at, k in where:
+            value = value * len(NAME_LETTERS[k]) + NAME_LETTERS[k].index(part[at])
+            n *= len(NAME_LETTERS[k])
+        shape = list(part)
+        for at, k in where:
+            shape[at] = chr(0xE000 + k)
+        new = list(part)
+        value = permute(value, n, key, t + "".join(shape).encode()) if n > 1 else value
+        for at, k in reversed(where):
+            value, x = divmod(value, len(NAME_LETTERS[k]))
+            new[at] = NAME_LETTERS[k][x]
+        out.append("".join(new))
+    return "".join(out)
+
+
+def name_parts(s: str) -> list[tuple[str, bool]]:
+    """The words of a name that are replaced, and whether each is a given name; the last one is the
+    family's, and so is one that stands alone."""
+    words = [w for w in re.split(r"[ .]+", s) if w]
+    words = [w for w in words[:-1] if not is_particle(w)] + words[-1:]
+    return [(w, k < len(words) - 1) for k, w in enumerate(words)]
+
+
+def is_particle(word: str) -> bool:
+    """Whether a word that is not a name's last is a particle, which stays."""
+    return word in PARTICLES or word in CAPITAL_PARTICLES
+
+
+def part_surrogate(word: str, given: bool, gender: str, key: bytes) -> str:
+    new = with_case(word, spell(word.lower(), key))
+    ending = ENDINGS[script(word)][gender] if given and len(word) > 1 else ""
+    return new + (ending.upper() if len(word) > 1 and word.isupper() else ending)
 
 
 def name(s: str, gender: str, key: bytes) -> str:
-    """One spelled word for each part of the name; a part that is alone or last is a family name
-    and keeps its surrogate whatever stands before it."""
-    parts = re.split(r"([ -])", s)
-    last = max(k for k, p in enumerate(parts) if p not in " -")
-    for k, p in enumerate(parts):
-        if p not in " -":
-            parts[k] = (spell(p.lower(), key) + ("" if k == last else ENDINGS[script(p)][gender])).capitalize()
-    return "".join(parts)
+    """A surrogate for each part of the name, in the places of the parts."""
+    parts, end = iter(name_parts(s)), len(s.rstrip(" ."))
+    return re.sub(r"[^ .]+", lambda m: m[0] if m.end() < end and is_particle(m[0]) else part_surrogate(*next(parts), gender, key), s)
+
+
+def mentions(text: str, found: list[tuple[str, int, int, str]]):
+    """(start, end, word, given, gender) of the words outside found that are parts of names in it."""
+    known: dict[str, tuple[bool, str]] = {}
+    for kind, start, end, gender in found:
+        if kind == "name":
+            for word, given in name_parts(text[start:end]):
+                if len(word) > 2 and (word.lower() not in known or not given):
+                    known[word.lower()] = (given, gender)
+    if not known:
+        return
+    spans = iter([*[(start, end) for _, start, end, _ in found], (len(text), len(text))])
+    start, end = next(spans)
+    for m in PART.finditer(text):
+        while end <= m.start() and start < len(text):
+            start, end = next(spans)
+        if m.end() <= start and (hit := known.get(m[0].lower())) is not None:
+            yield m.start(), m.end(), m[0], *hit
 
 
 def find(text: str):
@@ -353,9 +410,10 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[dict]]
     if not text or not HINT.search(text):
         return text, []
     out, made, at, shift = [], [], 0, 0
-    for kind, start, end, gender in find(text):
-        old = text[start:end]
-        new = name(old, gender, key) if kind == "name" else MAKE[kind](old, key)
+    found = list(find(text))
+    new_text = [(start, end, kind, name(text[start:end], gender, key) if kind == "name" else MAKE[kind](text[start:end], key)) for kind, start, end, gender in found]
+    new_text += [(start, end, "name", part_surrogate(word, given, gender, key)) for start, end, word, given, gender in mentions(text, found)]
+    for start, end, kind, new in sorted(new_text):
         out += [text[at:start], new]
         made.append({"type": kind, "start": start + shift, "end": start + shift + len(new), "surrogate": new})
         shift += len(new) - (end - start)
