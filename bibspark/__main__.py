@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from bibspark.plans import remote_runs
 from bibspark.plans import workflows as w
-from bibspark.sources import records
+from bibspark.sources import records, remote
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -33,11 +35,22 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--min-words", type=int, default=0)
     p.add_argument("--min-figures", type=int, default=0)
     p.add_argument("--language", choices=("any", "english"), default="any")
+    p.add_argument("--remote", action="store_true", help="ask Crossref and the index (metadata, mods); answers are landed in OUTPUT/landing")
+    p.add_argument("--email", default="", help="contact that the index is given")
+    p.add_argument("--per-second", type=float, default=remote.PER_SECOND, help="requests a second, all tasks together")
+    p.add_argument("--lanes", type=int, default=remote.LANES)
+    p.add_argument("--retries", type=int, default=2)
+    p.add_argument("--timeout", type=float, default=30.0)
+    p.add_argument("--force", action="store_true", help="write files that exist again (mods --remote)")
+    p.add_argument("--crossref-base", help="address that a DOI is added to")
+    p.add_argument("--index-base", help="address that a work's id is added to")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("bibspark").getOrCreate()
     if a.run == "check":  # input: text files
         docs = spark.read.option("wholetext", True).text(a.input).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
         tables = w.check_documents(docs, min_words=a.min_words, min_figures=a.min_figures, language=a.language)
+    elif a.remote:
+        return remote_run(spark, a)
     else:
         raw = records.prefix(records.read_records(spark, a.input, ordinal=records.ORDINAL), records.ORDINAL, a.limit)
         tables = {
@@ -54,5 +67,22 @@ def main(argv: list[str] | None = None) -> int:
     return int(any(not df.where("not passed").isEmpty() for df in verdicts))
 
 
+def remote_run(spark: SparkSession, a: argparse.Namespace) -> int:
+    """metadata: paper_metadata as JSON and CSV. mods: a file a record and the manifest; 1 if a record
+    has failed."""
+    if a.run not in ("metadata", "mods"):
+        raise SystemExit(f"--remote is for metadata and mods, not for {a.run}")
+    raw = records.prefix(records.read_records(spark, a.input, strict=True, ordinal=records.ORDINAL), records.ORDINAL, a.limit)
+    out = a.output.rstrip("/")
+    how = {"email": a.email, "index_base": a.index_base, "lanes": a.lanes, "per_second": a.per_second, "retries": a.retries, "get": partial(remote.http_get, timeout=a.timeout, agent=f"bibspark ({a.email})" if a.email else "bibspark")}
+    if a.run == "metadata":
+        rows = remote_runs.metadata(raw, f"{out}/landing", **how)
+        w.write({"paper_metadata": rows}, out, a.format)
+        remote_runs.metadata_file(rows).write.mode("overwrite").option("header", True).csv(f"{out}/paper_metadata_csv")
+        return 0
+    manifest = remote_runs.mods_documents(raw, f"{out}/landing", out, force=a.force, crossref_base=a.crossref_base, **how)
+    return int(not manifest.where("status = 'failed'").isEmpty())
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -284,6 +284,7 @@ def mods(df: DataFrame) -> Column:
         F.transform(issn, lambda x: typed("issn", x)).alias("identifier"),
         F.when((F.size(details) > 0) | extent.isNotNull(), F.struct(details.alias("detail"), extent.alias("extent"))).alias("part"),
     )
+    urls = F.col("urls") if "urls" in df.columns else F.filter(F.array(field("url")), lambda x: x.isNotNull())
     name = lambda a: F.struct(F.lit("personal").alias("_type"), a.alias("namePart"), F.struct(F.struct(F.lit("text").alias("_type"), F.lit("author").alias("_VALUE")).alias("roleTerm")).alias("role"))
     return F.to_xml(
         F.struct(
@@ -292,11 +293,11 @@ def mods(df: DataFrame) -> Column:
             F.transform("authors", name).alias("name"),
             F.struct(field("publisher").alias("publisher"), issued.alias("dateIssued")).alias("originInfo"),
             F.col("work_type").alias("genre"),
-            F.array_compact(F.array(whole(field("doi"), typed("doi", field("doi"))), whole(field("openalex_id"), typed("openalex", field("openalex_id"))))).alias("identifier"),
-            host.alias("relatedItem"),
+            F.concat(F.array_compact(F.array(whole(field("doi"), typed("doi", field("doi"))), whole(field("openalex_id"), typed("openalex", field("openalex_id"))))), F.coalesce(F.transform(field("isbn", "array<string>"), lambda x: typed("isbn", x)), F.array().cast("array<struct<_type:string,_VALUE:string>>"))).alias("identifier"),
+            F.when(F.coalesce("source_name", F.lit("")) != "", host).alias("relatedItem"),
             F.col("abstract").alias("abstract"),
             F.transform("topics", lambda x: F.struct(x.alias("topic"))).alias("subject"),
-            whole(field("url"), F.struct(field("url").alias("url"))).alias("location"),
+            F.when(F.size(urls) > 0, F.struct(urls.alias("url"))).alias("location"),
         ),
         {"rowTag": "mods"},
     )
