@@ -7,7 +7,6 @@ import sys
 from functools import partial
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from bibspark.plans import remote_runs
 from bibspark.plans import workflows as w
@@ -35,6 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--min-words", type=int, default=0)
     p.add_argument("--min-figures", type=int, default=0)
     p.add_argument("--language", choices=("any", "english"), default="any")
+    p.add_argument("--ledger", help="evidence ledger beside the document (check)")
+    p.add_argument("--questions", default="", help="research questions that the ledger must cover, by commas (check)")
+    p.add_argument("--figure-report", action="append", help="report beside the document that must have passed (check); may be repeated")
     p.add_argument("--remote", action="store_true", help="ask Crossref and the index (metadata, mods); answers are landed in OUTPUT/landing")
     p.add_argument("--email", default="", help="contact that the index is given")
     p.add_argument("--per-second", type=float, default=remote.PER_SECOND, help="requests a second, all tasks together")
@@ -46,9 +48,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--index-base", help="address that a work's id is added to")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("bibspark").getOrCreate()
-    if a.run == "check":  # input: text files
-        docs = spark.read.option("wholetext", True).text(a.input).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
-        tables = w.check_documents(docs, min_words=a.min_words, min_figures=a.min_figures, language=a.language)
+    if a.run == "check":  # input: a folder, or one .tex file
+        one = a.input.lower().endswith(".tex")
+        folder, _, name = a.input.rpartition("/") if one else (a.input, "", "")
+        questions = [q.strip().upper() for q in a.questions.split(",") if q.strip()]
+        tables = w.check_folder(spark, folder or ".", f"/{name}" if one else None, a.ledger, questions or None, a.figure_report, min_words=a.min_words, min_figures=a.min_figures, language=a.language)
     elif a.remote:
         return remote_run(spark, a)
     else:
@@ -63,7 +67,8 @@ def main(argv: list[str] | None = None) -> int:
             "figures": lambda: w.plan_figures(raw, a.start, a.end, a.max_papers),
         }[a.run]()
     w.write(tables, a.output, a.format)
-    verdicts = [df for df in tables.values() if "passed" in df.columns]
+    written = lambda name, df: getattr(spark.read.schema(df.schema), a.format)(f"{a.output.rstrip('/')}/{name}")
+    verdicts = [written(name, df) for name, df in tables.items() if "passed" in df.columns]
     return int(any(not df.where("not passed").isEmpty() for df in verdicts))
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as t
 from bibspark.operators import aggregates as agg
 from bibspark.operators import classify, dedup, enrich, gates, graph, search, textgate
 from bibspark.operators import taxonomy as tx
-from bibspark.sources import records
+from bibspark.sources import documents, records
 
 #: Caps of the six-type graph; papers are capped by max_papers.
 CAPS = {"journal": 9, "author": 12, "topic": 8, "year": 10, "citation": 5}
@@ -180,9 +180,23 @@ def plan_figures(raw: DataFrame, start: int, end: int, max_papers: int = 14) ->
     return out | {"topic_year": agg.topic_year_share(r, start, end)}
 
 
-def check_documents(documents: DataFrame, bibliography: DataFrame | None = None, files: DataFrame | None = None, **limits) -> Tables:
+def check_documents(texts: DataFrame, bibliography: DataFrame | None = None, files: DataFrame | None = None, **limits) -> Tables:
     """O8."""
-    return {"report": textgate.document_report(documents, bibliography, files, **limits)}
+    return {"report": textgate.document_report(texts, bibliography, files, **limits)}
+
+
+def check_folder(spark: SparkSession, folder: str, document: str | None = None, ledger: str | None = None, questions: list[str] | None = None, reports: list[str] | None = None, **limits) -> Tables:
+    """O8 for the .tex files below a folder (or one of them, by its path), with the .bib files,
+    graphics, ledger and figure reports that stand beside them. Names are those in the documents, or relative
+    to each document's folder. Questions without a ledger are an error."""
+    files = documents.scan(spark, folder)
+    texts = documents.manuscripts(files)
+    texts = texts if document is None else texts.where(F.endswith("doc_id", F.lit(document)))
+    claims = documents.ledgers(texts, files, ledger) if ledger else None
+    if questions and not ledger:
+        claims = texts.select("doc_id", F.lit(0).alias("nth"), F.lit("questions without a ledger").alias("fault"), F.from_json(F.lit("{}"), documents.CLAIM).alias("c")).select("doc_id", "nth", "fault", "c.*")
+    figures = documents.figure_reports(texts, files, reports) if reports else None
+    return {"report": textgate.document_report(texts, files=files, claims=claims, questions=questions, figure_reports=figures, **limits)}
 
 
 def screening_flow(nodes: DataFrame, edges: DataFrame) -> Tables:

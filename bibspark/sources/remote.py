@@ -192,6 +192,8 @@ class FileWriter(DataSourceWriter):
                 if text is not None:
                     path = f"{root}/{line['name']}"
                     beside = f"{root}/.{uuid.uuid4().hex}.tmp"
+                    if "/" in line["name"]:
+                        store.create_dir(path.rpartition("/")[0], recursive=True)
                     with store.open_output_stream(beside) as file:
                         file.write(text.encode())
                     store.move(beside, path)
