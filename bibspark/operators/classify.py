@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.functions.text import collapse
 from bibspark.operators import taxonomy as t
 
 
@@ -24,10 +25,15 @@ def score(rule: t.Rule, sections: dict[str, Column], weights=t.WEIGHTS) -> Colum
     return _total([F.when(matches(s, p), F.lit(weights[k])).otherwise(F.lit(0.0)) for p in rule.patterns for k, s in sections.items()])
 
 
-def evidence(rule: t.Rule, sections: dict[str, Column]) -> Column:
-    """The first match of each pattern and section, as section:text, distinct."""
-    found = [F.when(matches(s, p), F.concat(F.lit(f"{k}:"), F.substring(F.regexp_extract(s, f"(?iU){p}", 0), 1, 100))) for p in rule.patterns for k, s in sections.items()]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def matched_evidence(sections: dict[str, Column], rules=t.EDUCATION_RULES) -> Column:
+    """A map from the codes of the rules that match to where they do: section:text of the first
+    match of each pattern in each section (white space collapsed, 100 characters at most), pattern by
+    pattern, each once."""
+    def found(rule: t.Rule) -> Column:
+        one = lambda p, k, s: F.when(matches(s, p), F.concat(F.lit(f"{k}:"), F.substring(collapse(F.regexp_extract(s, f"(?iU){p}", 0)), 1, 100)))
+        return F.array_distinct(F.array_compact(F.array(*[one(p, k, s) for p in rule.patterns for k, s in sections.items()])))
+
+    return F.map_filter(F.create_map(*[x for r in rules for x in (F.lit(r.code), found(r))]), lambda _, v: F.size(v) > 0)
 
 
 def with_scores(df: DataFrame, rules=t.EDUCATION_RULES, sections: dict[str, Column] | None = None, weights=t.WEIGHTS) -> DataFrame:

@@ -28,7 +28,7 @@ def works_found(answers: DataFrame) -> DataFrame:
         "query", "position", F.regexp_replace("id", "^https?://openalex.org/", "").alias("openalex_id"), t.normalize_doi(F.col("doi")).alias("doi"), t.normalize_space(F.col("title")).alias("title"),
         t.from_inverted(F.col("abstract_inverted_index")).alias("abstract"), "publication_year", F.col("type").alias("work_type"), F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"),
         F.coalesce("is_retracted", F.lit(False)).alias("is_retracted"), F.coalesce("primary_location.source.is_core", F.lit(False)).alias("is_core"), "authors", "institutions", "countries", "source_name",
-        t.unite(names("topics"), names("keywords"), names("concepts")).alias("topics"),
+        t.unite(names("topics"), names("keywords"), names("concepts")).alias("topics"), t.filled(names("topics")).alias("concepts"), t.filled(names("keywords")).alias("keywords"),
     )
 
 
@@ -49,10 +49,9 @@ def judged(found: DataFrame, originals: DataFrame, queries: dict[str, tuple[str,
     rows = found.join(F.broadcast(asked), "query")  # a row a query
     rows = rows.withColumn("keys", dedup.dedup_keys(F.col("openalex_id"), F.col("doi"), t.normalize_title(F.col("title"))))
     rows = rows.withColumn("arrival", F.concat_ws("|", F.lpad(F.col("asked").cast("string"), 6, "0"), F.lpad(F.col("position").cast("string"), 6, "0"))).drop("asked")
-    concepts = F.array_join("topics", " ")
-    sections = {"title": F.col("title"), "abstract": F.coalesce("abstract", F.lit("")), "concepts": concepts}
-    text = F.concat_ws(" ", "title", "abstract", concepts)
-    rows = classify.classify(rows, tx.EDUCATION_RULES, sections, scope_text=text)
+    sections = {"title": F.col("title"), "abstract": F.coalesce("abstract", F.lit("")), "concepts": F.array_join("concepts", " ; "), "keywords": F.array_join("keywords", " ; ")}
+    text = F.concat_ws(" ", "title", "abstract")  # what a direction is matched with
+    rows = classify.classify(rows, tx.EDUCATION_RULES, sections, scope_text=F.concat_ws(" ", text, F.array_join("concepts", " ")))
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     is_reference = t.normalize_title(F.col("title")) == t.normalize_title(F.lit(reference_title))
 

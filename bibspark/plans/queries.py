@@ -54,17 +54,23 @@ def on_works(sql: str):
     return query(WORKS_SQL + sql)
 
 
+def told(df: DataFrame, *names: str) -> DataFrame:
+    """df with a flag name_is_null for each name, and then without nulls: compared values stay plain,
+    and a null is told from what stands in its place."""
+    return df.withColumns({f"{n}_is_null": F.col(n).isNull() for n in names}).fillna(-1).fillna("")
+
+
 def texts(spark, d) -> DataFrame:
     x = F.coalesce("text", F.lit(""))
     return records.spread(table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars", F.substring(x, 1, 40).alias("title"), x.alias("abstract"))
 
 
 # ---------------------------------------------------------------- projections
-@on_works("SELECT title, year AS publication_year, source_name, citations AS cited_by_count, array_to_string(authors, '; ') AS authors, array_to_string(institutions, '; ') AS institutions, array_to_string(countries, '; ') AS countries, array_to_string(topics, '; ') AS topics, '' AS abstract, work_type, '' AS doi, work_id::VARCHAR AS openalex_id FROM works")
+@on_works("SELECT title, year AS publication_year, source_name, citations AS cited_by_count, array_to_string(authors, '; ') AS authors, array_to_string(institutions, '; ') AS institutions, array_to_string(countries, '; ') AS countries, array_to_string(topics, '; ') AS topics, '' AS abstract, work_type, '' AS doi, work_id::VARCHAR AS openalex_id, false AS title_is_null, source_name IS NULL AS source_name_is_null, true AS abstract_is_null, true AS doi_is_null FROM works")
 def works_canonical(spark, d):
     """Works under other names of their fields, made canonical, flat."""
     other = {"work_id": "id", "source_name": "journal", "work_type": "type", "institutions": "affiliations", "countries": "country_codes", "topics": "keywords", "citations": "cited_by"}
-    return records.flat(records.canonical(works(spark, d).withColumnsRenamed(other))).fillna("")
+    return told(records.flat(records.canonical(works(spark, d).withColumnsRenamed(other))), "title", "source_name", "abstract", "doi")
 
 
 @on_works("SELECT work_id, title, year, citations FROM works WHERE title <> '' AND year IS NOT NULL AND len(authors) > 0 AND source_name <> '' AND len(topics) > 0")
@@ -401,6 +407,23 @@ def topic_scores(spark, d):
     return t.unroll(classify.with_scores(texts(spark, d), RULES, weights=SECTION_WEIGHTS), "doc_id", array=F.col("ranked"), key="code")
 
 
+def _found_sql(k: int, pattern: str, name: str) -> str:
+    return f"SELECT doc_id, {k} AS k, '{name}:' || substr(trim(regexp_replace(regexp_extract({name}, $$(?i){pattern}$$), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 100) AS marker FROM texts WHERE regexp_matches({name}, $$(?i){pattern}$$)"
+
+
+EVIDENCE_SQL = TEXTS_SQL + ", hits AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{r.code}' AS code, k, marker FROM ({_found_sql(k, p, s)})" for r in RULES for k, (p, s) in enumerate((p, s) for p in r.patterns for s in SECTION_WEIGHTS)
+) + "), firsts AS (SELECT doc_id, code, marker, min(k) AS k FROM hits GROUP BY ALL) SELECT doc_id, code, string_agg(marker, ' | ' ORDER BY k) AS evidence FROM firsts GROUP BY 1, 2"
+
+
+@query(EVIDENCE_SQL)
+def topic_evidence(spark, d):
+    """Where the rules match."""
+    x = texts(spark, d)
+    found = x.select("doc_id", F.explode(classify.matched_evidence({s: F.col(s) for s in SECTION_WEIGHTS}, RULES)).alias("code", "markers"))
+    return found.select("doc_id", "code", F.array_join("markers", " | ").alias("evidence"))
+
+
 @query(CLASS_SQL + "SELECT doc_id, in_scope, primary_code, confidence FROM cls")
 def classify_primary(spark, d):
     return _classified(spark, d).select("doc_id", "in_scope", "primary_code", "confidence")
@@ -717,16 +740,17 @@ def index_records(spark, d):
 
 
 @on_works("""SELECT work_id, CASE WHEN work_id % 5 = 0 THEN -1 ELSE year END AS year, (citations * 1000 + 500) / 1000.0::DOUBLE AS cites, CASE WHEN work_id % 2 = 0 THEN -1 ELSE citations END AS whole,
-CASE WHEN status = 'P' THEN '' ELSE work_type END AS kind, work_id // 7 || '' AS first_page, CASE WHEN work_id % 3 = 0 THEN '' ELSE (work_id // 7 + 9) || '' END AS last_page FROM works""")
+CASE WHEN status = 'P' THEN '' ELSE work_type END AS kind, work_id // 7 || '' AS first_page, CASE WHEN work_id % 3 = 0 THEN '' ELSE (work_id // 7 + 9) || '' END AS last_page, work_id % 5 = 0 AS year_is_null, false AS kind_is_null, work_id % 3 = 0 AS last_page_is_null FROM works""")
 def parsed_fields(spark, d):
     """N6, N7a, N7b, N8, N18."""
     n = F.col("citations")
     pages = t.page_range(F.concat((F.col("work_id") / 7).cast("long"), F.when(F.col("work_id") % 3 == 0, "").otherwise(F.concat(F.lit(" - "), (F.col("work_id") / 7).cast("long") + 9))))
-    return works(spark, d).select(
+    rows = works(spark, d).select(
         "work_id", t.parse_year(F.when(F.col("work_id") % 5 == 0, "soon").otherwise(F.concat("year", F.lit(".5")))).alias("year"),
         t.parse_citations(F.concat(n, F.lit(".5"))).alias("cites"), t.integer(F.when(F.col("work_id") % 2 == 0, "x").otherwise(F.concat(n, F.lit(".9"))), -1).alias("whole"),
         t.label_or_empty(F.when(F.col("status") == "P", " N/A ").otherwise(F.col("work_type"))).alias("kind"), pages["first"].alias("first_page"), pages["last"].alias("last_page"),
-    ).fillna(-1).fillna("")
+    )
+    return told(rows, "year", "kind", "last_page")
 
 
 @on_works("SELECT work_id, array_to_string(list_concat(topics, CASE WHEN source_name IS NULL OR list_contains(list_transform(topics, lambda x: lower(x)), lower(source_name)) THEN [] ELSE [source_name] END), '; ') AS labels FROM works")
@@ -736,11 +760,11 @@ def united_labels(spark, d):
     return w.select("work_id", F.array_join(t.unite(F.col("topics"), F.transform("topics", lambda x: F.upper(x)), F.array_compact(F.array("source_name"))), "; ").alias("labels"))
 
 
-@on_works("SELECT CASE WHEN work_id % 3 = 0 THEN 'https://api.openalex.org/works/W' || work_id WHEN work_id % 3 = 1 THEN 'https://api.openalex.org/works/https%3A%2F%2Fdoi.org%2F10.1%2F' || work_id ELSE '' END AS url, work_id FROM works")
+@on_works("SELECT CASE WHEN work_id % 3 = 0 THEN 'https://api.openalex.org/works/W' || work_id WHEN work_id % 3 = 1 THEN 'https://api.openalex.org/works/https%3A%2F%2Fdoi.org%2F10.1%2F' || work_id ELSE '' END AS url, work_id % 3 = 2 AS url_is_null, work_id FROM works")
 def reference_urls(spark, d):
     """E3."""
     i = F.col("work_id")
-    return works(spark, d, "work_id").select("work_id", records.work_url(F.when(i % 3 == 0, F.concat(F.lit("W"), i)), F.when(i % 3 == 1, F.concat(F.lit("10.1/"), i))).alias("url")).fillna("")
+    return told(works(spark, d, "work_id").select("work_id", records.work_url(F.when(i % 3 == 0, F.concat(F.lit("W"), i)), F.when(i % 3 == 1, F.concat(F.lit("10.1/"), i))).alias("url")), "url")
 
 
 @on_works("""SELECT work_id, string_agg(s, ' | ' ORDER BY k) AS text FROM (SELECT work_id, unnest(range(1, len(authors) + 1)) AS k, unnest(authors) || CASE WHEN status = 'F' AND len(institutions) > 0 THEN ': ' || array_to_string(institutions, '; ') ELSE '' END AS s FROM works) GROUP BY 1
@@ -830,11 +854,11 @@ def first_items(spark, d):
     return agg.first_items(works(spark, d, "work_id", "source_name"), "source_name", "work_id", "work_id", 50).select("source_name", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
-@on_works("SELECT work_id, title, -1::BIGINT AS score FROM works WHERE status = 'F' UNION ALL SELECT work_id, title, citations FROM works WHERE status = 'P'")
+@on_works("SELECT work_id, title, -1::BIGINT AS score, true AS score_is_null FROM works WHERE status = 'F' UNION ALL SELECT work_id, title, citations, false FROM works WHERE status = 'P'")
 def united_corpora(spark, d):
     """Tables of different columns."""
     w = works(spark, d)
-    return dedup.union(w.where("status = 'F'").select("work_id", "title"), w.where("status = 'P'").select("work_id", "title", F.col("citations").alias("score"))).fillna(-1)
+    return told(dedup.union(w.where("status = 'F'").select("work_id", "title"), w.where("status = 'P'").select("work_id", "title", F.col("citations").alias("score"))), "score")
 
 
 @on_works(""", n AS (SELECT c AS country, count(*) AS n FROM (SELECT unnest(countries) AS c FROM works) GROUP BY 1), b AS (SELECT *, min(n) OVER () AS low, max(n) OVER () AS high FROM n)
@@ -938,7 +962,8 @@ SELECT CASE WHEN p_partkey % 4 = 0 THEN 'c' || p_partkey ELSE 'record-' || lpad(
  t.title || ' & é' AS title, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 2000 + p_partkey % 20 END::INT AS publication_year, work_type, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'J ' || p_brand END AS source_name,
  '10.1/x' || p_partkey AS doi, '' AS openalex_id, 'A, B.; C' AS authors, p_type AS institutions, '' AS countries, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size END::BIGINT AS cited_by_count, 'abstract_only' AS coverage,
  primary_code AS primary_topic_code, names.label AS primary_topic_label, replace(secondary, ',', '; ') AS secondary_topic_codes, coalesce(codes, '') AS future_direction_codes, confidence AS classification_confidence, in_scope,
- '' AS expansion_direction_code, '' AS expansion_direction_label, '' AS manual_review_reason, 'q r' AS matched_query, -1::DOUBLE AS selection_score, '' AS oa_url, '' AS pdf_url
+ '' AS expansion_direction_code, '' AS expansion_direction_label, '' AS manual_review_reason, 'q r' AS matched_query, -1::DOUBLE AS selection_score, '' AS oa_url, '' AS pdf_url,
+ p_partkey % 5 = 0 AS publication_year_is_null, false AS openalex_id_is_null, true AS expansion_direction_code_is_null, true AS selection_score_is_null, false AS oa_url_is_null
 FROM part JOIN ec ON ec.id = p_partkey JOIN names ON names.code = primary_code LEFT JOIN ed ON ed.id = p_partkey JOIN (""" + EDUCATION_SQL + " SELECT id, title FROM texts) t ON t.id = p_partkey")
 def standard_file(spark, d):
     """Parts as records with odd values, standard, classified and flat."""
@@ -950,7 +975,7 @@ def standard_file(spark, d):
         F.when(i % 5 == 0, "soon").otherwise((2000 + i % 20).cast("string")).alias("year"), F.when(i % 3 == 0, F.col("p_brand")).otherwise("").alias("source_name"), F.concat(F.lit("J "), "p_brand").alias("journal"),
         F.concat(F.lit("https://doi.org/10.1/X"), i).alias("doi"), F.lit(" A, B.; C |").alias("authors"), F.array("p_type", F.lit(" ")).alias("institutions"), F.when(i % 2 == 1, F.col("p_size")).alias("cited_by_count"), F.lit("q  r").alias("matched_query"),
     )
-    return records.flat_file(workflows.standard_records(raw, "ordinal")).fillna(-1).fillna("")
+    return told(records.flat_file(workflows.standard_records(raw, "ordinal")), "publication_year", "openalex_id", "expansion_direction_code", "selection_score", "oa_url")
 
 
 @query("SELECT count(*) FILTER (n_nationkey > 20) = 3 AS stage_count, count(*) FILTER (n_nationkey < 2) = 2 AS strategy_count, count(*) FILTER (n_nationkey BETWEEN 2 AND 5) = 4 AS step_count, count(*) = 8 AS edge_count, count(*) FILTER (n_nationkey + 1 NOT IN (SELECT n_nationkey FROM nation)) = 0 AS endpoints_known, count(*) FILTER (n_nationkey % 7 = 3) = 0 AS styles, count(*) FILTER (n_nationkey <> n_nationkey + 5) = 0 AS conserved FROM nation")

@@ -1,5 +1,7 @@
 """Whole runs over canonical records (O1 - O9): each takes DataFrames and returns named result
-tables, which write() stores. Nothing is computed before a result is written or read."""
+tables, which write() stores. What several of an expansion's results need is computed once, while the
+tables are built, and so are its selection and the communities of a collaboration; the rest is computed when it
+is written or read."""
 
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ from bibspark.operators import aggregates as agg
 from bibspark.operators import classify, dedup, enrich, gates, graph, search, textgate
 from bibspark.operators import taxonomy as tx
 from bibspark.sources import documents, records
+from bibspark.sources.shared import kept
 
 #: Caps of the six-type graph; papers are capped by max_papers.
 CAPS = {"journal": 9, "author": 12, "topic": 8, "year": 10, "citation": 5}
@@ -23,12 +26,17 @@ Tables = dict[str, DataFrame]
 
 def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUCATION_DIRECTIONS) -> Tables:
     """O1 without expansion: classified records (corpus_id original-001 and so on in input order),
-    summary (metric, key, n), countries by frequency and first seen, review queue, Markdown report
+    the evidence of each rule that matches, summary (metric, key, n), countries by frequency and first seen, review queue, Markdown report
     and taxonomy."""
-    r = records.canonical(records.numbered(raw, "__ordinal"), "__ordinal").withColumnRenamed("__ordinal", "ordinal").withColumn("corpus_id", records.ordinal_id(F.col("ordinal"), "original"))
+    r = records.numbered(raw, "__ordinal")
+    searched = {"concepts": records.section_text(r, "concepts"), "keywords": records.section_text(r, "keywords"), "query": records.section_text(r, "matched_queries")}
+    r = records.canonical(r.withColumns({f"__{k}": v for k, v in searched.items()}), "__ordinal", *[f"__{k}" for k in searched])
+    r = r.withColumnRenamed("__ordinal", "ordinal").withColumn("corpus_id", records.ordinal_id(F.col("ordinal"), "original"))
+    if "concepts" not in raw.columns:  # what else tells a record's topics stands for them
+        r = r.withColumn("__concepts", F.array_join("topics", " ; "))
     text = F.concat_ws(" ", "title", "abstract")
-    sections = {"title": F.coalesce("title", F.lit("")), "abstract": F.coalesce("abstract", F.lit("")), "concepts": F.array_join("topics", " ")}
-    scope = F.concat_ws(" ", "title", "abstract", F.array_join("topics", " "))
+    sections = {"title": F.coalesce("title", F.lit("")), "abstract": F.coalesce("abstract", F.lit(""))} | {k: F.col(f"__{k}") for k in searched}
+    scope = F.concat_ws(" ", "title", "abstract", F.replace("__concepts", F.lit(" ; "), F.lit(" ")))
     done = classify.classify(r, rules, sections, scope_text=scope).withColumns(
         {
             "work_type": classify.work_type(F.col("work_type"), text),
@@ -37,22 +45,24 @@ def classify_corpus(raw: DataFrame, rules=tx.EDUCATION_RULES, directions=tx.EDUC
             "keys": dedup.dedup_keys(F.col("openalex_id"), t.normalize_doi(F.col("doi")), t.normalize_title(F.col("title"))),
         }
     )
+    done = done.drop(*[f"__{k}" for k in searched])
+    evidence = r.select("corpus_id", F.explode(classify.matched_evidence(sections, rules)).alias("code", "evidence"))
     summary = agg.corpus_summary(
         done,
         {"primary_topic": F.col("primary_code"), "direction": F.col("directions"), "confidence": F.col("confidence"), "coverage": F.col("coverage"), "country": F.col("countries")},
         {"in_scope": F.col("in_scope"), "with_institutions": F.size("institutions") > 0},
     )
     countries = agg.most_common(agg.ranking(r, "countries", ordinal="ordinal"))
-    return {"classified": done, "summary": summary, "countries": countries, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
+    return {"classified": done, "evidence": evidence, "summary": summary, "countries": countries, "review_queue": classify.review_queue(done), "report": records.markdown(summary, "Corpus"), "taxonomy": records.taxonomy_table(raw.sparkSession, rules)}
 
 
 def standard_records(raw: DataFrame, ordinal: str | None = None) -> DataFrame:
     """The 31 fields of standard records, classified where raw has no classification. ordinal:
     the column with the records' numbers, else they are numbered in input order."""
     r = records.standard(records.numbered(raw, "__ordinal"), "__ordinal") if ordinal is None else records.standard(raw, ordinal)
-    sections = {"title": F.col("title"), "abstract": F.col("abstract"), "concepts": F.array_join("concepts", " "), "keywords": F.array_join("keywords", " ")}
-    text = F.concat_ws(" ", *sections.values())
-    done = classify.classify(r, tx.EDUCATION_RULES, {k: v for k, v in sections.items() if k in tx.WEIGHTS}, scope_text=text)
+    sections = {"title": F.col("title"), "abstract": F.col("abstract"), "concepts": F.array_join("concepts", " ; "), "keywords": F.array_join("keywords", " ; ")}
+    text = F.concat_ws(" ", "title", "abstract", F.array_join("concepts", " "))
+    done = classify.classify(r, tx.EDUCATION_RULES, sections, scope_text=text)
     labels = F.create_map(*[F.lit(x) for rule in (*tx.EDUCATION_RULES, tx.EXCLUDED, tx.FALLBACK) for x in (rule.code, rule.label)])
     classification = F.struct(
         classify.work_type(F.col("work_type"), F.concat_ws(" ", "title", "abstract")).alias("work_type_normalized"), F.col("primary_code").alias("primary_topic_code"),
@@ -80,7 +90,7 @@ def expand_corpus(originals: DataFrame, candidates: DataFrame, quotas: list[tupl
     before = dict(zip((g for g, _ in quotas), accumulate((n for _, n in dedup.taken(picked, quotas, "direction")), initial=0), strict=False))
     number = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("direction")) + F.col("nth")
     named = picked.select("direction", "corpus_id", records.ordinal_id(number, "expanded").alias("expanded_id"))
-    selected = best.join(named, ["direction", "corpus_id"]).withColumn("corpus_id", F.col("expanded_id")).drop("expanded_id")
+    selected = kept(best.join(named, ["direction", "corpus_id"]).withColumn("corpus_id", F.col("expanded_id")).drop("expanded_id"))
     expanded = dedup.union(originals, selected)
     reference = t.normalize_title(F.col("title")) == t.normalize_title(F.lit(reference_title))
     checks = gates.expansion_gate(originals, selected, expanded, quotas, n_originals, reference, "corpus_id", "direction")
@@ -92,7 +102,7 @@ def expand_from_search(originals: DataFrame, answers: DataFrame, quotas: list[tu
     selection by quota, the expanded corpus and the gate.
     originals: corpus_id, title, keys."""
     quotas = quotas or [(d.code, d.target) for d in tx.EDUCATION_DIRECTIONS]
-    rows = search.judged(search.works_found(answers), originals)
+    rows = kept(search.judged(search.works_found(answers), originals))
     log = agg.search_log(rows, "query", "reason")
     candidates = rows.where("reason is null").withColumn("corpus_id", F.concat_ws("|", "direction", "arrival"))
     return {"search_log": log, "searches": search.searches(answers), **expand_corpus(originals, candidates, quotas, n_originals, tx.REFERENCE_TITLE)}

@@ -172,6 +172,15 @@ def flat_file(df: DataFrame) -> DataFrame:
     return df.select(*[out.get(n, F.col(n)).alias(n) for n in FLAT_FILE if n in out or n in df.columns])
 
 
+def section_text(df: DataFrame, name: str) -> Column:
+    """A list field (an array, or text parted by ; | or line ends) as one text for rules to search."""
+    if name not in df.columns:
+        return F.lit("")
+    if df.schema[name].dataType.typeName() == "array":  # entities are unescaped in the whole, which a lambda cannot do
+        return t.normalize_space(F.array_join(t.filled(F.transform(F.col(name).cast("array<string>"), t.collapse)), " ; "))
+    return F.coalesce(F.array_join(t.split_any(F.col(name).cast("string")), " ; "), F.lit(""))
+
+
 def nested(dimension: str) -> Column:
     """Labels of an array authorships<author, institutions, countries>, distinct in order."""
     if dimension == "authors":

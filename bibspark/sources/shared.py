@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what several results need is computed once, and
+    outlives any executor."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
