@@ -313,6 +313,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     return simhash.linked(own.select("doc_id", "row_key", "fp"), links(docs, own, counts, shingle, similarity))
 
 
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """simhash.near_duplicates, whose fingerprints are also linked where texts have the given Jaccard
+    similarity or more, however many bits they differ in."""
+    if not 0 < similarity <= 1 or shingle < 1:
+        raise ValueError("similarity in (0, 1], shingle from 1")
+    fps = c.materialize(simhash.fingerprints(docs))
+    both = c.materialize(_named_sets(docs, shingle))
+    own = both.where("slice is null").select("doc_id", "row_key", "fp", "n", "histogram")
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(both))
+    found = links(docs, own, counts, shingle, similarity)
+    # a set's name stands for the least of its texts' fingerprints: texts of one set may have several
+    rows = own.select("row_key", F.col("fp").alias("name")).distinct().join(fps.select("row_key", "fp").distinct(), "row_key")
+    named = c.materialize(rows.select("name", "fp").distinct())
+    low = named.groupBy("name").agg(F.min("fp").alias("low"))
+    equal = named.join(low, "name").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    side = lambda k: low.select(F.col("name").alias(k), F.col("low").alias(f"{k}_fp"))
+    near = found.join(side("a"), "a").join(side("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
+    return simhash.linked(fps, simhash.links(fps.select("fp").distinct(), max_bits).unionByName(equal).unionByName(near))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component, all columns kept."""
     return simhash.keep_first(docs, near_duplicates(docs, shingle, similarity))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibspark.llm import jaccard, mixing, packing, pii, toxicity
+from bibspark.llm import jaccard, mixing, packing, pii, simhash, toxicity
 from bibspark.llm.common import materialize
 
 
@@ -17,9 +17,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with 5-word Jaccard similarity 0.8 or more, that of
-    the smallest doc_id."""
-    return jaccard.keep_one(docs)
+    """One document of each component, that of the smallest doc_id. Linked are texts whose SimHash
+    fingerprints differ in at most 2 bits, and those of 5-word Jaccard similarity 0.8 or more, few of
+    which are within 2 bits."""
+    return simhash.keep_first(docs, jaccard.with_fingerprints(docs))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
