@@ -24,6 +24,8 @@ STRING_END = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
 BRACKET = re.compile(r'"(?:[^"\\]++|\\.)*+(?:"|\Z)|[\[\]{}]', re.S)
 RECORDS_KEY = re.compile(r'"records"\s*:\s*\Z')
 ORDINAL = "__ordinal"
+#: Characters of a split that are read before its objects are given out.
+CHUNK = 1 << 20
 
 
 # ---------------------------------------------------------------- numbers in file order
@@ -158,7 +160,7 @@ def _objects(begins):
         for path, block, pieces in _by_split(batches):
             in_string, depth, base, inside = begins.value[path, block]
             walk = _Walk(in_string, depth, base, inside)
-            held, seq, out = [] if depth > base and inside else None, 0, []
+            held, seq, out, size = [] if depth > base and inside else None, 0, [], 0
             head = held is not None
             for piece in pieces:
                 start, ended = walk.piece(piece)
@@ -178,15 +180,23 @@ def _objects(begins):
                     held, head = None, False
                 elif held is not None and walk.depth <= base:
                     held, head = None, False
+                size += len(piece)
+                if size >= CHUNK and out:
+                    yield _rows(path, block, out)
+                    out, size = [], 0
             if held is not None:
                 out.append((seq + 1 if not head else 0, False, "}".join(held) + "}"))
             if out:
-                n = len(out)
-                yield pa.RecordBatch.from_pydict({"path": [path] * n, "block": pa.array([block] * n, pa.int64()), "seq": pa.array([o[0] for o in out], pa.int64()), "closed": [o[1] for o in out], "text": [o[2] for o in out]})
+                yield _rows(path, block, out)
 
     return run
 
 
+def _rows(path: str, block: int, out: list) -> pa.RecordBatch:
+    n = len(out)
+    return pa.RecordBatch.from_pydict({"path": [path] * n, "block": pa.array([block] * n, pa.int64()), "seq": pa.array([o[0] for o in out], pa.int64()), "closed": [o[1] for o in out], "text": [o[2] for o in out]})
+
+
 def json_objects(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """ordinal, text: the objects of JSON lists (or of the list `records` of an object, unless strict)
     in the order of files and entries; other entries are left out. A file that is no list, or whose
