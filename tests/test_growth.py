@@ -100,3 +100,35 @@ def test_nodes_are_counted_by_title_first(spark):
     assert plan(got).count("Aggregate") == 2
     rows = {r.id: (r.label, r.occurrences, r.citations, r.papers, tuple(r.first_seen)) for r in got.collect()}
     assert rows == {"author:a": ("a", 4, 8, 1, (1, 0, 0)), "author:b": ("B", 2, 5, 1, (1, 0, 1))}
+
+
+def looped_edges(records, allowed):
+    """(src, dst): weight, weight_raw, citations, papers, by loops over (title, citations, labels by kind)."""
+    out = {}
+    for t, c, labels in records:
+        ids = {k: {f"{k}:{x.lower()}" for x in v if x is not None} for k, v in labels.items()}
+        for a, b in allowed:
+            for x in ids[a]:
+                for y in ids[b]:
+                    if a != b or x < y:
+                        e = out.setdefault((min(x, y), max(x, y)), [0, 0, [], set()])
+                        times = 2 if a == b else 1
+                        e[0], e[1], e[2], e[3] = e[0] + times, e[1] + 1, e[2] + ([] if c is None else [c * times]), e[3] | {t} - {None}
+    return sorted((*k, w, n, sum(c) if c else None, len(p)) for k, (w, n, c, p) in out.items())
+
+
+def test_edges_are_added_up_where_their_node_is(spark, monkeypatch):
+    draw = random.Random(3)
+    pick = lambda names, n: [draw.choice([*names, None]) for _ in range(draw.randrange(n))]
+    records = [(draw.choice(["t1", "t2", "T2", "", None]), draw.choice([0, 5, -2, None]), {"author": pick([f"{x}{k}" for x in "aAb" for k in range(9)], 7), "topic": pick("xyz", 4), "year": pick(["1999"], 2)}) for _ in range(300)]
+    records += [(None, None, {"author": ["z1", "Z2"], "topic": [], "year": []})]
+    df = spark.createDataFrame([(t, c, f["author"], f["topic"], f["year"]) for t, c, f in records], "t string, c long, author array<string>, topic array<string>, year array<string>").repartition(3)
+    fields = {k: F.col(k) for k in ("author", "topic", "year")}
+    pairs = (("author", "author"), ("author", "topic"), ("author", "year"), ("topic", "year"), ("year", "author"))
+    for often, tasks, exchanges in ((0, 1, 0), (2, 10, None), (1 << 14, 100, 1)):
+        monkeypatch.setattr(graph, "OFTEN", often)
+        monkeypatch.setattr(graph, "TASK_PAIRS", tasks)
+        got = graph.evidence_edges(df, fields, "t", "c", pairs)
+        assert sorted(map(tuple, got.select("src", "dst", "weight", "weight_raw", "citations", "papers").collect()), key=lambda r: r[:2]) == looped_edges(records, pairs)
+        if exchanges:  # a node's labels go out once, and no pairs after them
+            assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == exchanges
