@@ -120,7 +120,7 @@ def looped_edges(records, allowed):
 def test_edges_are_added_up_where_their_node_is(spark, monkeypatch):
     draw = random.Random(3)
     pick = lambda names, n: [draw.choice([*names, None]) for _ in range(draw.randrange(n))]
-    records = [(draw.choice(["t1", "t2", "T2", "", None]), draw.choice([0, 5, -2, None]), {"author": pick([f"{x}{k}" for x in "aAb" for k in range(9)], 7), "topic": pick("xyz", 4), "year": pick(["1999"], 2)}) for _ in range(300)]
+    records = [(draw.choice(["t1", "t2", "T2", "", None]), draw.choice([0, 5, -2, None]), {"author": pick([f"{x}{k}" for x in ("a", "A", "\x01") for k in range(9)], 7), "topic": pick("xyz", 4), "year": pick(["1999"], 2)}) for _ in range(300)]
     records += [(None, None, {"author": ["z1", "Z2"], "topic": [], "year": []})]
     df = spark.createDataFrame([(t, c, f["author"], f["topic"], f["year"]) for t, c, f in records], "t string, c long, author array<string>, topic array<string>, year array<string>").repartition(3)
     fields = {k: F.col(k) for k in ("author", "topic", "year")}
